@@ -62,13 +62,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def ranged(df: DataFrame, *order: str) -> DataFrame:
-    """Rows in ascending order over all partitions, with ``part`` (rising with the order) and ``at`` (place in the part from 0)."""
-    n = partitions(df.sparkSession)
+def ranged(df: DataFrame, *order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows in ascending order over all partitions, with ``part`` (rising with the order) and ``at`` (place in the part from 0).
+
+    Rows that are equal in ``order`` meet in one part and are sorted by ``ties`` there.
+    """
     mid = F.monotonically_increasing_id()
     return (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
+        df.repartitionByRange(partitions(df.sparkSession), *order)
+        .sortWithinPartitions(*order, *ties)
         .withColumn("_mid", mid)
         .withColumns({"part": F.shiftright("_mid", 33).cast("int"), "at": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))})
         .drop("_mid")
