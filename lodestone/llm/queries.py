@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from lodestone.llm.fingerprints import op5_bottom_k
+from lodestone.llm.neardup import op4_hamming_minhash
 from lodestone.llm.packing import op8_best_two_fit
+from lodestone.llm.pii import op9_pii_spans
 from lodestone.llm.quality import op1_quality_rules
+from lodestone.llm.sharding import op2_kd_shards
 from lodestone.llm.tokens import op3_token_codes
+from lodestone.llm.toxicity import op10_toxicity_crf
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_kd_shards": op2_kd_shards,
     "op3_token_codes": op3_token_codes,
+    "op4_hamming_minhash": op4_hamming_minhash,
+    "op5_bottom_k": op5_bottom_k,
     "op8_best_two_fit": op8_best_two_fit,
+    "op9_pii_spans": op9_pii_spans,
+    "op10_toxicity_crf": op10_toxicity_crf,
 }
 
 #: DuckDB's SQL for the same rows.
