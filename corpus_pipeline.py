@@ -1,10 +1,59 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed sequences, in five stages.
+
+Each stage takes what its predecessor kept as a written table. All but the last return the
+columns of documents; the last returns the pieces and their places in sequences.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import neardup, packing, pii, quality, toxicity
+from lodestone.llm.common import keep
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the field's score rejects. The field is fitted on the labelled documents among docs."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.with_score(docs.select(*COLUMNS), model).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the current policy rejects."""
+    return quality.with_measures(docs.select(*COLUMNS)).where(~quality.fails(quality.POLICIES[quality.CURRENT])).select(*COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near duplicates, every document without shingles, and rows without an id. Rows that share an id stay together."""
+    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id IS NULL")).select(*COLUMNS)
+
+
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind in place of each span of personal data."""
+    return pii.redact(pii.with_spans(docs.select(*COLUMNS))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs everything that is left into sequences."""
+    return packing.pack(keep(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces"))
+
+
+STAGES = [("toxicity", toxic), ("quality rules", rules), ("near duplicates", near), ("personal data", personal), ("packing", packed)]
+
+#: The field of the first stage and the last stage's tokens are beyond SQL; tests compare them with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = keep(docs, f"stage-{k}")
+    return docs

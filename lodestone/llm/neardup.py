@@ -221,9 +221,11 @@ def block_columns(table):
 
 def still_open(table):
     """The rows of a pair of blocks that are in a pair still to be compared."""
+    import pyarrow as pa
+
     ids, *rest = block_columns(table)
     wanted = sorted({x for p in open_pairs(*rest) for x in p})
-    return table.take(wanted)
+    return table.take(pa.array(wanted, pa.int64()))
 
 
 def block_links(table):
@@ -280,7 +282,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         ends = ends.join(about.toDF(side, f"sig_{side}", f"n_{side}"), side)
     pairs = keep(rather_near(ends), "pairs")
-    ids = pairs.select("a").union(pairs.select("b")).union(members.where("n >= 4").select("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.where("n >= 4").select("id")).distinct()
     sets = keep(full_sets(docs, ids), "sets")
     links = keep(confirmed(pairs, sets), "links")
     more = rest_links(members, nodes, sets, components(links))

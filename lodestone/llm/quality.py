@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_rows, column, raw_texts
+from lodestone.llm.common import arrow_rows, raw_texts
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -99,28 +99,29 @@ def measure(raw: bytes | None) -> tuple[int, ...]:
     )
 
 
-def measurements(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, MEASURES): one pass over the texts, no shuffle."""
+def with_measures(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """df plus MEASURES and failed_bits: bit b is set where the rule of bit b fails. One pass over the texts, no shuffle."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            got = [measure(x) for x in raw_texts(b, "text")]
+            got = [measure(x) for x in raw_texts(b, text)]
             cols = list(zip(*got, strict=True)) if got else [[] for _ in MEASURES]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *MEASURES])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in cols)], names=[*b.schema.names, *MEASURES])
 
-    arrow_rows(docs.sparkSession)
-    schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
-
-
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, MEASURES, failed_bits): bit b is set where the rule of bit b fails."""
+    arrow_rows(df.sparkSession)
+    fields = [f"`{n}` {t}" for n, t in df.dtypes] + [f"{m} long" for m in MEASURES]
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(r.fails(), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measurements(docs, doc_id, text).withColumn("failed_bits", bits)
+    return df.mapInArrow(run, ", ".join(fields)).withColumn("failed_bits", bits)
+
+
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, MEASURES, failed_bits) of every document."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return with_measures(rows, rules).drop("text")
 
 
 def fails(mask: int) -> Column:

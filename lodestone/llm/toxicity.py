@@ -335,8 +335,8 @@ def span_text(raw: bytes, tokens: set[int]) -> str:
     return ",".join(out)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, n_toxic_tokens, toxic_spans) of every document. No shuffle; the model is bounded by MAX_WORDS."""
+def with_score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """df plus (score, n_toxic_tokens, toxic_spans). No shuffle; the model is bounded by MAX_WORDS."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -345,16 +345,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             model.prepare()
         for b in batches:
             scores, n, spans = [], [], []
-            for raw in raw_texts(b):
+            for raw in raw_texts(b, text):
                 s, marks = model.document(raw)
                 tokens = {i for i, p in marks if p >= SPAN_MARGINAL}
                 scores.append(s)
                 n.append(len(tokens))
                 spans.append(span_text(raw, tokens) if tokens else "")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(n, pa.int64()), pa.array(spans, pa.string())], names=["doc_id", "score", "n_toxic_tokens", "toxic_spans"])
+            made = [pa.array(scores, pa.float64()), pa.array(n, pa.int64()), pa.array(spans, pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "score", "n_toxic_tokens", "toxic_spans"])
 
-    arrow_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, n_toxic_tokens long, toxic_spans string")
+    arrow_rows(df.sparkSession)
+    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    return df.mapInArrow(run, f"{fields}, score double, n_toxic_tokens long, toxic_spans string")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, n_toxic_tokens, toxic_spans) of every document."""
+    return with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
 
 
 def op10_toxicity_crf(spark, sf_dir: str) -> DataFrame:
