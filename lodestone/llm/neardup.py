@@ -38,7 +38,7 @@ CHUNK, CHUNKS = 5, 8
 POSITIONS = CHUNK * CHUNKS
 DISTANCE = 2 * CHUNKS - 1
 FAR = 19
-BLOCK = 256
+BLOCK = 1024
 SEED = 20_011
 STEP = 4096  # shingles hashed at once
 
