@@ -13,7 +13,7 @@ import re
 from itertools import chain
 
 #: Characters that ``\s`` matches in the tokenizers' patterns.
-WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters, and what ends a run of them whatever follows: an ASCII character that isn't one.
 LETTERS = r"A-Za-zÀ-ÖØ-öø-ʯ"
 RUN = rf"[{LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|\Z)"
