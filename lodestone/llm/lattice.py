@@ -41,34 +41,32 @@ def text_words(text: Column) -> Column:
 
 
 def edges(rows: DataFrame, keys: list[str], model: str) -> DataFrame:
-    """(keys, word, e, s, score, id): the piece between places s and e of the word. Rows of a word stay in its partition."""
-    longest = read(model).longest
+    """(keys, word, e, s, score, id): the piece between places s and e of the word; for a single character that is no piece, id is -1 - s. Rows of a word stay in its partition."""
+    pieces = read(model)
     n = F.length("word")
     starts = rows.withColumn("s", F.explode(F.sequence(F.lit(0), n - 1)))
-    ends = starts.withColumn("e", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + longest))))
+    ends = starts.withColumn("e", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + pieces.longest))))
     parts = ends.withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")))
-    return parts.join(F.broadcast(piece_table(rows.sparkSession, model)), "piece").select(*keys, "word", "e", "s", "score", "id")
+    met = parts.join(F.broadcast(piece_table(rows.sparkSession, model)), "piece", "left").where("id IS NOT NULL OR e = s + 1")
+    return met.select(*keys, "word", "e", "s", F.coalesce("score", F.lit(pieces.unknown)).alias("score"), F.coalesce("id", -1 - F.col("s")).alias("id"))
 
 
-def fold(word: str, lattice: str, unknown: float) -> str:
-    """SQL of the best path: array of ids, a character at place s that is no piece as -1 - s. lattice is sorted by (e, s)."""
-    node = "named_struct('score', 0D, 's', 0, 'id', 0)"
+def fold(word: str, lattice: str) -> str:
+    """SQL of the best path's ids. lattice is sorted by (e, s), so the last edge to each end is the single character before it."""
     none = "cast(null as struct<score:double,s:int,id:int>)"
-    here = f"filter({lattice}, x -> x.e = e)"
-    by_piece = f"aggregate({here}, {none}, (b, x) -> IF(b IS NULL OR nodes[x.s].score + x.score > b.score, named_struct('score', nodes[x.s].score + x.score, 's', x.s, 'id', x.id), b))"
-    odd = f"named_struct('score', nodes[e - 1].score + {unknown!r}D, 's', e - 1, 'id', -e)"
-    take = f"IF(exists({lattice}, x -> x.e = e AND x.s = e - 1), b, IF(b IS NULL OR nodes[e - 1].score + {unknown!r}D > b.score, {odd}, b))"
-    step = f"concat(nodes, transform(array({by_piece}), b -> {take}))"
-    nodes = f"aggregate(sequence(1, length({word})), array({node}), (nodes, e) -> {step})"
+    start = f"named_struct('nodes', array(named_struct('score', 0D, 's', 0, 'id', 0)), 'best', {none})"
+    better = "IF(a.best IS NULL OR a.nodes[x.s].score + x.score > a.best.score, named_struct('score', a.nodes[x.s].score + x.score, 's', x.s, 'id', x.id), a.best)"
+    step = f"IF(x.e = x.s + 1, named_struct('nodes', concat(a.nodes, array({better})), 'best', {none}), named_struct('nodes', a.nodes, 'best', {better}))"
+    nodes = f"aggregate({lattice}, {start}, (a, x) -> {step}, a -> a.nodes)"
     back = f"named_struct('at', length({word}), 'ids', cast(array() as array<int>))"
     walk = "IF(a.at = 0, a, named_struct('at', n[a.at].s, 'ids', concat(array(n[a.at].id), a.ids)))"
     return f"transform(array({nodes}), n -> aggregate(sequence(1, length({word})), {back}, (a, i) -> {walk}, a -> a.ids))[0]"
 
 
 def encode_words(rows: DataFrame, keys: list[str], model: str) -> DataFrame:
-    """(keys, word, ids) of distinct rows(keys, word)."""
+    """(keys, word, ids) of distinct rows(keys, word); an id of -1 - s is the character at place s, which is no piece."""
     held = edges(rows, keys, model).groupBy(*keys, "word").agg(F.sort_array(F.collect_list(F.struct("e", "s", "score", "id"))).alias("lattice"))
-    return held.select(*keys, "word", F.expr(fold("word", "lattice", read(model).unknown)).alias("ids"))
+    return held.select(*keys, "word", F.expr(fold("word", "lattice")).alias("ids"))
 
 
 def encode(docs: DataFrame, model: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -78,8 +76,8 @@ def encode(docs: DataFrame, model: str, group_bytes: int = GROUP_BYTES) -> DataF
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int").alias("g")).repartition(groups, "g")
-    found = dealt.select("g", F.explode(F.array_distinct(text_words(F.col("text")))).alias("word")).where(F.length("word") <= LONG)
-    table = encode_words(found.groupBy("g", "word").agg(), ["g"], model)
+    found = dealt.select(F.col("g").alias("h"), F.explode(F.array_distinct(text_words(F.col("text")))).alias("word")).where(F.length("word") <= LONG)
+    table = encode_words(found.distinct(), ["h"], model)
 
     def run(left, right):
         import pyarrow as pa
@@ -101,7 +99,7 @@ def encode(docs: DataFrame, model: str, group_bytes: int = GROUP_BYTES) -> DataF
         back = [decode_ids(ids, pieces) == (t or "") for ids, t in zip(out, left.column("text").to_pylist(), strict=True)]
         return pa.table({"doc_id": left.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32())), "decoded": pa.array(back, pa.bool_())})
 
-    return dealt.groupBy("g").cogroup(table.groupBy("g")).applyInArrow(run, "doc_id long, ids array<int>, decoded boolean")
+    return dealt.groupBy("g").cogroup(table.groupBy("h")).applyInArrow(run, "doc_id long, ids array<int>, decoded boolean")
 
 
 def path(counter, w: str) -> list[int]:

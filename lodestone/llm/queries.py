@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from lodestone.llm.counts import op6_viterbi_counts
 from lodestone.llm.fingerprints import op5_bottom_k
+from lodestone.llm.lattice import op7_relational_lattice
 from lodestone.llm.neardup import op4_hamming_minhash
 from lodestone.llm.packing import op8_best_two_fit
 from lodestone.llm.pii import op9_pii_spans
@@ -17,6 +19,8 @@ QUERIES = {
     "op3_token_codes": op3_token_codes,
     "op4_hamming_minhash": op4_hamming_minhash,
     "op5_bottom_k": op5_bottom_k,
+    "op6_viterbi_counts": op6_viterbi_counts,
+    "op7_relational_lattice": op7_relational_lattice,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_pii_spans": op9_pii_spans,
     "op10_toxicity_crf": op10_toxicity_crf,
