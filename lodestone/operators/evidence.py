@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.settings import Settings
 
-BY_QUERY = Window.partitionBy("query_id")
+
+def by_query(*order):
+    return Window.partitionBy("query_id").orderBy(*order) if order else Window.partitionBy("query_id")
 
 
 def normalize(hits: DataFrame) -> DataFrame:
@@ -53,13 +55,13 @@ def author_bias(terms: Column, source: Column, text: Column, settings: Settings
 def rerank(rows: DataFrame, settings: Settings = Settings(), score: str | None = "rerank_score") -> DataFrame:
     """Top rows of each question by a reranker's score, arrival as tie-break; without one the first to arrive."""
     order = [F.desc(score), "arrival"] if score else ["arrival"]
-    return rows.withColumn("place", F.row_number().over(BY_QUERY.orderBy(*order))).where(F.col("place") <= settings.rerank_top_k)
+    return rows.withColumn("place", F.row_number().over(by_query(*order))).where(F.col("place") <= settings.rerank_top_k)
 
 
 def bias_sort(rows: DataFrame) -> DataFrame:
     """New places by score plus bias; equal ones keep their order."""
     total = F.coalesce("rerank_score", "score", F.lit(0.0)) + F.coalesce("author_bias", F.lit(0.0))
-    return rows.withColumn("sort_score", total).withColumn("place", F.row_number().over(BY_QUERY.orderBy(F.desc("sort_score"), "place")))
+    return rows.withColumn("sort_score", total).withColumn("place", F.row_number().over(by_query(F.desc("sort_score"), "place")))
 
 
 def prefer_author(rows: DataFrame) -> DataFrame:
@@ -69,26 +71,26 @@ def prefer_author(rows: DataFrame) -> DataFrame:
     (whether the question has query terms). With terms, author rows with one stay; if there is
     none, it is a gap: all rows stay, and those of others are sorted without the bias.
     """
-    some = lambda c: F.max(c.cast("int")).over(BY_QUERY) == 1
+    some = lambda c: F.max(c.cast("int")).over(by_query()) == 1
     author, term = F.col("is_author"), F.col("has_term")
     held = rows.withColumns({"_any": some(author), "_both": some(author & term)})
     gap = F.col("_any") & F.col("has_terms") & ~F.col("_both")
     keep = ~F.col("_any") | F.when(F.col("has_terms"), (author & term) | gap).otherwise(author)
     held = held.withColumn("author_gap", gap).where(keep)
     plain = F.col("sort_score") - F.when(F.col("author_gap"), F.coalesce("author_bias", F.lit(0.0))).otherwise(0.0)
-    return held.withColumn("sort_score", plain).withColumn("place", F.row_number().over(BY_QUERY.orderBy(F.desc("sort_score"), "place"))).drop("_any", "_both")
+    return held.withColumn("sort_score", plain).withColumn("place", F.row_number().over(by_query(F.desc("sort_score"), "place"))).drop("_any", "_both")
 
 
 def gap_filter(rows: DataFrame) -> DataFrame:
     """Under a gap, rows of others only, if there are any."""
-    other = F.max((~F.col("is_author")).cast("int")).over(BY_QUERY) == 1
+    other = F.max((~F.col("is_author")).cast("int")).over(by_query()) == 1
     return rows.withColumn("_other", other).where(~(F.col("author_gap") & F.col("_other") & F.col("is_author"))).drop("_other")
 
 
 def pick(rows: DataFrame, trusted: DataFrame, author_gap: bool = False) -> DataFrame:
     """Trusted evidence in the order of trust, else the first three; trusted(query_id, trusted_ids). With author_gap, rows of others if the picks have any."""
     ids = trusted.select("query_id", F.posexplode("trusted_ids").alias("trust", "id"))
-    chosen = rows.join(ids, ["query_id", "id"]).withColumn("pick", F.row_number().over(BY_QUERY.orderBy("trust", "place"))).drop("trust")
+    chosen = rows.join(ids, ["query_id", "id"]).withColumn("pick", F.row_number().over(by_query("trust", "place"))).drop("trust")
     rest = rows.join(chosen.select("query_id").distinct(), "query_id", "left_anti").where("place <= 3").withColumn("pick", F.col("place"))
     out = chosen.unionByName(rest)
     return gap_filter(out.withColumn("author_gap", F.lit(True))).drop("author_gap") if author_gap else out

@@ -127,8 +127,7 @@ def synonyms(found: list[dict], extra: dict[str, list[str]] | None = None) -> di
     out: dict[str, list[str]] = {}
     for p in found:
         for k, v in (p.get("term_synonyms") or {}).items():
-            have = out.setdefault(k.lower(), [])
-            have += [x.lower() for x in v or [] if x.lower() not in have]
+            out[k.lower()] = list(dict.fromkeys([*out.get(k.lower(), []), *(x.lower() for x in v or [])]))
     for k, v in (extra or {}).items():
         out.setdefault(k.lower(), []).extend(x.lower() for x in v)
     return out
