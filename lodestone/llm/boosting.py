@@ -77,6 +77,18 @@ def grow(x, names, gradient, hessian, rows, depth: int, rate: float, ridge: floa
     return Cut(names[j], at, *(grow(x, names, gradient, hessian, r, depth - 1, rate, ridge) for r in (low, high)))
 
 
+def logistic(x, y, ridge: float = 1.0, steps: int = 100):
+    """Weights of a logistic regression. Steps are bounded, so that it settles where the data can be told apart."""
+    import numpy as np
+
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (y - p) - ridge * w)
+        w += step / max(1.0, float(np.abs(step).max()))
+    return w
+
+
 def fit(rows: list[dict], labels: list[int], trees: int = 12, depth: int = 3, rate: float = 0.4, precision: float = 0.95) -> Boosted:
     """Trees on the even rows; the odd rows calibrate the probability and set the threshold: the lowest whose precision there holds."""
     import numpy as np
@@ -93,10 +105,8 @@ def fit(rows: list[dict], labels: list[int], trees: int = 12, depth: int = 3, ra
         made.append(tree)
         f += np.array([tree.of(dict(zip(names, r, strict=True))) for r in xe])
     z = np.array([base + sum(t.of(dict(zip(names, r, strict=True))) for t in made) for r in x[odd]])
-    w, a = np.array([1.0, 0.0]), np.stack([z, np.ones_like(z)], 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(2), a.T @ (y[odd] - p) - 0.1 * w)
+    a = np.stack([z, np.ones_like(z)], 1)
+    w = logistic(a, y[odd])
     p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
     good = [float(t) for t in np.unique(p) if y[odd][p >= t].mean() >= precision]
     return Boosted(base, tuple(made), float(w[0]), float(w[1]), max(0.5, min(good, default=1.0) - 1e-9))

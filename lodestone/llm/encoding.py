@@ -19,6 +19,7 @@ LETTERS = r"A-Za-zÀ-ÖØ-öø-ʯ"
 RUN = rf"[{LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|\Z)"
 KEPT_WORDS = 600_000
 KEPT_CHARS = 64
+TOGETHER = 200
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -37,24 +38,61 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
         white = rf" ?{RUN}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-        self.cut = re.compile(white if self.keeps_white() else rf"{RUN}|[^{WHITE}]+").findall
+        keeps = self.keeps_white()
+        self.cut = re.compile(white if keeps else rf"{RUN}|[^{WHITE}]+").findall
+        self.plain = re.compile(rf" [{LETTERS}]+" if keeps else rf"[{LETTERS}]+").fullmatch
+        self.glue, self.edge = ("", self.edges(0, "Ġ")) if keeps else (" ", self.edges(-1, "</w>"))
+
+    def edges(self, place: int, mark: str):
+        """For each id whether its token is the first (0) or last (-1) of a word."""
+        import numpy as np
+
+        vocab = self.tokenizer.get_vocab()
+        out = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            out[i] = token.startswith(mark) if place == 0 else token.endswith(mark)
+        self.first = place == 0
+        return out
+
+    def encode_plain(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters only: many go through the tokenizer as one text, and their ids are told apart by the tokens that begin or end a word."""
+        import numpy as np
+
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        out: dict[str, bytes] = {}
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.glue.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.edge[ids])
+            cuts = [*at.tolist(), len(ids)] if self.first else [0, *(at + 1).tolist()]
+            if len(cuts) != len(group) + 1 or cuts[0] or cuts[-1] != len(ids):
+                out |= self.encode_each(group)
+                continue
+            raw = ids.tobytes()
+            for w, i, j in zip(group, cuts, cuts[1:], strict=False):
+                out[w] = raw[4 * i : 4 * j]
+        return out
+
+    def encode_each(self, words: list[str]) -> dict[str, bytes]:
+        import numpy as np
+
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
 
     def keeps_white(self) -> bool:
         return bool(self.tokenizer.encode("a \n b", add_special_tokens=False).ids != self.tokenizer.encode("a b", add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         words = [self.cut(t) for t in texts]
         kept = self.kept
         if len(kept) > KEPT_WORDS:
             kept.clear()
         new = [w for w in set(chain.from_iterable(words)) if w not in kept]
         extra: dict[str, bytes] = {}
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (kept if len(w) <= KEPT_CHARS else extra)[w] = np.array(e.ids, "<u4").tobytes()
+        for i in range(0, len(new), 20_000):
+            plain, rest = [], []
+            for w in new[i : i + 20_000]:
+                (plain if self.plain(w) else rest).append(w)
+            for w, ids in (self.encode_plain(plain) | self.encode_each(rest)).items():
+                (kept if len(w) <= KEPT_CHARS else extra)[w] = ids
         if not extra:
             return [b"".join(map(kept.__getitem__, w)) for w in words]
         return [b"".join([kept[x] if x in kept else extra[x] for x in w]) for w in words]

@@ -189,7 +189,9 @@ def examples(kind: str, n: int = 1200, seed: int = 7) -> tuple[list[dict], list[
             add(1, n_digits=rng.randint(9, 13), n_groups=rng.randint(1, 6), longest=rng.randint(2, 10), n_blanks=rng.randint(0, 4), c_phone=1, plus=some(0.3))
             add(0, n_digits=rng.randint(6, 20) if some(0.5) else rng.randint(14, 60), n_groups=rng.randint(1, 6), longest=rng.randint(1, 16), n_dots=rng.randint(0, 4), n_dashes=some(0.5), c_other=some(0.6), c_ip=some(0.1), glued=some(0.5))
             add(0, n_digits=8, n_groups=3, longest=4, n_dashes=2, c_other=some(0.2))
-    return rows, labels
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    return [rows[i] for i in order], [labels[i] for i in order]
 
 
 @cache

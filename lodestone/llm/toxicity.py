@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.boosting import logistic
 from lodestone.llm.common import arrow_rows, column, raw_texts
 
 MAX_TRAIN = 20_000
@@ -288,21 +289,10 @@ def fit_field(found: list[tuple], n_words: int, steps: int = 150, rate: float =
     return w[:n_words], float(w[n_words + 1]), tuple(float(x) for x in w[n_words + 2 :])
 
 
-def fit_score(x, y, steps: int = 30, ridge: float = 1.0):
-    """Logistic regression by Newton's method."""
-    import numpy as np
-
-    x, y = np.array(x), np.array(y, float)
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        w += np.linalg.solve(h, x.T @ (y - p) - ridge * w)
-    return tuple(float(a) for a in w)
-
-
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     """The model of the labelled documents that aren't held out."""
+    import numpy as np
+
     arrow_rows(docs.sparkSession)
     rows = labelled(docs, labels, most)
     kinds = {bool(r[0]): r[1] for r in rows.groupBy(F.col("toxic") != 0).count().collect()}
@@ -319,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
         weights = []
     model.prepare()
     marks = [model.marginals(n, at, [float(weights[k]) for k in which]) if at else [] for _, n, at, which in found]
-    model.score = fit_score([summary(p) for p in marks], [bool(f[0]) for f in found])
+    model.score = tuple(map(float, logistic(np.array([summary(p) for p in marks]), np.array([bool(f[0]) for f in found], float))))
     return model
 
 
