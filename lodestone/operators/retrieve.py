@@ -52,7 +52,7 @@ def bm25(docs: DataFrame, terms: DataFrame, settings: Settings = Settings(), key
     words = docs.select(F.col(key), tokens(F.col("text")).alias("_w"))
     size = words.agg(F.count("*").alias("n"), F.avg(F.size("_w")).alias("avgdl"))
     wanted = terms.select("term").distinct()
-    each = words.select(key, F.size("_w").alias("dl"), F.explode("_w").alias("term")).join(wanted, "term")
+    each = words.select(key, F.size("_w").alias("dl"), F.explode_outer("_w").alias("term")).join(wanted, "term")
     tf = each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = size.first() or (0, 0.0)
