@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Two states, plain and toxic. A token is labelled toxic for training if it stands in a toxic
-document and its word is much more frequent in toxic documents than in others. The field has
-a weight for each such word, one for being toxic at all, and one for each transition.
+Two states, plain and toxic. The features of a token are its word and the word's beginnings of
+PREFIXES bytes; the one that tells toxic documents best, if any does, stands for the token. A
+token is labelled toxic for training if it stands in a toxic document and has such a feature.
+The field has a weight for each feature, one for being toxic at all, and one for each transition.
 
 Forward-backward gives each token's marginal. Between two words that have a weight all tokens
 are alike, so their part of the recursion is a power of one 2 x 2 matrix; the result is that of
@@ -35,10 +36,12 @@ from lodestone.llm.common import arrow_rows, column, raw_texts
 MAX_TRAIN = 20_000
 MAX_WORDS = 400
 MIN_DOCS = 4
-MIN_Z = 4.0
+MIN_SURPRISE = 25.0  # twice the log-likelihood ratio
 MIN_LOG_ODDS = 1.5
 THRESHOLD = 0.3
 SPAN_MARGINAL = 0.5
+PREFIXES = (7, 6, 5, 4)
+KEPT_WORDS = 300_000
 LOOK = 24  # tokens of a training window at most
 #: Everything in ASCII that isn't a letter separates words.
 SEPARATORS = bytes(i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -49,9 +52,29 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return raw.lower().translate(SEPARATORS).split() if raw else []
 
 
+def features_of(word: bytes) -> list[bytes]:
+    """The word, and its beginnings marked by a star, longest first."""
+    return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n)]
+
+
+class Marks(dict):
+    """word -> its best feature's value, or None; remembers a bounded number of words. ranked lists (feature, value), best first."""
+
+    def __init__(self, ranked: list[tuple]) -> None:
+        super().__init__()
+        self.best = {f: (i, v) for i, (f, v) in enumerate(ranked)}
+
+    def __missing__(self, word: bytes):
+        found = min((self.best[f] for f in features_of(word) if f in self.best), default=(0, None))[1]
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = found
+        return found
+
+
 @dataclass
 class Model:
-    """Field and score. Exponentials are of natural weights; words maps a word to its weight."""
+    """Field and score. Exponentials are of natural weights; words maps a feature to its weight, best features first."""
 
     words: dict[bytes, float] = field(default_factory=dict)
     toxic: float = -6.0
@@ -61,6 +84,7 @@ class Model:
     def prepare(self) -> None:
         import numpy as np
 
+        self.marks = Marks(list(self.words.items()))
         self.a = np.exp(np.array(self.trans).reshape(2, 2))
         self.m = self.a * np.array([1.0, math.exp(self.toxic)])
         values, vectors = np.linalg.eig(self.m)
@@ -99,12 +123,11 @@ class Model:
 
     def document(self, raw: bytes | None) -> tuple[float, list[tuple[int, float]]]:
         """Score, and (token, marginal) of the tokens that have a weight."""
-        words = words_of(raw)
-        known = self.words
-        at = [i for i, w in enumerate(words) if w in known]
         if not self.score:
             return 0.0, []
-        p = self.marginals(len(words), at, [known[words[i]] for i in at]) if at else []
+        weights = list(map(self.marks.__getitem__, words_of(raw)))
+        at = [i for i, w in enumerate(weights) if w is not None]
+        p = self.marginals(len(weights), at, [weights[i] for i in at]) if at else []
         return sigmoid(sum(a * b for a, b in zip(self.score, summary(p), strict=True))), list(zip(at, p, strict=True))
 
 
@@ -133,7 +156,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataF
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic, plain): labelled documents of each kind that have the word; counted in each batch before they are shuffled."""
+    """(word, toxic, plain): labelled documents of each kind that have the feature; counted in each batch before they are shuffled."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -141,45 +164,62 @@ def word_counts(rows: DataFrame) -> DataFrame:
         for b in batches:
             toxic, plain = Counter(), Counter()
             for raw, y in zip(raw_texts(b), column(b, "toxic"), strict=True):
-                (toxic if y else plain).update(set(words_of(raw)))
+                (toxic if y else plain).update({f for w in set(words_of(raw)) for f in features_of(w)})
             words = sorted(toxic.keys() | plain.keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([plain[w] for w in words], pa.int64())], names=["word", "toxic", "plain"])
 
     return rows.select("text", "toxic").mapInArrow(run, "word binary, toxic long, plain long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
+def surprise(toxic, plain, n_toxic, n_plain, log):
+    """Twice the log-likelihood ratio of a word's share among toxic and plain documents, against one share. For numbers or Columns."""
+
+    def likelihood(k, n, q):
+        return k * log(q + 1e-12) + (n - k) * log(1 - q + 1e-12)
+
+    q = (toxic + plain) / (n_toxic + n_plain)
+    return 2 * (likelihood(toxic, n_toxic, toxic / n_toxic) + likelihood(plain, n_plain, plain / n_plain) - likelihood(toxic, n_toxic, q) - likelihood(plain, n_plain, q))
+
+
+def log_odds(toxic, plain, n_toxic, n_plain, log):
+    return log((toxic + 0.5) / (n_toxic - toxic + 0.5)) - log((plain + 0.5) / (n_plain - plain + 0.5))
+
+
 def marked_words(rows: DataFrame, n_toxic: int, n_plain: int) -> list[bytes]:
-    """The words that tell toxic documents best: MAX_WORDS at most."""
-    a, b = F.col("toxic") + 0.5, F.col("plain") + 0.5
-    odds = F.log(a / (n_toxic - F.col("toxic") + 0.5)) - F.log(b / (n_plain - F.col("plain") + 0.5))
-    counts = word_counts(rows).where(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
-    found = counts.where((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_LOG_ODDS)).orderBy(F.desc("z"), "word").limit(MAX_WORDS)
-    return sorted(bytes(r["word"]) for r in found.select("word").collect())
+    """The features that tell toxic documents best, best first: MAX_WORDS at most. Of equal ones the longer beginning, then the word."""
+    args = (F.col("toxic"), F.col("plain"), n_toxic, n_plain, F.log)
+    counts = word_counts(rows).where(F.col("toxic") >= MIN_DOCS).withColumns({"surprise": surprise(*args), "odds": log_odds(*args)})
+    found = counts.where((F.col("surprise") >= MIN_SURPRISE) & (F.col("odds") >= MIN_LOG_ODDS)).orderBy(F.desc("surprise"), F.desc(F.octet_length("word")), "word").limit(MAX_WORDS)
+    return [bytes(r["word"]) for r in found.select("word").collect()]
 
 
 def needed_words(found: list[tuple], n_words: int) -> list[int]:
     """Of the marked words those that tell toxic documents by their own surroundings.
 
-    A word's support is the number of documents, or of different neighbours (the words before
-    and behind it), if that is less. A word that is frequent in toxic documents only because
-    one of them has many near copies has the same neighbours in all of them.
+    A word's support is the number of toxic documents in which at least half of its occurrences
+    have neighbours (the words before and behind) that no document before had. A word that is
+    frequent in toxic documents only because one of them has many near copies has the same
+    neighbours in all of them.
     """
-    import numpy as np
-
-    seen: dict[tuple[int, bool], tuple[set, int]] = {}
+    around: dict[int, set] = {}
+    support, plain = Counter(), Counter()
     for toxic, _, _, which, beside in found:
+        here: dict[int, list] = {}
         for k, x in zip(which, beside, strict=True):
-            seen.setdefault((k, bool(toxic)), (set(), 0))[0].add(x)
-        for k in set(which):
-            around, docs = seen[k, bool(toxic)]
-            seen[k, bool(toxic)] = around, docs + 1
+            here.setdefault(k, []).append(x)
+        for k, xs in here.items():
+            if not toxic:
+                plain[k] += 1
+                continue
+            seen = around.setdefault(k, set())
+            support[k] += 2 * sum(x not in seen for x in xs) >= len(xs)
+            seen.update(xs)
     total = Counter(bool(f[0]) for f in found)
-    support = lambda k, y: min(len(seen[k, y][0]), seen[k, y][1]) if (k, y) in seen else 0
     out = []
     for k in range(n_words):
-        t, n = support(k, True), seen.get((k, False), (set(), 0))[1]
-        odds = np.log((t + 0.5) / (total[True] - t + 0.5)) - np.log((n + 0.5) / (total[False] - n + 0.5))
-        if t >= MIN_DOCS and odds >= MIN_LOG_ODDS and odds / np.sqrt(1 / (t + 0.5) + 1 / (n + 0.5)) >= MIN_Z:
+        t = support[k]
+        args = (t, plain[k], total[True], total[False], math.log)
+        if t >= MIN_DOCS and log_odds(*args) >= MIN_LOG_ODDS and surprise(*args) >= MIN_SURPRISE:
             out.append(k)
     return out
 
@@ -196,18 +236,20 @@ def only(found: list[tuple], words: list[int]) -> list[tuple]:
 
 def places(rows: DataFrame, words: list[bytes]) -> list[tuple]:
     """(toxic, tokens, places, words, neighbours) of each sampled document; words by number. Their number is bounded by the sample's."""
-    number = {w: i for i, w in enumerate(words)}
+    ranked = [(w, i) for i, w in enumerate(words)]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        number = Marks(ranked)
         for b in batches:
             out = []
             for d, raw, y in zip(column(b, "doc_id"), raw_texts(b), column(b, "toxic"), strict=True):
                 tokens = words_of(raw)
-                at = [i for i, w in enumerate(tokens) if w in number]
+                which = list(map(number.__getitem__, tokens))
+                at = [i for i, k in enumerate(which) if k is not None]
                 beside = [zlib.crc32(b" ".join(tokens[max(0, i - 1) : i] + tokens[i + 1 : i + 2])) for i in at]
-                out.append((d, y, len(tokens), at, [number[tokens[i]] for i in at], beside))
+                out.append((d, y, len(tokens), at, [which[i] for i in at], beside))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "toxic", "n", "at", "which", "beside"])
