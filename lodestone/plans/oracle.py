@@ -160,3 +160,38 @@ SQL["author_gap"] = """WITH r AS (SELECT lang || '-' || (doc_id % 40) AS query_i
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score + bias DESC, id) AS p0, bool_or(au) OVER (PARTITION BY query_id) AS any_au, bool_or(au AND te) OVER (PARTITION BY query_id) AS good FROM r),
 k AS (SELECT *, any_au AND terms AND NOT good AS author_gap FROM h WHERE NOT any_au OR CASE WHEN terms THEN (au AND te) OR NOT good ELSE au END)
 SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score + bias - CASE WHEN author_gap THEN bias ELSE 0 END DESC, p0) AS INTEGER) AS place, author_gap FROM k"""
+
+
+TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace({TRIM.format('{}')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {TRIM.format('x')}), lambda x: length(x) >= 20 AND regexp_matches(x, '^[A-Z]'))"
+CLEAN = (
+    rf"array_to_string(list_filter(string_split_regex(array_to_string(list_filter(list_transform(string_split({{}}, chr(10)), lambda x: {TRIM.format('x')}), "
+    r"lambda x: x <> '' AND NOT starts_with(x, '{{') AND NOT starts_with(x, '[') AND NOT contains(lower(x), 'provenance') AND NOT contains(lower(x), 'graph_reasoning')), ' '), '\s+'), lambda w: w <> ''), ' ')"
+)
+TECHNICAL = " OR ".join(f"contains(lower(n), '{t}')" for t in ("{", "}", "[{", "graph_reasoning", "provenance", "offset_start", "offset_end", '"source"', "''source''", '"id"', "''id''"))
+STOP = "['the', 'a', 'an', 'and', 'or', 'of', 'to', 'in', 'on', 'for', 'is', 'are', 'that', 'this', 'it', 'as', 'we', 'our', 'us', 'be', 'by', 'with', 'not', 'what', 'how', 'does', 'do', 'say', 'about']"
+EVAL_TOKENS = f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({{}}, '')), '[a-z0-9]+'), lambda w: NOT list_contains({STOP}, w)))"
+
+SQL["sentence_clamp"] = rf"""WITH s AS (SELECT doc_id AS id, text, {SENTENCES.format('text')}[1:8] AS ss FROM documents),
+k AS (SELECT *, list_transform(ss, lambda x: array_to_string(list_filter(string_split_regex(regexp_replace(lower(x), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda w: w <> '')[1:10], ' ')) AS ks FROM s),
+u AS (SELECT *, list_filter(ss, lambda x, i: list_position(ks, ks[i]) = i)[1:4] AS us FROM k),
+j AS (SELECT id, text, CASE WHEN len(ss) = 0 THEN text ELSE array_to_string(CASE WHEN len(us) < 2 THEN ss[1:4] ELSE us END, ' ') END AS a FROM u),
+n AS (SELECT id, {CLEAN.format('a')} AS answer, {CLEAN.format('text')} AS n FROM j)
+SELECT id, answer, length(n) >= 40 AND NOT ({TECHNICAL}) AS natural FROM n"""
+
+SQL["fallback_answer"] = f"""WITH {CORPUS}, {ASKED}, {POSTINGS}, {bm25('q', 's')}, r AS ({ranked('s', 3)}),
+t AS (SELECT query_id, rank, {SENTENCES.format('text')}[1:2] AS ss FROM r JOIN c USING (id)),
+f AS (SELECT query_id, flatten(list(ss ORDER BY rank))[1:2] AS ss FROM t GROUP BY query_id),
+j AS (SELECT query_id, ss, array_to_string(ss, ' ') AS a FROM f)
+SELECT query_id, CASE WHEN len(ss) = 0 THEN 'I could not find enough clean evidence to generate a natural answer.' ELSE {CLEAN.format('a')} END AS answer FROM j"""
+
+SQL["eval_scores"] = f"""WITH {CORPUS}, {ASKED}, {POSTINGS}, {bm25('q', 's')}, r AS ({ranked('s', 6)}),
+g AS (SELECT query_id, list(source ORDER BY rank) AS sources, substr(first(text ORDER BY rank), 1, 200) AS answer FROM r JOIN c USING (id) GROUP BY query_id),
+runs AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'a' ELSE 'b' END AS config, sources, answer, (query_id % 5) / 5.0::DOUBLE AS conf, query_id % 9 = 0 AS bad FROM q LEFT JOIN g USING (query_id)),
+truth AS (SELECT item_id AS query_id, list_distinct(['src' || (item_id % 20), 'src' || (item_id * 3 % 20), 'src' || (item_id * 7 % 20)]) AS want, CASE WHEN item_id % 3 = 0 THEN '' ELSE substr(text, 1, 150) END AS ref FROM benchmark WHERE item_id % 4 <> 3),
+m AS (SELECT runs.*, want, ref, len(list_filter(want, lambda x: coalesce(list_contains(sources[1:5], x), false)))::DOUBLE AS got, {EVAL_TOKENS.format('answer')} AS ta, {EVAL_TOKENS.format('ref')} AS tb FROM runs LEFT JOIN truth USING (query_id)),
+o AS (SELECT *, len(list_intersect(ta, tb))::DOUBLE AS same FROM m)
+SELECT config, count(*) AS n, count(*) FILTER (bad) AS errors, round(avg(got / len(want)) FILTER (NOT bad AND want IS NOT NULL), 6) AS recall,
+ round(avg((got > 0)::INT::DOUBLE) FILTER (NOT bad AND want IS NOT NULL), 6) AS hit_rate,
+ round(avg(CASE WHEN same = 0 THEN 0 ELSE 2 * (same / len(ta)) * (same / len(tb)) / (same / len(ta) + same / len(tb)) END) FILTER (NOT bad AND coalesce(ref, '') <> ''), 6) AS lexical_overlap,
+ round(avg(conf) FILTER (NOT bad), 6) AS confidence FROM o GROUP BY config"""

@@ -191,3 +191,20 @@ def test_normalize_and_provenance(spark):
     assert [r["id"] for r in evidence.pick(rows, trusted).orderBy("pick").collect()] == ["c", "a"]
     picks = rows.withColumn("pick", F.col("place"))
     assert [p["id"] for p in evidence.provenance(picks).first()["provenance"]] == ["a", "c"]
+
+
+def test_offsets_of_real_documents(spark, tiny):
+    """The same search over plain strings."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "source", "text")
+    got = {}
+    for r in chunk.chunks(docs).collect():
+        got.setdefault(r["doc_id"], []).append((r["chunk_index"], r["text"], r["offset_start"], r["offset_end"]))
+    for d in docs.collect():
+        words, at, want = d["text"].split(), 0, []
+        for i in range(0, len(words), 150):
+            part = words[i : i + 200]
+            found = d["text"].find(part[0], at)
+            start = found if found >= 0 else at
+            at = start + len(" ".join(part))
+            want.append((i // 150, " ".join(part), start, at))
+        assert sorted(got.get(d["doc_id"], [])) == want
