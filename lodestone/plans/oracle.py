@@ -119,7 +119,7 @@ x AS (SELECT chunk_id, count(DISTINCT other) AS contradictions FROM l JOIN both_
 SELECT chunk_id, support, entities, coalesce(contradictions, 0) AS contradictions, round(support + 0.1::DOUBLE * entities - 0.5::DOUBLE * coalesce(contradictions, 0), 3) AS score FROM s JOIN e USING (chunk_id) LEFT JOIN x USING (chunk_id)""",
     "graph_relations": f"""WITH {GRAPH} SELECT src, predicate, dst, CAST(count(*) AS BIGINT) AS strength FROM ce JOIN rel ON ce.name = rel.src GROUP BY src, predicate, dst HAVING count(*) >= 2""",
     "graph_conflicts": f"""WITH {GRAPH} SELECT src, dst, array_to_string(list_sort(list(DISTINCT predicate)), ',') AS predicates FROM rel GROUP BY src, dst HAVING count(DISTINCT predicate) > 1""",
-    "graph_paths": f"""WITH {GRAPH} SELECT claim_id, src, predicate, dst, count(*) AS n FROM l JOIN orders ON l.chunk_id = o_orderkey JOIN ke USING (claim_id) JOIN rel ON ke.name = rel.src WHERE o_orderpriority = '1-URGENT' GROUP BY claim_id, src, predicate, dst""",
+    "graph_paths": f"""WITH {GRAPH} SELECT claim_id, src, predicate, dst, count(*) AS n FROM l JOIN orders ON l.chunk_id = o_orderkey JOIN ke USING (claim_id) JOIN rel ON ke.name = rel.src WHERE o_orderpriority = '1-URGENT' GROUP BY claim_id, src, predicate, dst ORDER BY n DESC, claim_id, src, predicate, dst LIMIT 10""",
     "judge_confidence": f"""WITH {JUDGED}, a AS (SELECT *, CASE WHEN contradictions > 0 THEN least(base * (1 - least(0.5::DOUBLE, 0.1::DOUBLE * contradictions)), 0.6::DOUBLE) ELSE base END AS c1 FROM j),
 b AS (SELECT *, CASE WHEN conflicts > 0 THEN greatest(0, c1 * (1 - least(0.5::DOUBLE, 0.15::DOUBLE * conflicts))) ELSE c1 END AS c2 FROM a)
 SELECT query_id, round(CASE WHEN contradictions = 0 AND strong > 0 THEN least(1, c2 + least(0.2::DOUBLE, 0.05::DOUBLE * strong)) ELSE c2 END, 6) AS confidence FROM b""",
@@ -139,7 +139,7 @@ p AS (SELECT *, max(n) OVER (PARTITION BY event_type) AS total, coalesce(lag(le)
 r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY le) AS k FROM p WHERE n >= 0.95::DOUBLE * total)
 SELECT event_type, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (0.95::DOUBLE * total - below) / (n - below) END, 6) AS p95 FROM r WHERE k = 1""",
     "hourly_rates": "SELECT event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, count(*) AS n FROM events GROUP BY 1, 2",
-    "audit_page": f"""WITH {AUDIT} SELECT id, user_id, created_at FROM a WHERE event_type = 'view' AND (created_at < {START}.0 OR (created_at = {START}.0 AND id < 50)) ORDER BY created_at DESC, id DESC LIMIT 100""",
+    "audit_page": f"""WITH {AUDIT} SELECT id, user_id, created_at FROM a WHERE event_type = 'view' AND (created_at < {START + 15 * 86400}.0 OR (created_at = {START + 15 * 86400}.0 AND id < 50)) ORDER BY created_at DESC, id DESC LIMIT 100""",
     "feedback_list": f"""WITH {AUDIT} SELECT id, rating, created_at FROM a WHERE event_type = 'purchase' AND rating >= 4 ORDER BY created_at DESC, id DESC LIMIT 200""",
     "training_export": f"""WITH {AUDIT}, f AS (SELECT user_id, query, rating, 'c' AS comment FROM (SELECT *, row_number() OVER (PARTITION BY user_id, query ORDER BY created_at, id) AS r FROM a WHERE event_type = 'purchase' AND rating >= 4) WHERE r = 1)
 SELECT a.id, a.user_id, a.query, f.rating, f.comment FROM a LEFT JOIN f ON a.user_id = f.user_id AND a.query = f.query WHERE event_type = 'view'""",
