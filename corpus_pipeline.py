@@ -14,6 +14,8 @@ from lodestone.llm import neardup, packing, pii, quality, toxicity
 from lodestone.llm.common import keep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Of 100 shingles of five words, how many near duplicates share at least.
+NEAR = 80
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near duplicates, every document without shingles, and rows without an id. Rows that share an id stay together."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs, NEAR).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id IS NULL")).select(*COLUMNS)
 
 

@@ -1,12 +1,13 @@
 """Near duplicates by a multi-index Hamming join of b-bit MinHash signatures.
 
-A document's signature has POSITIONS MinHash values of 16 bits of its set of five-word
-shingles. It is split into chunks of CHUNK positions. If two signatures differ in at most
-DISTANCE positions, then by the pigeonhole principle they differ in at most one position of
-some chunk. So each chunk is indexed once for each position left out; documents that share an
-index key meet. All pairs within DISTANCE are found; at a resemblance of 0.85 a pair is missed
-with a chance below one in a million. Pairs that meet and differ in more than FAR positions
-are passed over; every other link is confirmed on the full sets.
+A document's signature has MinHash values of 16 bits of its set of five-word shingles. It is
+split into chunks of CHUNK positions. If two signatures of n chunks differ in at most 2 n - 1
+positions, then by the pigeonhole principle they differ in at most one position of some chunk.
+So each chunk is indexed once for each position left out; documents that share an index key
+meet. Pairs that meet and differ in more than ``far`` positions are passed over; every other
+link is confirmed on the full sets. The number of chunks and ``far`` follow from the percentage
+that links (Scheme): a pair at that resemblance is missed with a chance below MISSED. At 85
+they are 8 chunks and 19 positions, at 80 they are 11 and 27.
 
 Nothing is quadratic in the rows of the shuffles. Equal sets are one class before anything else.
 In a bucket (a key's documents) each one is first compared with the two ends of the bucket,
@@ -25,6 +26,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
+from itertools import count
+from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,15 +39,39 @@ from lodestone.llm.components import components
 
 WORDS = 5
 PERCENT = 85
-CHUNK, CHUNKS = 5, 8
-POSITIONS = CHUNK * CHUNKS
-DISTANCE = 2 * CHUNKS - 1
-FAR = 19
+CHUNK = 5
+MISSED = 1e-6
 BLOCK = 1024
 SEED = 20_011
 STEP = 4096  # shingles hashed at once
 
 
+@dataclass(frozen=True)
+class Scheme:
+    """What finds the pairs that share percent of 100 shingles."""
+
+    percent: int
+    chunks: int
+    far: int
+
+    @property
+    def positions(self) -> int:
+        return CHUNK * self.chunks
+
+
+@cache
+def scheme(percent: int) -> Scheme:
+    """Fewest chunks, then least far, with which a pair at the percentage is missed with a chance below MISSED."""
+    if not 0 < percent <= 100:
+        raise ValueError(percent)
+    p, q = percent / 100, 1 - percent / 100
+    apart = 1 - p**CHUNK - CHUNK * q * p ** (CHUNK - 1)
+    chunks = next(n for n in count(1) if apart**n < MISSED)
+    n = CHUNK * chunks
+    beyond = lambda far: sum(comb(n, k) * q**k * p ** (n - k) for k in range(far + 1, n + 1))
+    return Scheme(percent, chunks, next(f for f in range(n + 1) if apart**chunks + beyond(f) < MISSED))
+
+
 def shingles(raw: bytes | None, size: int = WORDS):
     """Distinct 64-bit hashes of the shingles, ascending."""
     import numpy as np
@@ -62,11 +91,11 @@ def shingles(raw: bytes | None, size: int = WORDS):
     return np.unique(h ^ (h >> np.uint64(29)))
 
 
-def factors():
+def factors(positions: int):
     import numpy as np
 
     rng = np.random.default_rng(SEED)
-    draw = lambda: rng.integers(0, 2**64, (POSITIONS, 1), np.uint64)
+    draw = lambda: rng.integers(0, 2**64, (positions, 1), np.uint64)
     return draw() | np.uint64(1), draw()
 
 
@@ -75,7 +104,7 @@ def signature(hashes, by) -> bytes:
     import numpy as np
 
     a, b = by
-    low = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), STEP):
         v = hashes[i : i + STEP] * a
         v += b
@@ -83,13 +112,13 @@ def signature(hashes, by) -> bytes:
     return ((low * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, by: Scheme) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, signature): set_a and set_b are 128 bits that stand for the set."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        by = factors()
+        drawn = factors(by.positions)
         schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
 
         def rows():
@@ -98,7 +127,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     s = shingles(raw)
                     key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     ends = (int.from_bytes(key[i : i + 8], "little", signed=True) for i in (0, 8))
-                    yield d, len(s), *ends, signature(s, by) if len(s) else None
+                    yield d, len(s), *ends, signature(s, drawn) if len(s) else None
 
         yield from to_batches(rows(), schema, 10_000)
 
@@ -106,32 +135,33 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
-def index_keys(classes: DataFrame) -> DataFrame:
+def index_keys(classes: DataFrame, by: Scheme) -> DataFrame:
     """(key, place, id): a key for each chunk and each of its positions left out; place is their number."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        chunks = by.chunks
         kept = np.array([[p for p in range(CHUNK) if p != m] for m in range(CHUNK)])
-        tag = np.arange(CHUNKS * CHUNK, dtype=np.uint64).reshape(CHUNKS, CHUNK) + np.uint64(1)
+        tag = np.arange(chunks * CHUNK, dtype=np.uint64).reshape(chunks, CHUNK) + np.uint64(1)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             if not len(ids):
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(len(ids), CHUNKS, CHUNK).astype(np.uint64)
-            h = tag * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(ids), CHUNKS, CHUNK), np.uint64)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(len(ids), chunks, CHUNK).astype(np.uint64)
+            h = tag * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(ids), chunks, CHUNK), np.uint64)
             for p in range(CHUNK - 1):
                 h = (h ^ sig[:, :, kept[:, p]]) * np.uint64(0xD6E8FEB86659FD93)
                 h ^= h >> np.uint64(31)
             keys = h.reshape(-1).view(np.int64)
-            place = np.tile(np.arange(CHUNKS * CHUNK, dtype=np.int32), len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(place), pa.array(np.repeat(ids, CHUNKS * CHUNK))], names=["key", "place", "id"])
+            place = np.tile(np.arange(chunks * CHUNK, dtype=np.int32), len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(place), pa.array(np.repeat(ids, chunks * CHUNK))], names=["key", "place", "id"])
 
     return classes.select("id", "signature").mapInArrow(run, "key long, place int, id long")
 
 
-def rather_near(pairs: DataFrame) -> DataFrame:
+def rather_near(pairs: DataFrame, by: Scheme) -> DataFrame:
     """(a, b) of pairs(a, b, sig_a, sig_b, n_a, n_b) that their signatures and sizes allow."""
 
     def run(batches: Iterator) -> Iterator:
@@ -139,22 +169,22 @@ def rather_near(pairs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(column(batch, n)), "<u2").reshape(-1, POSITIONS) for n in ("sig_a", "sig_b"))
+            x, y = (np.frombuffer(b"".join(column(batch, n)), "<u2").reshape(-1, by.positions) for n in ("sig_a", "sig_b"))
             n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            good = ((x != y).sum(1) <= FAR) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+            good = ((x != y).sum(1) <= by.far) & (100 * np.minimum(n, m) >= by.percent * np.maximum(n, m))
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return pairs.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
-def alike(x, y) -> bool:
+def alike(x, y, percent: int) -> bool:
     import numpy as np
 
     both = len(x) + len(y) - len(np.union1d(x, y))
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs(a, b) whose full sets are alike."""
 
     def run(batches: Iterator) -> Iterator:
@@ -163,7 +193,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         for batch in batches:
             x, y = ([np.frombuffer(r, np.uint64) for r in column(batch, n)] for n in ("set_x", "set_y"))
-            yield batch.select(["a", "b"]).filter(pa.array([alike(p, q) for p, q in zip(x, y, strict=True)], pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array([alike(p, q, percent) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
     held = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_y")), "b")
     return held.select("a", "b", "set_x", "set_y").mapInArrow(run, "a long, b long")
@@ -182,7 +212,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary")
 
 
-def open_pairs(sig, n, label, side, key):
+def open_pairs(sig, n, label, side, key, by: Scheme):
     """Places (i, j) of pairs of a block that are still to be compared, nearest first.
 
     Pairs of one component are settled. A pair that shares several keys is compared at the
@@ -192,10 +222,10 @@ def open_pairs(sig, n, label, side, key):
 
     out = []
     for i in range(len(sig) - 1):
-        same = (sig[i + 1 :] == sig[i]).reshape(-1, CHUNKS, CHUNK)
+        same = (sig[i + 1 :] == sig[i]).reshape(-1, by.chunks, CHUNK)
         count = same.sum(2)
-        far = POSITIONS - count.sum(1)
-        ok = (far <= FAR) & (label[i + 1 :] != label[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i]))
+        far = by.positions - count.sum(1)
+        ok = (far <= by.far) & (label[i + 1 :] != label[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= by.percent * np.maximum(n[i + 1 :], n[i]))
         if side is not None:
             ok &= side[i + 1 :] != side[i]
         for j in np.flatnonzero(ok):
@@ -207,11 +237,11 @@ def open_pairs(sig, n, label, side, key):
     return [(i, j) for _, i, j in out]
 
 
-def block_columns(table):
+def block_columns(table, by: Scheme):
     import numpy as np
 
     ids = table.column("id").to_pylist()
-    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(ids), POSITIONS)
+    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(ids), by.positions)
     n, label = (np.array(table.column(c).to_pylist()) for c in ("n", "label"))
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     side = None if i == j else np.array(table.column("block").to_pylist())
@@ -219,21 +249,21 @@ def block_columns(table):
     return ids, sig, n, label, side, (place // CHUNK, place % CHUNK)
 
 
-def still_open(table):
+def still_open(table, by: Scheme):
     """The rows of a pair of blocks that are in a pair still to be compared."""
     import pyarrow as pa
 
-    ids, *rest = block_columns(table)
-    wanted = sorted({x for p in open_pairs(*rest) for x in p})
+    ids, *rest = block_columns(table, by)
+    wanted = sorted({x for p in open_pairs(*rest, by) for x in p})
     return table.take(pa.array(wanted, pa.int64()))
 
 
-def block_links(table):
+def block_links(table, by: Scheme):
     """A spanning forest of the links between the components of a pair of blocks."""
     import numpy as np
     import pyarrow as pa
 
-    ids, sig, n, label, side, key = block_columns(table)
+    ids, sig, n, label, side, key = block_columns(table, by)
     sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
     root = {int(x): int(x) for x in label}
 
@@ -243,16 +273,16 @@ def block_links(table):
         return x
 
     a, b = [], []
-    for i, j in open_pairs(sig, n, label, side, key):
+    for i, j in open_pairs(sig, n, label, side, key, by):
         x, y = top(int(label[i])), top(int(label[j]))
-        if x != y and alike(sets[i], sets[j]):
+        if x != y and alike(sets[i], sets[j], by.percent):
             root[max(x, y)] = min(x, y)
             a.append(ids[i])
             b.append(ids[j])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def rest_links(members: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+def rest_links(members: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, by: Scheme) -> DataFrame:
     """Links between components within buckets of four or more documents, but for their ends."""
     inner = members.where((F.col("n") >= 4) & (F.col("id") != F.col("lo")) & (F.col("id") != F.col("hi")))
     marked = inner.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -264,28 +294,29 @@ def rest_links(members: DataFrame, classes: DataFrame, sets: DataFrame, labels:
     rows = dealt.join(classes.select("id", "signature", F.col("n_shingles").alias("n")), "id")
     fields = "id long, key long, place int, i int, j int, block int, label long, signature binary, n long"
     rows = rows.select(*(x.split()[0] for x in fields.split(", ")))
-    left = keep(rows.groupBy("key", "place", "i", "j").applyInArrow(still_open, fields), "open-pairs")
-    return left.join(sets, "id").groupBy("key", "place", "i", "j").applyInArrow(block_links, "a long, b long")
+    left = keep(rows.groupBy("key", "place", "i", "j").applyInArrow(lambda t: still_open(t, by), fields), "open-pairs")
+    return left.join(sets, "id").groupBy("key", "place", "i", "j").applyInArrow(lambda t: block_links(t, by), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
-    rows = keep(sketches(docs), "sketches")
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document; links are between those that share percent of 100 shingles or more."""
+    way = scheme(percent)
+    rows = keep(sketches(docs, way), "sketches")
     by = ["set_a", "set_b", "n_shingles"]
     classes = keep(rows.where("n_shingles > 0").groupBy(*by).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")), "classes")
     nodes = classes.where("id IS NOT NULL")
-    keys = index_keys(nodes)
+    keys = index_keys(nodes, way)
     buckets = keys.groupBy("key", "place").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     members = keep(keys.join(buckets, ["key", "place"]), "members")
     ends = members.select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id <> end").select(F.greatest("id", "end").alias("a"), F.least("id", "end").alias("b")).distinct()
     about = nodes.select("id", "signature", "n_shingles")
     for side in ("a", "b"):
         ends = ends.join(about.toDF(side, f"sig_{side}", f"n_{side}"), side)
-    pairs = keep(rather_near(ends), "pairs")
+    pairs = keep(rather_near(ends, way), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.where("n >= 4").select("id")).distinct()
     sets = keep(full_sets(docs, ids), "sets")
-    links = keep(confirmed(pairs, sets), "links")
-    more = rest_links(members, nodes, sets, components(links))
+    links = keep(confirmed(pairs, sets, percent), "links")
+    more = rest_links(members, nodes, sets, components(links), way)
     labels = components(links.union(more))
     found = classes.join(labels, "id", "left").select(*by, F.coalesce("label", "id").alias("class_id"))
     out = rows.drop("signature").join(found, by, "left")
@@ -295,4 +326,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op4_hamming_minhash(spark, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 of 100 shingles or more."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), PERCENT)
