@@ -58,7 +58,7 @@ NEEDS = {
     "ip": lambda t: t.rlike("[0-9]") & t.contains("."),
     "card": lambda t: t.rlike("[0-9]"),
     "phone": lambda t: t.contains("+"),
-    "address": lambda t: t.contains("@") | t.contains("[at]") | t.contains("(at)") | t.contains(" dot "),
+    "address": lambda t: t.contains("@") | t.contains("[at") | t.contains("(at") | t.contains(" at "),
     "number": lambda t: t.rlike("[0-9]"),
 }
 MATCH = "array<struct<s:int,e:int,m:string>>"
