@@ -1,7 +1,7 @@
 """Personal data by boosted trees over candidate spans, in DataFrame functions only.
 
 Generators of high recall propose spans of an e-mail address or a number, in every format they
-know. Features describe a candidate's format and the text around it. Boosted trees, fitted
+know. Numbers side by side are one run; its parts of whole groups of digits are proposed too. Features describe a candidate's format and the text around it. Boosted trees, fitted
 here on labelled candidates of the formats below, give calibrated probabilities; a kind's threshold
 is the lowest that kept its precision on the half that wasn't fitted. The trees are then one
 expression over a candidate's features, evaluated by Spark.
@@ -43,6 +43,8 @@ GENERATORS = {
     "number": r"(?:\G|(?<![0-9A-Za-z]))[+(]?[0-9][0-9\x20().-]{5,}[0-9](?![0-9A-Za-z])",
 }
 BEFORE = 24
+#: Digits that a part of a run may have: the fewest of a phone number, the most of a card.
+LEAST, MOST = 9, 19
 CONTEXT = {
     "c_phone": r"(?i)(?:tel|phone|call|mobile|fax|telefon|t.l.phone|tel.fono|dial)",
     "c_card": r"(?i)(?:card|visa|karte|carte|tarjeta|credit)",
@@ -142,7 +144,8 @@ def features(m: str, before: str, after: str) -> dict[str, str]:
         "sign": f"IF(contains({m}, '@'), 1, 0)",
         "bracket": f"IF({m} RLIKE '[(\\\\[]at[)\\\\]]', 1, 0)",
         "last": f"length(regexp_extract({m}, '[A-Za-z]*$', 0))",
-        "glued": f"IF({before} RLIKE '[A-Za-z0-9#$_.-]$' OR {after} RLIKE '^[A-Za-z0-9%_]', 1, 0)",
+        # A part of a run is glued too if it begins behind a country code, or if a dash or dot leads on to the next group.
+        "glued": f"IF({before} RLIKE '[A-Za-z0-9#$_.-]$|[+][0-9]{{1,3}}[ ().-]*$' OR {after} RLIKE '^([A-Za-z0-9%_]|[.-][0-9])', 1, 0)",
         **{k: f"IF({before} RLIKE '{v}', 1, 0)" for k, v in quoted.items()},
     }
 
@@ -183,12 +186,15 @@ def examples(kind: str, n: int = 1200, seed: int = 7) -> tuple[list[dict], list[
                 r["longest"] = r["n_digits"] if r["n_groups"] == 1 else 4 if r["n_groups"] == 4 else 6
             for r in rows[-2:]:
                 r["longest"] = max(-(-r["n_digits"] // r["n_groups"]), rng.randint(1, r["n_digits"]))
+            # Cut out of longer numbers.
+            add(0, n_digits=rng.randint(12, 19), n_groups=rng.randint(1, 7), longest=rng.randint(4, 16), c_card=some(0.6), c_phone=some(0.2), paren=some(0.3), glued=1)
         else:
             g = rng.choice([3, 3, 4])
             add(1, n_digits=rng.choice([10, 10, 11]), n_groups=g, longest=4, n_dashes=g - 1 if some(0.5) else 0, n_blanks=rng.randint(0, g - 1), paren=some(0.5), c_phone=some(0.3))
             add(1, n_digits=rng.randint(9, 13), n_groups=rng.randint(1, 6), longest=rng.randint(2, 10), n_blanks=rng.randint(0, 4), c_phone=1, plus=some(0.3))
             add(0, n_digits=rng.randint(6, 20) if some(0.5) else rng.randint(14, 60), n_groups=rng.randint(1, 6), longest=rng.randint(1, 16), n_dots=rng.randint(0, 4), n_dashes=some(0.5), c_other=some(0.6), c_ip=some(0.1), glued=some(0.5))
             add(0, n_digits=8, n_groups=3, longest=4, n_dashes=2, c_other=some(0.2))
+            add(0, n_digits=rng.randint(9, 19), n_groups=rng.randint(1, 6), longest=rng.randint(2, 10), n_dashes=rng.randint(0, 3), n_blanks=rng.randint(0, 4), paren=some(0.4), c_phone=some(0.6), glued=1)
     order = list(range(len(rows)))
     rng.shuffle(order)
     return [rows[i] for i in order], [labels[i] for i in order]
@@ -200,23 +206,50 @@ def model(kind: str) -> boosting.Boosted:
     return boosting.fit([{k: r[k] for k in USED[kind]} for r in rows], labels)
 
 
+def with_candidates(df: DataFrame) -> DataFrame:
+    """df plus ``_address`` and ``_number``, array<struct<s, e, m, b, a>>: candidates that overlap no base span, with the text around them.
+
+    A run of numbers is proposed whole, and so is each sequence of its groups of digits that has
+    LEAST to MOST digits, with the sign or bracket before it, unless it ends within brackets that it
+    opens. A group begins at most MOST of them.
+    """
+    before = lambda s: f"substring(_text, greatest({s} - {BEFORE} + 1, 1), least({s}, {BEFORE}))"
+    free = lambda x: f"NOT exists(base_spans, y -> y.s < {x}.e AND {x}.s < y.e)"
+    whole = lambda name: f"transform(_m_{name}, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'b', {before('x.s')}, 'a', substring(_text, x.e + 1, 2)))"
+    df = df.withColumns({f"_w_{name}": F.expr(whole(name)) for name in GENERATORS})
+    # Groups of each run: p is the text since the last group, n the digits.
+    piece = "named_struct('p', p, 'n', length(regexp_extract(p, '[0-9]+$', 0)), 'w', length(regexp_extract(p, '[+(]?[0-9]+$', 0)))"
+    pieces = f"transform(regexp_extract_all(x.m, '[^0-9]*[0-9]+', 0), p -> {piece})"
+    none = "cast(array() as array<struct<p:string,n:int,w:int,e:int>>)"
+    placed = f"aggregate({pieces}, named_struct('at', x.s, 'out', {none}), (acc, g) -> named_struct('at', acc.at + length(g.p), 'out', concat(acc.out, array(named_struct('p', g.p, 'n', g.n, 'w', g.w, 'e', acc.at + length(g.p))))), acc -> acc.out)"
+    df = df.withColumn("_g_number", F.expr(f"transform(_m_number, x -> named_struct('s', x.s, 'e', x.e, 'g', {placed}))"))
+    around = f"transform(x.g, g -> named_struct('p', g.p, 'n', g.n, 'w', g.w, 's', g.e - g.w, 'e', g.e, 'b', {before('(g.e - g.w)')}, 'a', substring(_text, g.e + 1, 2)))"
+    df = df.withColumn("_g_number", F.expr(f"transform(_g_number, x -> named_struct('s', x.s, 'e', x.e, 'g', {around}))"))
+    digits = "aggregate(slice(x.g, i + 1, k + 1), 0, (n, h) -> n + h.n)"
+    joined = "array_join(slice(x.g, i + 1, k + 1).p, '')"
+    part = f"named_struct('n', {digits}, 's', f.s, 'e', l.e, 'm', {joined}, 'b', f.b, 'a', l.a)"
+    some = f"filter(transform(slice(x.g, i + 1, {MOST}), (l, k) -> {part}), c -> c.n BETWEEN {LEAST} AND {MOST} AND NOT (c.s = x.s AND c.e = x.e) AND NOT (c.e < x.e AND startswith(c.a, ')') AND c.m RLIKE '[(][^)]*$'))"
+    parts = f"flatten(transform(_g_number, x -> flatten(transform(x.g, (f, i) -> {some}))))"
+    cut = "transform(_p_number, c -> named_struct('s', c.s, 'e', c.e, 'm', right(c.m, c.e - c.s), 'b', c.b, 'a', c.a))"
+    df = df.withColumn("_p_number", F.expr(parts))
+    df = df.withColumns({"_address": F.expr(f"filter(_w_address, x -> {free('x')})"), "_number": F.expr(f"filter(concat(_w_number, {cut}), x -> {free('x')})")})
+    return df.drop("_g_number", "_p_number", *(f"_w_{name}" for name in GENERATORS))
+
+
 def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """df plus ``base_spans`` and ``spans``, both array<struct<s, kind, e>> in order."""
     patterns = BASE | GENERATORS
     df = with_matches(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))), "_text", patterns)
     df = df.withColumn("base_spans", base_spans())
-    for generator in GENERATORS:
-        df = df.withColumn(f"_{generator}", F.filter(f"_m_{generator}", lambda x: ~F.exists(F.col("base_spans"), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))))
+    df = with_candidates(df)
     wanted = []
     for i, kind in enumerate(KINDS):
         if kind not in USED:
             continue
         source, trees = f"_{FROM[kind]}", model(kind)
-        before = f"substring(_text, greatest(x.s - {BEFORE} + 1, 1), least(x.s, {BEFORE}))"
         names = features("c.m", "c.b", "c.a")
-        around = f"transform({source}, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'b', {before}, 'a', substring(_text, x.e + 1, 1)))"
         held = ", ".join(f"'{k}', {names[k]}" for k in USED[kind])
-        scored = f"transform({around}, c -> named_struct('s', c.s, 'e', c.e, 'f', named_struct({held})))"
+        scored = f"transform({source}, c -> named_struct('s', c.s, 'e', c.e, 'f', named_struct({held})))"
         p = trees.sql()
         for k in sorted(USED[kind], key=len, reverse=True):
             p = p.replace(f"IF({k} ", f"IF(f.f.{k} ")
