@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: bounds what a Python worker holds of long texts at once.
+#: Rows of one Arrow batch: bounds what a Python worker holds of long texts at once. All
+#: operators of this subpackage use the same value, so that plans built earlier aren't changed.
 ARROW_ROWS = 1000
+#: Bytes of text that a worker takes apart at once.
+SLICE_BYTES = 1 << 20
 
 _own_dir: str | None = None
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_cached: dict[tuple, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,25 +38,100 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
-    for spark, path in _written:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be over
-            return
+    with contextlib.suppress(Exception):  # the session may be over
+        for path, spark in _written.items():
+            _delete(spark, path)
 
 
 atexit.register(_clean)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def keep(df: DataFrame, name: str, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The kept tables of ``instead_of`` are deleted once df is written: those that only df reads.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    drop(*instead_of)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing reads any more. Others are left alone."""
+    for table in tables:
+        path = getattr(table, "_kept_at", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting for the jobs run within, and the former one afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def worker_cache(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps from task to task. One thing at a time: when another operator begins, what the last one kept is freed."""
+    if key not in _cached:
+        _cached.clear()
+        _cached[key] = make()
+    return _cached[key]
+
+
+class Recent:
+    """Values of words met lately, in at most about ``most`` bytes.
+
+    Two generations: when the young one has half of the bytes it becomes the old one, and the
+    former old one is forgotten. Words that are met again move to the young one.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.half, self.size = most // 2, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, word):
+        got = self.young.get(word)
+        if got is None and (got := self.old.get(word)) is not None:
+            self.put(word, got)
+        return got
+
+    def put(self, word, value) -> None:
+        if self.size >= self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[word] = value
+        self.size += 100 + sys.getsizeof(word) + sys.getsizeof(value)
+
+
+def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes sum to most at most; what is larger by itself is alone."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if len(sizes) > start:
+        yield start, len(sizes)
 
 
 def arrow_rows(spark: SparkSession) -> None:

@@ -2,7 +2,8 @@
 
 An Aho-Corasick automaton over the vocabulary names every piece that ends at each character
 of a word, longest first. Dynamic programming carries only the best score and its number of
-tokens to each place; no path is kept. Workers remember the counts of a bounded number of words.
+tokens to each place; no path is kept. Workers remember the counts of words met lately, in
+KEPT_BYTES at most.
 
 Defined cases: a null or empty text has no tokens. Repeated rows and null ids keep a row each.
 A word of any length takes time and memory in proportion to it.
@@ -10,24 +11,25 @@ A word of any length takes time and memory in proportion to it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_rows, column
-from lodestone.llm.pieces import Pieces, marked, read, words
+from lodestone.llm.common import Recent, arrow_rows, column, worker_cache
+from lodestone.llm.pieces import WORDS, Pieces, marked, read
 
-KEPT_WORDS = 500_000
+KEPT_BYTES = 96 << 20
 KEPT_CHARS = 64
-_counters: dict[str, "Counter"] = {}
+words = re.compile(WORDS).finditer
 
 
 class Counter:
     def __init__(self, pieces: Pieces) -> None:
         import ahocorasick
 
-        self.pieces, self.kept = pieces, {}
+        self.pieces, self.kept = pieces, Recent(KEPT_BYTES)
         self.automaton = ahocorasick.Automaton()
         for piece, (_, score) in pieces.scores.items():
             self.automaton.add_word(piece, (len(piece), score))
@@ -61,14 +63,13 @@ class Counter:
 
     def text(self, text: str) -> tuple[int, float, int]:
         kept, tokens, score, odd = self.kept, 0, 0.0, 0
-        for w in words(marked(text)):
+        for m in words(marked(text)):
+            w = m[0]
             got = kept.get(w)
             if got is None:
                 got = self.word(w)
                 if len(w) <= KEPT_CHARS:
-                    if len(kept) >= KEPT_WORDS:
-                        kept.clear()
-                    kept[w] = got
+                    kept.put(w, got)
             tokens += got[0]
             score += got[1]
             odd += got[2]
@@ -76,9 +77,7 @@ class Counter:
 
 
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(read(path))
-    return _counters[path]
+    return worker_cache(("counter", path), lambda: Counter(read(path)))
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:

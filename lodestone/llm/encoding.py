@@ -3,24 +3,29 @@
 A byte-pair tokenizer that first cuts a text into words gives each word the same ids
 wherever it stands, and a run of letters ends at the punctuation behind it. Each Python worker therefore keeps the ids of the words it has met, as
 little-endian unsigned 32-bit integers, and joins them; only new words go to the tokenizer.
-The memory of the words kept is bounded, and the result doesn't depend on it.
+Words are looked up in portions, so what a worker holds beside a batch is bounded by
+KEPT_BYTES and a portion, whatever the texts; the result doesn't depend on either.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from collections.abc import Iterator
+from itertools import islice
+
+from lodestone.llm.common import SLICE_BYTES, Recent, slices, worker_cache
 
 #: Characters that ``\s`` matches in the tokenizers' patterns.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters, and what ends a run of them whatever follows: an ASCII character that isn't one.
 LETTERS = r"A-Za-zÀ-ÖØ-öø-ʯ"
 RUN = rf"[{LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|\Z)"
-KEPT_WORDS = 600_000
+KEPT_BYTES = 72 << 20
 KEPT_CHARS = 64
 TOGETHER = 200
-_encoders: dict[str, "Encoder"] = {}
+#: Words of a long text that are looked up at once.
+PORTION = 100_000
 
 
 class Encoder:
@@ -36,10 +41,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
+        self.kept = Recent(KEPT_BYTES)
         white = rf" ?{RUN}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
         keeps = self.keeps_white()
-        self.cut = re.compile(white if keeps else rf"{RUN}|[^{WHITE}]+").findall
+        self.words = re.compile(white if keeps else rf"{RUN}|[^{WHITE}]+")
         self.plain = re.compile(rf" [{LETTERS}]+" if keeps else rf"[{LETTERS}]+").fullmatch
         self.glue, self.edge = ("", self.edges(0, "Ġ")) if keeps else (" ", self.edges(-1, "</w>"))
 
@@ -80,26 +85,43 @@ class Encoder:
     def keeps_white(self) -> bool:
         return bool(self.tokenizer.encode("a \n b", add_special_tokens=False).ids != self.tokenizer.encode("a b", add_special_tokens=False).ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.cut(t) for t in texts]
-        kept = self.kept
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-        new = [w for w in set(chain.from_iterable(words)) if w not in kept]
-        extra: dict[str, bytes] = {}
+    def lookup(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each of the words."""
+        kept, found, new = self.kept, {}, []
+        for w in words:
+            got = kept.get(w)
+            if got is None:
+                new.append(w)
+            else:
+                found[w] = got
         for i in range(0, len(new), 20_000):
             plain, rest = [], []
             for w in new[i : i + 20_000]:
                 (plain if self.plain(w) else rest).append(w)
             for w, ids in (self.encode_plain(plain) | self.encode_each(rest)).items():
-                (kept if len(w) <= KEPT_CHARS else extra)[w] = ids
-        if not extra:
-            return [b"".join(map(kept.__getitem__, w)) for w in words]
-        return [b"".join([kept[x] if x in kept else extra[x] for x in w]) for w in words]
+                found[w] = ids
+                if len(w) <= KEPT_CHARS:
+                    kept.put(w, ids)
+        return found
+
+    def encode_long(self, text: str) -> bytes:
+        """Portion by portion."""
+        found, out = self.words.finditer(text), []
+        while words := [m[0] for m in islice(found, PORTION)]:
+            out.append(b"".join(map(self.lookup(set(words)).__getitem__, words)))
+        return b"".join(out)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for i, j in slices(list(map(len, texts))):
+            if len(texts[i]) > SLICE_BYTES:
+                yield self.encode_long(texts[i])
+                continue
+            words = [self.words.findall(t) for t in texts[i:j]]
+            ids = self.lookup(set().union(*words)).__getitem__
+            for w in words:
+                yield b"".join(map(ids, w))
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for each worker."""
+    return worker_cache(("encoder", path), lambda: Encoder(path))

@@ -1,29 +1,39 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Documents are dealt to groups of about GROUP_BYTES of text: the one shuffle. Within a group
-every distinct word is exploded into its substrings up to the longest piece; an equi-join with
-the piece table leaves the edges of the word's lattice; they are grouped by word, and a higher-
-order aggregate folds the Viterbi recursion over their ends. The group's texts then look their
-words up. A group is bounded, and so is the piece table, which is broadcast.
+Documents are dealt to groups of about GROUP_BYTES of text: the one shuffle, which both uses of
+the texts read. Within a group the distinct words are exploded into their substrings up to the
+longest piece; an equi-join with the piece table leaves the edges of the words' lattices; they
+are grouped by word, and a higher-order aggregate folds the Viterbi recursion over their ends.
+The best paths are exploded again and joined with the piece table by id, which decodes them.
+The group's texts then look their words up. The piece table is broadcast; its size is the
+vocabulary's, MAX_PIECES at most.
+
+A word of any length goes this way. It is exploded window by window of WINDOW characters, and
+the fold carries the scores of the last places that a piece can reach back to, BLOCK by BLOCK.
+Memory is in proportion to the word, and so is time up to some 100,000 characters. A group takes about 30
+times its text in memory; ``group_bytes`` should follow the memory of a task.
 
 Decoding explodes ids, joins them with the piece table and puts the pieces together in order.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text. Repeated rows and
-null ids keep a row each. A word longer than LONG characters isn't exploded; its edges come from
-the automaton of ``counts`` instead, as its lattice alone could outgrow a task.
+null ids keep a row each. Other columns than doc_id and text are ignored, whatever their names.
+A text that has the mark itself decodes to a blank there, so ``decoded`` is false for it.
 """
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ARROW_ROWS
+from lodestone.llm.common import keep, setting
 from lodestone.llm.pieces import MARK, WORDS, marked, read, words
 
-GROUP_BYTES = 24 << 20
-LONG = 200
+GROUP_BYTES = 12 << 20
 MAX_PIECES = 1 << 20
+WINDOW = 64
+BLOCK = 256
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
@@ -31,7 +41,17 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
     pieces = read(model)
     if len(pieces.scores) > MAX_PIECES:
         raise ValueError("the vocabulary is too large to broadcast")
-    return spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.scores.items()], "piece string, id int, score double")
+    return spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.scores.items()], "piece string, id long, score double")
+
+
+def name_table(spark: SparkSession, model: str) -> DataFrame:
+    """(id, raw): the bytes, in hexadecimal, that an id stands for."""
+    pieces = read(model)
+    if len(pieces.names) > MAX_PIECES:
+        raise ValueError("the vocabulary is too large to broadcast")
+    first = pieces.byte_ids[0]
+    raw = [bytes([i - first]) if first <= i < first + 256 else n.encode("utf-8") for i, n in enumerate(pieces.names)]
+    return spark.createDataFrame([(i, x.hex()) for i, x in enumerate(raw)], "id int, raw string")
 
 
 def text_words(text: Column) -> Column:
@@ -40,113 +60,129 @@ def text_words(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.concat(F.lit(MARK), F.replace(t, F.lit(" "), F.lit(MARK))), F.lit(WORDS), F.lit(0)))
 
 
-def edges(rows: DataFrame, keys: list[str], model: str) -> DataFrame:
-    """(keys, word, e, s, score, id): the piece between places s and e of the word; for a single character that is no piece, id is -1 - s. Rows of a word stay in its partition."""
+def edges(rows: DataFrame, model: str) -> DataFrame:
+    """(g, w, seen_in, word, e, back, score, node) of rows(g, w, seen_in, word): the piece that ends at place e of the word.
+
+    ``back`` is less the longer the piece is, ``node`` its id times 64, plus its length. For a
+    single character that is no piece, the id is -1 less the number that its bytes make. Only the
+    first place's single character carries the word, so that long words aren't copied.
+    """
     pieces = read(model)
+    if pieces.longest >= 64:
+        raise ValueError("a piece is too long")
     n = F.length("word")
-    starts = rows.withColumn("s", F.explode(F.sequence(F.lit(0), n - 1)))
-    ends = starts.withColumn("e", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + pieces.longest))))
-    parts = ends.withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")))
-    met = parts.join(F.broadcast(piece_table(rows.sparkSession, model)), "piece", "left").where("id IS NOT NULL OR e = s + 1")
-    return met.select(*keys, "word", "e", "s", F.coalesce("score", F.lit(pieces.unknown)).alias("score"), F.coalesce("id", -1 - F.col("s")).alias("id"))
-
-
-def fold(word: str, lattice: str) -> str:
-    """SQL of the best path's ids. lattice is sorted by (e, s), so the last edge to each end is the single character before it."""
-    none = "cast(null as struct<score:double,s:int,id:int>)"
-    start = f"named_struct('nodes', array(named_struct('score', 0D, 's', 0, 'id', 0)), 'best', {none})"
-    better = "IF(a.best IS NULL OR a.nodes[x.s].score + x.score > a.best.score, named_struct('score', a.nodes[x.s].score + x.score, 's', x.s, 'id', x.id), a.best)"
-    step = f"IF(x.e = x.s + 1, named_struct('nodes', concat(a.nodes, array({better})), 'best', {none}), named_struct('nodes', a.nodes, 'best', {better}))"
-    nodes = f"aggregate({lattice}, {start}, (a, x) -> {step}, a -> a.nodes)"
-    back = f"named_struct('at', length({word}), 'ids', cast(array() as array<int>))"
-    walk = "IF(a.at = 0, a, named_struct('at', n[a.at].s, 'ids', concat(array(n[a.at].id), a.ids)))"
-    return f"transform(array({nodes}), n -> aggregate(sequence(1, length({word})), {back}, (a, i) -> {walk}, a -> a.ids))[0]"
-
+    wide = rows.select("g", "w", "seen_in", "word", F.explode_outer(F.sequence(F.lit(0), n - 1, F.lit(WINDOW))).alias("base"))
+    wide = wide.select("g", "w", "seen_in", "word", "base", (n - F.col("base")).alias("left"), F.substring(F.col("word"), F.col("base") + 1, F.lit(WINDOW + pieces.longest)).alias("part"))
+    starts = wide.withColumn("i", F.explode_outer(F.sequence(F.lit(0), F.least(F.col("left"), F.lit(WINDOW)) - 1)))
+    ends = starts.withColumn("size", F.explode_outer(F.sequence(F.lit(1), F.least(F.col("left") - F.col("i"), F.lit(pieces.longest)))))
+    parts = ends.withColumn("piece", F.substring(F.col("part"), F.col("i") + 1, F.col("size")))
+    met = parts.join(F.broadcast(piece_table(rows.sparkSession, model)), "piece", "left").where("id IS NOT NULL OR size = 1")
+    s = F.col("base") + F.col("i")
+    odd = F.lit(-1) - F.conv(F.hex("piece"), 16, 10).cast("long")
+    return met.select(
+        "g", "w", "seen_in", F.when((s == 0) & (F.col("size") == 1), F.col("word")).alias("word"), (s + F.col("size")).alias("e"), F.col("size"), 
+        F.coalesce("score", F.lit(pieces.unknown)).alias("score"), (F.coalesce("id", odd) * 64 + F.col("size")).alias("node"),
+    )
+
+
+def fold(lattice: str, longest: int) -> str:
+    """SQL of the best path's ids. lattice is sorted by (e, back) and has an edge to each place from the one before it, the last of those that end there.
+
+    ``last`` has the scores of the places before e, nearest last, and ``best`` and ``node`` what is
+    known of e; of equal scores the piece that begins earlier stays. An aggregate copies what it
+    carries at each step, so both the recursion and the walk back go block by block and hand on
+    what a block has made.
+    """
+    here = "a.last[size(a.last) - x.size] + x.score"
+    better = f"IF({here} > a.best, named_struct('e', a.e, 'best', {here}, 'node', x.node, 'last', a.last, 'made', a.made), a)"
+    before = "IF(x.size = 1, a.best, a.last[size(a.last) + 1 - x.size])"
+    new = f"named_struct('e', x.e, 'best', {before} + x.score, 'node', x.node, 'last', array_append(a.last, a.best), 'made', array_append(a.made, a.node))"
+    none, nones = "cast(array() as array<bigint>)", "cast(array() as array<array<bigint>>)"
+    inner = f"named_struct('e', o.e, 'best', o.best, 'node', o.node, 'last', o.last, 'made', {none})"
+    recent = f"slice(a.last, greatest(1, size(a.last) - {longest}), {longest + 1})"
+    block = f"aggregate(slice({lattice}, k * {BLOCK} + 1, {BLOCK}), {inner}, (a, x) -> IF(x.e = a.e, {better}, {new}), a -> named_struct('e', a.e, 'best', a.best, 'node', a.node, 'last', {recent}, 'done', concat(o.done, array(a.made))))"
+    start = f"named_struct('e', 0, 'best', 0D, 'node', 0L, 'last', cast(array() as array<double>), 'done', {nones})"
+    nodes = f"aggregate(sequence(0, (size({lattice}) - 1) div {BLOCK}), {start}, (o, k) -> {block}, o -> array_append(flatten(o.done), o.node))"
+    walk = "IF(a.at = 0, a, named_struct('at', a.at - cast(b[a.at] & 63 as int), 'made', array_append(a.made, shiftright(b[a.at], 6))))"
+    back = f"aggregate(sequence(1, least({BLOCK}, o.at)), named_struct('at', o.at, 'made', {none}), (a, i) -> {walk}, a -> named_struct('at', a.at, 'done', concat(o.done, array(a.made))))"
+    path = f"aggregate(sequence(0, size(b) div {BLOCK}), named_struct('at', size(b) - 1, 'done', {nones}), (o, k) -> IF(o.at = 0, o, {back}), o -> reverse(flatten(o.done)))"
+    return f"transform(array({nodes}), b -> {path})[0]"
+
+
+def spelt(ids: str, first: int) -> str:
+    """SQL of an array of ids as integers, with the bytes' ids in place of characters that are no piece."""
+    size = "IF(i >= -256, 1, IF(i >= -65536, 2, IF(i >= -16777216, 3, 4)))"
+    raw = f"transform(reverse(sequence(0, {size} - 1)), k -> cast(shiftright(-1 - i, 8 * k) & 255 as int) + {first})"
+    return f"IF(array_min({ids}) >= 0, cast({ids} as array<int>), flatten(transform({ids}, i -> IF(i >= 0, array(cast(i as int)), {raw}))))"
+
+
+def encode_words(rows: DataFrame, model: str) -> DataFrame:
+    """(g, seen_in, word, ids, spelling) of distinct rows(g, seen_in, word), which stay in their partitions of g; spelling is what the ids decode to."""
+    pieces = read(model)
+    numbered = rows.withColumn("w", F.monotonically_increasing_id())
+    lattice = F.sort_array(F.collect_list(F.struct("e", (-F.col("size")).alias("less"), "score", "node", "size"))).alias("lattice")
+    word = F.get(F.collect_list("word"), F.lit(0)).alias("word")
+    held = edges(numbered, model).groupBy("g", "w").agg(lattice, word, F.min("seen_in").alias("seen_in"))
+    paths = held.select("g", "w", "seen_in", "word", F.expr(fold("lattice", pieces.longest)).alias("path"))
+    found = paths.select("g", "w", "seen_in", "word", F.expr(spelt("path", pieces.byte_ids[0])).alias("ids"))
+    each = found.select("g", "w", "seen_in", "word", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(name_table(rows.sparkSession, model)), "id")
+    each = each.withColumn("word", F.when(F.col("at") == 0, F.col("word")))
+    back = each.groupBy("g", "w").agg(F.sort_array(F.collect_list(F.struct("at", "id", "raw"))).alias("p"), word, F.min("seen_in").alias("seen_in"))
+    return back.select("g", "seen_in", "word", F.col("p.id").alias("ids"), F.decode(F.unhex(F.array_join("p.raw", "")), "UTF-8").alias("spelling"))
+
+
+def looked_up(left, right, with_ids: bool):
+    """Ids of a group's texts from those of its words."""
+    import numpy as np
+    import pyarrow as pa
+
+    known, odd, at = {}, {}, 0
+    column = right.column("ids").combine_chunks()
+    raw = np.asarray(column.flatten().to_numpy(zero_copy_only=False), "<u4").tobytes()
+    for w, s, n in zip(right.column("word").to_pylist(), right.column("spelling").to_pylist(), column.value_lengths().to_pylist(), strict=True):
+        known[w] = raw[4 * at : 4 * (at + n)]
+        at += n
+        if s != w:
+            odd[w] = s
+    out, n, crc, back = [], [], [], []
+    for text in left.column("text").to_pylist():
+        held = words(marked(text or ""))
+        ids = b"".join(map(known.__getitem__, held))
+        n.append(len(ids) // 4)
+        crc.append(zlib.crc32(ids))
+        back.append("".join([odd.get(w, w) for w in held]).replace(MARK, " ")[1:] == (text or ""))
+        if with_ids:
+            out.append(ids)
+    cols = {"doc_id": left.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "decoded": pa.array(back, pa.bool_())}
+    if with_ids:
+        ends = np.cumsum([0, *n])
+        cols["ids"] = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(out), "<i4"))).cast(pa.list_(pa.int32()))
+    return pa.table(cols)
 
-def encode_words(rows: DataFrame, keys: list[str], model: str) -> DataFrame:
-    """(keys, word, ids) of distinct rows(keys, word); an id of -1 - s is the character at place s, which is no piece."""
-    held = edges(rows, keys, model).groupBy(*keys, "word").agg(F.sort_array(F.collect_list(F.struct("e", "s", "score", "id"))).alias("lattice"))
-    return held.select(*keys, "word", F.expr(fold("word", "lattice")).alias("ids"))
 
+def encode(docs: DataFrame, model: str, group_bytes: int = GROUP_BYTES, with_ids: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32, decoded, ids) of docs(doc_id, text): ids of the best segmentation, a checksum of them as little-endian unsigned 32-bit integers, and whether they give the text back.
 
-def encode(docs: DataFrame, model: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(doc_id, ids, decoded) of docs(doc_id, text): ids of the best segmentation, and whether they give the text back."""
+    The result is written to the shared folder, without ids if they aren't wanted.
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int").alias("g")).repartition(groups, "g")
-    found = dealt.select(F.col("g").alias("h"), F.explode(F.array_distinct(text_words(F.col("text")))).alias("word")).where(F.length("word") <= LONG)
-    table = encode_words(found.distinct(), ["h"], model)
-
-    def run(left, right):
-        import pyarrow as pa
-        from lodestone.llm.counts import counter
-
-        pieces = read(model)
-        known: dict[str, list[int]] = {}
-        for w, ids in zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True):
-            known[w] = ids if min(ids) >= 0 else spell(w, ids, pieces)
-        out = []
-        for text in left.column("text").to_pylist():
-            ids: list[int] = []
-            for w in words(marked(text or "")):
-                got = known.get(w)
-                if got is None:  # a long word, or one without any edge
-                    got = known[w] = spell(w, path(counter(model), w), pieces)
-                ids += got
-            out.append(ids)
-        back = [decode_ids(ids, pieces) == (t or "") for ids, t in zip(out, left.column("text").to_pylist(), strict=True)]
-        return pa.table({"doc_id": left.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32())), "decoded": pa.array(back, pa.bool_())})
-
-    return dealt.groupBy("g").cogroup(table.groupBy("h")).applyInArrow(run, "doc_id long, ids array<int>, decoded boolean")
-
-
-def path(counter, w: str) -> list[int]:
-    """The ids of one word by the same recursion over the automaton's matches."""
-    pieces, n = counter.pieces, len(w)
-    ends: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
-    for end, (size, score) in counter.automaton.iter(w):
-        ends[end + 1].append((end + 1 - size, score, pieces.scores[w[end + 1 - size : end + 1]][0]))
-    nodes = [(0.0, 0, 0)]
-    for e in range(1, n + 1):
-        best = None
-        for s, score, i in sorted(ends[e]):
-            if best is None or nodes[s][0] + score > best[0]:
-                best = (nodes[s][0] + score, s, i)
-        if w[e - 1] not in pieces.scores and (best is None or nodes[e - 1][0] + pieces.unknown > best[0]):
-            best = (nodes[e - 1][0] + pieces.unknown, e - 1, -e)
-        nodes.append(best)
-    out, at = [], n
-    while at:
-        out.append(nodes[at][2])
-        at = nodes[at][1]
-    return out[::-1]
-
-
-def spell(w: str, ids: list[int], pieces) -> list[int]:
-    """ids with bytes in place of the characters that are no piece."""
-    out: list[int] = []
-    for i in ids:
-        out += [i] if i >= 0 else [pieces.byte_ids[b] for b in w[-1 - i].encode("utf-8", "surrogatepass")]
-    return out
-
-
-def decode_ids(ids: list[int], pieces) -> str:
-    first = pieces.byte_ids[0]
-    raw = b"".join(bytes([i - first]) if first <= i < first + 256 else pieces.names[i].encode("utf-8") for i in ids)
-    return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
+    group = F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", group.alias("g")).repartitionById(groups, F.col("g"))
+    # The words need no doc_id, but with it both sides read the same columns and so the same shuffle.
+    found = dealt.select("g", "doc_id", F.explode_outer(F.array_distinct(text_words(F.col("text")))).alias("word")).where("word IS NOT NULL").groupBy("g", "word").agg(F.min("doc_id").alias("seen_in"))
+    table = encode_words(found, model).withColumnRenamed("g", "h")
+    fields = "doc_id long, n_tokens long, ids_crc32 long, decoded boolean" + ", ids array<int>" * with_ids
+    made = dealt.groupBy("g").cogroup(table.groupBy("h")).applyInArrow(lambda left, right: looked_up(left, right, with_ids), fields)
+    # Edges come word by word: sorted aggregation takes one pass over them, and no second buffer.
+    with setting(docs.sparkSession, "spark.sql.execution.useObjectHashAggregateExec", "false"):
+        return keep(made, "lattice")
 
 
 def decode(rows: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
     """(key, text) of rows(key, ids), with distinct keys: the inverse of encoding, by a join with the piece table."""
-    pieces = read(model)
-    first = pieces.byte_ids[0]
-    table = rows.sparkSession.createDataFrame(
-        [(i, bytes([i - first]) if first <= i < first + 256 else n.encode("utf-8")) for i, n in enumerate(pieces.names)], "id int, raw binary"
-    )
-    each = rows.select(key, F.posexplode("ids").alias("at", "id")).join(F.broadcast(table), "id")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("raw").alias("raw")))), lambda x: x["raw"]), "")
+    each = rows.select(key, F.posexplode("ids").alias("at", "id")).join(F.broadcast(name_table(rows.sparkSession, model)), "id")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "raw"))), lambda x: x["raw"]), "")
     joined = each.groupBy(key).agg(F.decode(F.unhex(text), "UTF-8").alias("text"))
     made = rows.select(key).join(joined, key, "left")
     return made.select(key, F.coalesce(F.expr(f"substring(replace(text, '{MARK}', ' '), 2)"), F.lit("")).alias("text"))
@@ -156,6 +192,4 @@ def op7_relational_lattice(spark, sf_dir: str) -> DataFrame:
     """Ids of every document, as their number and checksum, and whether they decode to the text."""
     import public_tokenizers
 
-    rows = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
-    raw = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0")), ""))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.crc32(raw).alias("ids_crc32"), "decoded")
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)

@@ -5,9 +5,10 @@ costs the least score less PENALTY, and stands for its UTF-8 bytes. Of equal sco
 segmentation wins whose last piece begins earlier, as in the public unigram tokenizers, which
 take a better path only if it is strictly better and try starts in ascending order.
 
-Blanks become ``MARK`` and one is put before a text. No piece has a mark behind another
-character, nor a line break, so the best segmentation of a text is that of its words, each
-with the marks before it. ``read`` checks that.
+Blanks become ``MARK`` and one is put before a text. A text is cut into words: a run of
+letters, a digit, or a run of other characters, each with the marks before it; a line break; or
+marks alone. No piece goes beyond a word, so the best segmentation of a text is that of its
+words. ``read`` checks that against the vocabulary.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from functools import cache
 
 MARK = "▁"
 PENALTY = 10.0
-WORDS = f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
+LETTERS = "A-Za-zÀ-ɏ"
+WORDS = f"{MARK}*[{LETTERS}]+|{MARK}*[0-9]|{MARK}*[^{LETTERS}0-9{MARK}\n]+|\n|{MARK}+"
 
 
 @dataclass(frozen=True)
@@ -39,10 +41,12 @@ def read(path: str) -> Pieces:
     names = tuple(sp.id_to_piece(i) for i in range(sp.get_piece_size()))
     plain = [i for i in range(len(names)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     scores = {names[i]: (i, float(sp.get_score(i))) for i in plain}
-    if any(re.search(f"[^{MARK}]{MARK}", p) or "\n" in p for p in scores):
+    if not all(re.fullmatch(WORDS, p) for p in scores):
         raise ValueError("a piece goes beyond a word")
     number = {n: i for i, n in enumerate(names)}
     byte_ids = tuple(number[f"<0x{b:02X}>"] for b in range(256))
+    if byte_ids != tuple(range(byte_ids[0], byte_ids[0] + 256)):
+        raise ValueError("the bytes' ids aren't in a row")
     return Pieces(scores, names, min(s for _, s in scores.values()) - PENALTY, byte_ids, max(map(len, scores)))
 
 

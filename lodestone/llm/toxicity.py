@@ -41,7 +41,7 @@ MIN_LOG_ODDS = 1.5
 THRESHOLD = 0.3
 SPAN_MARGINAL = 0.5
 PREFIXES = (7, 6, 5, 4)
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 LOOK = 24  # tokens of a training window at most
 #: Everything in ASCII that isn't a letter separates words.
 SEPARATORS = bytes(i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))

@@ -273,6 +273,21 @@ def test_lattice(spark, unigram, odd, none):
     assert lattice.encode(odd, model).where("decoded").count() == len(ODD) and lattice.encode(none, model).count() == 0
 
 
+def test_lattice_of_very_long_words(spark):
+    from tokenizers.models import Unigram
+
+    path, rng = public.path("piece_bpe_32k.model"), random.Random(3)
+    p = pieces.read(path)
+    model = Unigram([(n, p.scores[n][1] if n in p.scores else 0.0) for n in p.names], 0, True)
+    texts = ["".join(rng.choice("abcdeéthingaer") for _ in range(100_000)), "☃" * 3_000 + "🤷\U0001f9ff" * 500, "=" * 5_000, " " * 4_000 + "a"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lattice.encode(df, path).collect()}
+    for i, text in enumerate(texts):
+        ids = [t.id for t in model.tokenize(pieces.marked(text))]
+        assert list(got[i]["ids"]) == ids and got[i]["decoded"]
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
 # -- 8 ------------------------------------------------------------------------------------
 
 
