@@ -66,5 +66,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        links = keep(star(star(links, large=True), large=False), "links")
-    return links.select(F.col("a").alias("id"), F.col("b").alias("label")).union(links.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
+        links = keep(star(star(links, large=True), large=False), "links", [links])
+    found = links.select(F.col("a").alias("id"), F.col("b").alias("label")).union(links.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
+    return keep(found, "components", [links])

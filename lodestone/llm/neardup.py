@@ -4,17 +4,25 @@ A document's signature has MinHash values of 16 bits of its set of five-word shi
 split into chunks of CHUNK positions. If two signatures of n chunks differ in at most 2 n - 1
 positions, then by the pigeonhole principle they differ in at most one position of some chunk.
 So each chunk is indexed once for each position left out; documents that share an index key
-meet. Pairs that meet and differ in more than ``far`` positions are passed over; every other
-link is confirmed on the full sets. The number of chunks and ``far`` follow from the percentage
-that links (Scheme): a pair at that resemblance is missed with a chance below MISSED. At 85
-they are 8 chunks and 19 positions, at 80 they are 11 and 27.
-
-Nothing is quadratic in the rows of the shuffles. Equal sets are one class before anything else.
-In a bucket (a key's documents) each one is first compared with the two ends of the bucket,
-and links found so far are joined into components. Only documents of different components in a
-bucket of four or more are left; the bucket is cut into blocks of BLOCK documents, and each
-pair of blocks is compared within one task, which gives a spanning forest of its links. Every
-pair that shares a bucket is compared or already in one component, whatever the bucket's size.
+meet. Every pair that meets is confirmed on the full sets, unless the sizes of the sets, or of
+their parts by hash (part_sizes), show that it can't link: these bounds lose nothing. The number of
+chunks follows from the percentage that links (scheme): a pair at that resemblance meets
+nowhere with a chance below MISSED. At 85 there are 8 chunks, at 80 there are 11.
+
+Equal sets are one class before anything else. In a bucket (a key's documents) each one is first
+compared with the two ends of the bucket, and links found so far are joined into components.
+Buckets whose documents are all of one component are done. In the others
+
+- documents of which too few shingles occur in any other document of such buckets are done: a
+  link needs the percentage of a document's own shingles in the other one;
+- documents outside the bucket's largest component are compared with all of the bucket, block
+  by block within a task, which gives a spanning forest of the links. A block has BLOCK documents
+  and about BLOCK_BYTES of sets.
+
+A row of the largest component is copied once for each block of the others, and one of the
+others once for each block of the bucket. So what is shuffled is in proportion to the rows as
+long as a bucket's documents outside its largest component are a block or so; beyond that it
+grows with their product over BLOCK. No pair is left out in any case.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing. A document of
 fewer than five words has one shingle. Letters A-Z count as a-z. Rows that share an id are one
@@ -29,12 +37,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 from itertools import count
-from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_rows, column, keep, raw_texts, to_batches
+from lodestone.llm.common import arrow_rows, column, drop, keep, raw_texts, to_batches
 from lodestone.llm.components import components
 
 WORDS = 5
@@ -42,6 +49,8 @@ PERCENT = 85
 CHUNK = 5
 MISSED = 1e-6
 BLOCK = 1024
+BLOCK_BYTES = 32 << 20
+PARTS = 128
 SEED = 20_011
 STEP = 4096  # shingles hashed at once
 
@@ -52,7 +61,6 @@ class Scheme:
 
     percent: int
     chunks: int
-    far: int
 
     @property
     def positions(self) -> int:
@@ -61,15 +69,12 @@ class Scheme:
 
 @cache
 def scheme(percent: int) -> Scheme:
-    """Fewest chunks, then least far, with which a pair at the percentage is missed with a chance below MISSED."""
+    """The fewest chunks with which a pair at the percentage meets nowhere with a chance below MISSED."""
     if not 0 < percent <= 100:
         raise ValueError(percent)
     p, q = percent / 100, 1 - percent / 100
     apart = 1 - p**CHUNK - CHUNK * q * p ** (CHUNK - 1)
-    chunks = next(n for n in count(1) if apart**n < MISSED)
-    n = CHUNK * chunks
-    beyond = lambda far: sum(comb(n, k) * q**k * p ** (n - k) for k in range(far + 1, n + 1))
-    return Scheme(percent, chunks, next(f for f in range(n + 1) if apart**chunks + beyond(f) < MISSED))
+    return Scheme(percent, next(n for n in count(1) if apart**n < MISSED))
 
 
 def shingles(raw: bytes | None, size: int = WORDS):
@@ -112,14 +117,32 @@ def signature(hashes, by) -> bytes:
     return ((low * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(48)).astype("<u2").tobytes()
 
 
+def part_sizes(hashes) -> bytes:
+    """How many hashes have each value of their first bits; 255 stands for as many or more."""
+    import numpy as np
+
+    return np.minimum(np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
+def may_link(x, y, n, m, percent: int):
+    """Whether sets of sizes n and m with these part sizes can share the percentage: at most the smaller of each part is common."""
+    import numpy as np
+
+    common = np.minimum(x, y).sum(1, dtype=np.int64)
+    full = ((x == 255) & (y == 255)).any(1)
+    least, most = np.minimum(n, m), np.maximum(n, m)
+    common = np.where(full, least, np.minimum(common, least))
+    return (100 * common >= percent * (least + most - common)) & (100 * least >= percent * most)
+
+
 def sketches(docs: DataFrame, by: Scheme) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, signature): set_a and set_b are 128 bits that stand for the set."""
+    """(doc_id, n_shingles, set_a, set_b, signature, parts): set_a and set_b are 128 bits that stand for the set."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         drawn = factors(by.positions)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary()), ("parts", pa.binary())])
 
         def rows():
             for batch in batches:
@@ -127,12 +150,12 @@ def sketches(docs: DataFrame, by: Scheme) -> DataFrame:
                     s = shingles(raw)
                     key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     ends = (int.from_bytes(key[i : i + 8], "little", signed=True) for i in (0, 8))
-                    yield d, len(s), *ends, signature(s, drawn) if len(s) else None
+                    yield d, len(s), *ends, signature(s, drawn) if len(s) else None, part_sizes(s) if len(s) else None
 
         yield from to_batches(rows(), schema, 10_000)
 
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary, parts binary")
 
 
 def index_keys(classes: DataFrame, by: Scheme) -> DataFrame:
@@ -161,20 +184,24 @@ def index_keys(classes: DataFrame, by: Scheme) -> DataFrame:
     return classes.select("id", "signature").mapInArrow(run, "key long, place int, id long")
 
 
+def bytes_matrix(column, width: int):
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
 def rather_near(pairs: DataFrame, by: Scheme) -> DataFrame:
-    """(a, b) of pairs(a, b, sig_a, sig_b, n_a, n_b) that their signatures and sizes allow."""
+    """(a, b) of pairs(a, b, parts_a, parts_b, n_a, n_b) that may link."""
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(column(batch, n)), "<u2").reshape(-1, by.positions) for n in ("sig_a", "sig_b"))
-            n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            good = ((x != y).sum(1) <= by.far) & (100 * np.minimum(n, m) >= by.percent * np.maximum(n, m))
+            x, y = (bytes_matrix(batch.column(i), PARTS) for i in (2, 3))
+            good = may_link(x, y, batch.column(4).to_numpy(), batch.column(5).to_numpy(), by.percent)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "parts_a", "parts_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
 def alike(x, y, percent: int) -> bool:
@@ -212,60 +239,90 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary")
 
 
-def open_pairs(sig, n, label, side, key, by: Scheme):
-    """Places (i, j) of pairs of a block that are still to be compared, nearest first.
+def set_tokens(sets: DataFrame) -> DataFrame:
+    """(id, shingle) of sets(id, set)."""
 
-    Pairs of one component are settled. A pair that shares several keys is compared at the
-    first of them only; that key's bucket holds both components too, so it is compared there.
-    """
-    import numpy as np
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    out = []
-    for i in range(len(sig) - 1):
-        same = (sig[i + 1 :] == sig[i]).reshape(-1, by.chunks, CHUNK)
-        count = same.sum(2)
-        far = by.positions - count.sum(1)
-        ok = (far <= by.far) & (label[i + 1 :] != label[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= by.percent * np.maximum(n[i + 1 :], n[i]))
-        if side is not None:
-            ok &= side[i + 1 :] != side[i]
-        for j in np.flatnonzero(ok):
-            c = int(np.argmax(count[j] >= CHUNK - 1))
-            m = 0 if count[j, c] == CHUNK else int(np.argmin(same[j, c]))
-            if (c, m) == key:
-                out.append((int(far[j]), i, i + 1 + int(j)))
-    out.sort()
-    return [(i, j) for _, i, j in out]
-
-
-def block_columns(table, by: Scheme):
-    import numpy as np
+        for batch in batches:
+            for i, raw in zip(column(batch, "id"), column(batch, "set"), strict=True):
+                for at in range(0, len(raw), 8 * 50_000):
+                    v = np.frombuffer(raw[at : at + 8 * 50_000], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int64)), pa.array(v)], names=["id", "shingle"])
+
+    return sets.select("id", "set").mapInArrow(run, "id long, shingle long")
+
+
+def without_partner(sets: DataFrame, percent: int) -> DataFrame:
+    """(id) of the sets that share too few shingles with all others together to link with any. Shingles are counted before the shuffle; no join on them."""
+    lone = set_tokens(sets).groupBy("shingle").agg(F.count("*").alias("c"), F.max("id").alias("id")).where("c = 1")
+    lone = lone.groupBy("id").agg(F.count("*").alias("lone"))
+    return lone.join(sets.select("id", F.expr("octet_length(set) div 8").alias("n")), "id").where(F.col("n") * percent > (F.col("n") - F.col("lone")) * 100).select("id")
+
+
+@dataclass
+class Cell:
+    """The rows of one block of the others against one block of the bucket."""
+
+    table: object
+    by: Scheme
 
-    ids = table.column("id").to_pylist()
-    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(ids), by.positions)
-    n, label = (np.array(table.column(c).to_pylist()) for c in ("n", "label"))
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    side = None if i == j else np.array(table.column("block").to_pylist())
-    place = table.column("place")[0].as_py()
-    return ids, sig, n, label, side, (place // CHUNK, place % CHUNK)
+    def __post_init__(self) -> None:
+        import numpy as np
+
+        col = self.table.column
+        self.ids, self.n, self.label = (np.array(col(c).to_pylist()) for c in ("id", "n", "label"))
+        self.signature = np.frombuffer(b"".join(col("signature").to_pylist()), "<u2").reshape(-1, self.by.chunks, CHUNK)
+        self.parts = bytes_matrix(col("parts"), PARTS)
+        at = {c: col(c)[0].as_py() for c in ("i", "j", "place")}
+        self.key = (at["place"] // CHUNK, at["place"] % CHUNK)
+        other = np.array(col("other").to_pylist(), bool)
+        self.left = np.flatnonzero(other & (np.array(col("other_block").to_pylist()) == at["j"]))
+        self.right = np.array(col("block").to_pylist()) == at["i"]
+        self.other = other
+
+    def open_pairs(self) -> list[tuple[int, int]]:
+        """Rows (x, y) of pairs that are still to be compared, nearest first.
+
+        Pairs of one component are settled. A pair of two others meets in two cells; it is compared
+        where the smaller id is on the left. A pair that shares several keys is compared at the
+        first of them only; that key's bucket has both components too, so it is compared there.
+        """
+        import numpy as np
+
+        out = []
+        for x in self.left:
+            ok = self.right & (self.label != self.label[x]) & ~(self.other & (self.ids <= self.ids[x]))
+            y = np.flatnonzero(ok)
+            y = y[may_link(self.parts[y], self.parts[x], self.n[y], self.n[x], self.by.percent)]
+            same = self.signature[y] == self.signature[x]
+            counts = same.sum(2)
+            for k, c in enumerate(np.argmax(counts >= CHUNK - 1, 1)):
+                m = 0 if counts[k, c] == CHUNK else int(np.argmin(same[k, c]))
+                if (int(c), m) == self.key:
+                    out.append((-int(same[k].sum()), int(x), int(y[k])))
+        out.sort()
+        return [(x, y) for _, x, y in out]
 
 
 def still_open(table, by: Scheme):
-    """The rows of a pair of blocks that are in a pair still to be compared."""
+    """The rows of a cell that are in a pair still to be compared."""
     import pyarrow as pa
 
-    ids, *rest = block_columns(table, by)
-    wanted = sorted({x for p in open_pairs(*rest, by) for x in p})
+    wanted = sorted({x for p in Cell(table, by).open_pairs() for x in p})
     return table.take(pa.array(wanted, pa.int64()))
 
 
-def block_links(table, by: Scheme):
-    """A spanning forest of the links between the components of a pair of blocks."""
+def cell_links(table, by: Scheme):
+    """A spanning forest of the links between the components of a cell."""
     import numpy as np
     import pyarrow as pa
 
-    ids, sig, n, label, side, key = block_columns(table, by)
+    cell = Cell(table, by)
     sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-    root = {int(x): int(x) for x in label}
+    root = {int(x): int(x) for x in cell.label}
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -273,29 +330,52 @@ def block_links(table, by: Scheme):
         return x
 
     a, b = [], []
-    for i, j in open_pairs(sig, n, label, side, key, by):
-        x, y = top(int(label[i])), top(int(label[j]))
+    for i, j in cell.open_pairs():
+        x, y = top(int(cell.label[i])), top(int(cell.label[j]))
         if x != y and alike(sets[i], sets[j], by.percent):
             root[max(x, y)] = min(x, y)
-            a.append(ids[i])
-            b.append(ids[j])
+            a.append(int(cell.ids[i]))
+            b.append(int(cell.ids[j]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def rest_links(members: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, by: Scheme) -> DataFrame:
+def mixed(marked: DataFrame) -> DataFrame:
+    """The rows(key, place, id, label) of buckets with several components."""
+    several = marked.groupBy("key", "place").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key", "place")
+    return marked.join(several, ["key", "place"])
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows(key, place, id, label, n) dealt to cells (i, j) of their bucket: those outside the largest component by blocks j, all by blocks i."""
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, 8 * size / BLOCK_BYTES)).cast("int")
+    parts = rows.groupBy("key", "place", "label").agg(F.count("*").alias("c"), F.sum("n").alias("size"))
+    largest = F.max(F.struct("c", "size", "label"))
+    sizes = parts.groupBy("key", "place").agg(largest.alias("top"), F.sum("c").alias("c"), F.sum("size").alias("size"))
+    cut = sizes.select("key", "place", F.col("top.label").alias("most"), blocks(F.col("c"), F.col("size")).alias("blocks"), blocks(F.col("c") - F.col("top.c"), F.col("size") - F.col("top.size")).alias("other_blocks"))
+    held = rows.join(cut, ["key", "place"])
+    h = F.xxhash64("id")
+    held = held.withColumns({"other": F.col("label") != F.col("most"), "block": F.pmod(h, "blocks").cast("int"), "other_block": F.pmod(h, "other_blocks").cast("int")})
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    across = F.transform(all_of("other_blocks"), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
+    down = F.transform(all_of("blocks"), lambda i: F.struct(i.alias("i"), F.col("other_block").alias("j")))
+    cells = F.when(F.col("other"), F.array_distinct(F.concat(across, down))).otherwise(across)
+    held = held.withColumn("cell", F.explode_outer(cells))
+    return held.select("key", "place", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "id", "label", "other", "block", "other_block")
+
+
+def rest_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, by: Scheme) -> DataFrame:
     """Links between components within buckets of four or more documents, but for their ends."""
-    inner = members.where((F.col("n") >= 4) & (F.col("id") != F.col("lo")) & (F.col("id") != F.col("hi")))
-    marked = inner.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = marked.groupBy("key", "place").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key", "place")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = marked.join(mixed, ["key", "place"]).withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).select("key", "place", "i", "j", "id", "block", "label")
-    rows = dealt.join(classes.select("id", "signature", F.col("n_shingles").alias("n")), "id")
-    fields = "id long, key long, place int, i int, j int, block int, label long, signature binary, n long"
-    rows = rows.select(*(x.split()[0] for x in fields.split(", ")))
-    left = keep(rows.groupBy("key", "place", "i", "j").applyInArrow(lambda t: still_open(t, by), fields), "open-pairs")
-    return left.join(sets, "id").groupBy("key", "place", "i", "j").applyInArrow(lambda t: block_links(t, by), "a long, b long")
+    inner = members.where((F.col("n") >= 4) & (F.col("id") != F.col("lo")) & (F.col("id") != F.col("hi"))).select("key", "place", "id")
+    open_rows = keep(mixed(inner.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))), "open-rows")
+    whole = keep(mixed(members.where("n >= 4").select("key", "place", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))).select("id").distinct(), "open-ids")
+    done = without_partner(sets.join(whole, "id", "left_semi"), by.percent)
+    about = nodes.select("id", "signature", "parts", F.col("n_shingles").alias("n"))
+    left = mixed(open_rows.join(done, "id", "left_anti")).join(about.select("id", "n"), "id")
+    cells = dealt(keep(left, "left-rows", [whole, open_rows])).join(about, "id")
+    fields = "id long, key long, place int, i int, j int, block int, other_block int, other boolean, label long, signature binary, parts binary, n long"
+    cells = cells.select(*(x.split()[0] for x in fields.split(", ")))
+    found = keep(cells.groupBy("key", "place", "i", "j").applyInArrow(lambda t: still_open(t, by), fields), "open-pairs")
+    return keep(found.join(sets, "id").groupBy("key", "place", "i", "j").applyInArrow(lambda t: cell_links(t, by), "a long, b long"), "more-links", [found])
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -303,25 +383,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     way = scheme(percent)
     rows = keep(sketches(docs, way), "sketches")
     by = ["set_a", "set_b", "n_shingles"]
-    classes = keep(rows.where("n_shingles > 0").groupBy(*by).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")), "classes")
+    classes = keep(rows.where("n_shingles > 0").groupBy(*by).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature"), F.min("parts").alias("parts")), "classes")
     nodes = classes.where("id IS NOT NULL")
     keys = index_keys(nodes, way)
     buckets = keys.groupBy("key", "place").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     members = keep(keys.join(buckets, ["key", "place"]), "members")
     ends = members.select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id <> end").select(F.greatest("id", "end").alias("a"), F.least("id", "end").alias("b")).distinct()
-    about = nodes.select("id", "signature", "n_shingles")
+    about = nodes.select("id", "parts", "n_shingles")
     for side in ("a", "b"):
-        ends = ends.join(about.toDF(side, f"sig_{side}", f"n_{side}"), side)
+        ends = ends.join(about.toDF(side, f"parts_{side}", f"n_{side}"), side)
     pairs = keep(rather_near(ends, way), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.where("n >= 4").select("id")).distinct()
     sets = keep(full_sets(docs, ids), "sets")
-    links = keep(confirmed(pairs, sets, percent), "links")
-    more = rest_links(members, nodes, sets, components(links), way)
+    links = keep(confirmed(pairs, sets, percent), "links", [pairs])
+    first = components(links)
+    more = rest_links(members, nodes, sets, first, way)
     labels = components(links.union(more))
+    drop(members, sets, links, first, more)
     found = classes.join(labels, "id", "left").select(*by, F.coalesce("label", "id").alias("class_id"))
-    out = rows.drop("signature").join(found, by, "left")
+    out = rows.drop("signature", "parts").join(found, by, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return keep(out, "near", [rows, classes, labels])
 
 
 def op4_hamming_minhash(spark, sf_dir: str) -> DataFrame:
