@@ -7,22 +7,25 @@ resemblance and containment, one the number of distinct shingles.
 Defined cases: a null text counts as empty and has an empty sketch; a text of fewer than five
 words has one shingle, all its words. Two empty sketches resemble each other fully, an empty
 one and another not at all. Letters are compared in lower case. Rows that share an id stay
-apart; null ids come first.
+apart, in the order of a hash of their texts; null ids come first. An empty table gives none.
+Texts of any length are taken whole. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import keep
+from lodestone.llm.common import partitions, ranged
 
 K = 64
 WORDS = 5
-#: Rows of one run of neighbours, about.
-RUN = 256
-#: Below so many runs one task orders their first rows.
-FEW_RUNS = 20_000
+#: Rows of one run of neighbours.
+RUN = 1024
+#: Runs for each partition at most.
+RUNS = 16
 
 
 def words(text: Column) -> Column:
@@ -80,50 +83,59 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def run_of(key: str, low: int, width: int) -> Column:
-    """Number of a key's run; null keys are the run before all others."""
-    return F.coalesce(F.expr(f"(`{key}` - {low}L) div {width}L"), F.lit(-1).cast("long"))
+def place(key: str, text: str) -> Column:
+    """What rows are ordered by: null keys first, then the key, then a hash of the text."""
+    return F.struct(F.col(key).isNotNull().cast("int").alias("f"), F.coalesce(key, F.lit(0).cast("long")).alias("k"), F.xxhash64(text).alias("h"))
+
+
+def run_starts(rows: DataFrame, key: str, text: str, size: int) -> list[tuple[int, int, int]]:
+    """Places at which runs of ``size`` rows begin, ascending; the first is the least of all.
+
+    The ids alone are sorted by range. A run has more rows where that keeps the number of runs
+    below RUNS for each partition, so what comes to the driver is bounded by their number; it has
+    more rows, too, where more of them have the same id and text.
+    """
+    parts = partitions(rows.sparkSession)
+    places = ranged(rows.select(place(key, text).alias("p")).select("p.*"), "f", "k", "h")
+    step = max(size, -(-rows.count() // (RUNS * parts)))
+    return sorted(set(map(tuple, places.where(F.col("at") % step == 0).select("f", "k", "h").collect())))
 
 
-def run_width(rows: DataFrame, key: str) -> tuple[int, int]:
-    """(smallest key, keys in a run), so that a run has RUN rows on average and width distinct keys at most."""
-    low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
-    return (low or 0), max(1, ((high or 0) - (low or 0) + 1) * RUN // max(1, n))
+def run_of(starts: list[tuple[int, int, int]], at: Column) -> Column:
+    """Number of the last run that begins at or before a place, by bisection."""
+    bounds = F.from_json(F.lit(json.dumps([{"f": f, "k": k, "h": h} for f, k, h in starts])), "array<struct<f:int,k:bigint,h:bigint>>")
 
+    def step(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        below = F.get(bounds, mid) <= at
+        return F.struct(F.when(below, mid).otherwise(a["lo"]).alias("lo"), F.when(below, a["hi"]).otherwise(mid).alias("hi"))
 
-def followers(runs: DataFrame) -> DataFrame:
-    """(run, next) for distinct runs: the next run that has rows, null for the last."""
-    n = runs.count()
-    if n <= FEW_RUNS:
-        return runs.select("run", F.lead("run").over(Window.orderBy("run")).alias("next"))
-    low, width = run_width(runs, "run")
-    upper = runs.withColumn("_run", run_of("run", low, width))
-    within = upper.withColumn("next", F.lead("run").over(Window.partitionBy("_run").orderBy("run")))
-    first = upper.groupBy("_run").agg(F.min("run").alias("_first"))
-    after = followers(first.select(F.col("_run").alias("run"))).join(first.select(F.col("_run").alias("next"), "_first"), "next")
-    return within.join(after.select(F.col("run").alias("_run"), "_first"), "_run", "left").select("run", F.coalesce("next", "_first").alias("next"))
+    ends = F.struct(F.lit(0).alias("lo"), F.lit(max(1, len(starts))).alias("hi"))
+    steps = max(1, len(starts)).bit_length()
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends, step, lambda a: a["lo"])
 
 
-def with_next(rows: DataFrame, key: str, text: str, sketch: str) -> DataFrame:
-    """rows(key, text), no text null, with their sketch, and ``next_text`` and ``next_sketch`` of the row behind in ascending order of (key, text); behind the last comes the first.
+def with_next(rows: DataFrame, key: str, text: str, sketch: str, size: int = RUN) -> DataFrame:
+    """rows(key, text), no text null, with their sketch, and ``next_text`` and ``next_sketch`` of the row behind in ascending order of (key, hash of the text, text); behind the last comes the first.
 
-    Rows are dealt out by runs of neighbouring keys and look ahead within their run: one
-    shuffle of the texts. Only the last row of a run takes the first row of the next, from a
-    table with one row for each run.
+    Rows are dealt out by runs of neighbours and look ahead within their run: one shuffle of the
+    texts. Each run ends with a copy of the row that begins the next one. Nothing is computed
+    with the keys, so they may be any 64-bit integers.
     """
-    low, width = run_width(rows, key)
-    dealt = with_sketch(rows.withColumn("_run", run_of(key, low, width)).repartition("_run"), text, sketch)
-    order = Window.partitionBy("_run").orderBy(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
-    held = dealt.withColumn("_next", F.lead(F.struct(text, sketch)).over(order))
-    least = rows.withColumn("_run", run_of(key, low, width)).groupBy("_run").agg(F.min(F.struct(key, text)).getField(text).alias("text"))
-    heads = keep(with_sketch(least, "text", "head"), "run-heads").withColumnRenamed("_run", "run")
-    after = followers(heads.select("run"))
-    start = heads.agg(F.min("run")).first()[0]
-    after = after.select("run", F.coalesce("next", F.lit(start)).alias("next"))
-    behind = after.join(heads.select(F.col("run").alias("next"), F.col("text").alias("_head"), F.col("head").alias("_sketch")), "next").select(F.col("run").alias("_run"), "_head", "_sketch")
-    joined = held.join(behind, "_run", "left")
-    joined = joined.withColumns({"next_text": F.coalesce(F.col("_next")[text], "_head"), "next_sketch": F.coalesce(F.col("_next")[sketch], "_sketch")})
-    return joined.drop("_run", "_next", "_head", "_sketch")
+    starts = run_starts(rows, key, text, size)
+    runs, parts = max(1, len(starts)), partitions(rows.sparkSession)
+    numbered = rows.sparkSession.createDataFrame([(*s, i) for i, s in enumerate(starts)], "f int, k long, h long, _run int")
+    at = rows.select(key, text, place(key, text).alias("_at"))
+    heads = at.select(key, text, "_at", F.col("_at.f").alias("f"), F.col("_at.k").alias("k"), F.col("_at.h").alias("h")).join(F.broadcast(numbered), ["f", "k", "h"])
+    heads = heads.groupBy("_run").agg(F.min(F.struct(F.col(text), F.col(key))).alias("_row"), F.first("_at").alias("_at"))
+    before = F.pmod(F.col("_run") - 1, F.lit(runs)).cast("int")
+    guards = heads.select(F.col(f"_row.{key}").alias(key), F.col(f"_row.{text}").alias(text), "_at", before.alias("_run"), F.lit(1).alias("_guard"))
+    held = at.withColumns({"_run": run_of(starts, F.col("_at")).cast("int"), "_guard": F.lit(0)}).unionByName(guards)
+    share = F.floor(F.col("_run").cast("long") * min(parts, runs) / runs).cast("int")
+    held = held.withColumn("_part", share).repartitionById(min(parts, runs), F.col("_part"))
+    order = Window.partitionBy("_part", "_run").orderBy("_guard", "_at", text)
+    out = with_sketch(held, text, sketch).withColumn("_next", F.lead(F.struct(text, sketch)).over(order)).where("_guard = 0")
+    return out.select(key, text, sketch, F.col("_next")[text].alias("next_text"), F.col("_next")[sketch].alias("next_sketch"))
 
 
 def edited_text(rows: DataFrame) -> DataFrame:

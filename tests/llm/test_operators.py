@@ -138,7 +138,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def plain_components(rows):
+def plain_components(rows, percent=85):
     sets = [(d, shingle_set(t)) for d, t in rows]
     root = {d: d for d, _ in sets}
 
@@ -149,7 +149,7 @@ def plain_components(rows):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 a_, b_ = top(a), top(b)
                 root[max(a_, b_)] = min(a_, b_)
     return {d: top(d) for d, _ in sets}
@@ -229,12 +229,50 @@ def test_sketches_merge(spark):
     assert (row["r"], row["c"], row["n"]) == (1.0, 1.0, 4.0)
 
 
-def test_fingerprints_many_runs(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RUN", 3)
-    monkeypatch.setattr(fingerprints, "FEW_RUNS", 2)
-    rows = spark.createDataFrame([(i * i, f"text {i}") for i in range(40)], "doc_id long, text string")
-    got = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(rows, "doc_id", "text", "sketch").collect()}
-    assert got == {i * i: f"text {(i + 1) % 40}" for i in range(40)}
+def neighbours(rows):
+    """The text behind each (id, text)."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    return [(*r, order[(i + 1) % len(order)][1]) for i, r in enumerate(order)]
+
+
+@pytest.mark.parametrize("ids", [[i * i for i in range(40)], [(i * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for i in range(40)], [*range(39), 9 * 10**18], [-(2**63), 2**63 - 1, 0], [5]])
+def test_fingerprints_of_any_ids(spark, ids):
+    rows = [(d, f"text {i}") for i, d in enumerate(ids)]
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", "sketch", 3).collect()
+    assert sorted((r["doc_id"], r["text"], r["next_text"]) for r in got) == sorted(neighbours(rows))
+
+
+def test_fingerprints_odd(spark, odd, none):
+    """Repeated rows and null ids keep a row each, and each text stands behind one row."""
+    rows = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).union(spark.createDataFrame([(None, f"n {i}") for i in range(20)], "doc_id long, text string"))
+    got = fingerprints.with_next(rows, "doc_id", "text", "sketch", 3).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got) == sorted((r["doc_id"] or -1, r["text"]) for r in rows.collect())
+    assert sorted(r["next_text"] for r in got) == sorted(r["text"] for r in got)
+    assert fingerprints.with_next(none.select("doc_id", "text"), "doc_id", "text", "sketch").count() == 0
+    sketch = next(r["sketch"] for r in got if r["doc_id"] == 3)
+    assert sketch == []
+
+
+def test_runs_are_even(spark):
+    rows = spark.range(0, 5000).select(F.xxhash64("id").alias("doc_id"), F.col("id").cast("string").alias("text")).union(spark.createDataFrame([(9 * 10**18, "far"), (None, "none")], "doc_id long, text string"))
+    starts = fingerprints.run_starts(rows, "doc_id", "text", 100)
+    sizes = [r["count"] for r in rows.groupBy(fingerprints.run_of(starts, fingerprints.place("doc_id", "text")).alias("run")).count().collect()]
+    assert sum(sizes) == 5002 and max(sizes) <= 100 and len(sizes) == len(starts)
+
+
+def test_bottom_k_is_the_least_hashes(spark, docs):
+    """The sketch against all shingle hashes, sorted outside Spark; the likeness to the next text by the definition."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    every = rows.withColumn("w", fingerprints.words(F.col("text"))).select("doc_id", fingerprints.shingle_hashes(F.col("w")).alias("h"))
+    least = {r["doc_id"]: sorted(set(r["h"]))[: fingerprints.K] for r in every.collect()}
+    got = fingerprints.with_next(rows, "doc_id", "text", "sketch").withColumn("near", fingerprints.resemblance(F.col("sketch"), F.col("next_sketch"))).collect()
+    order = sorted(r["doc_id"] for r in got)
+    behind = dict(zip(order, order[1:] + order[:1], strict=True))
+    for r in got:
+        a, b = least[r["doc_id"]], least[behind[r["doc_id"]]]
+        both = sorted(set(a) | set(b))[: fingerprints.K]
+        assert r["sketch"] == a and r["next_sketch"] == b
+        assert r["near"] == (sum(x in a and x in b for x in both) / len(both) if both else 1.0)
 
 
 # -- 6, 7 ---------------------------------------------------------------------------------
