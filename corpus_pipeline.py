@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor kept as a written table. All but the last return the
 columns of documents; the last returns the pieces and their places in sequences.
+
+Defined cases, of every stage: an empty table gives one. Rows that are repeated, or share an id,
+are judged by their own texts and keep a row each; near duplicates of the same id go or stay
+together. A null text counts as empty: it is not toxic, fails the rules, is no duplicate, has no
+personal data and packs as the end id alone. Rows with a null id are never dropped as
+duplicates. Texts are taken whole, however long. Other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,7 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = keep(docs, f"stage-{k}")
+        made = stage(spark, docs, sf_dir)
+        docs = keep(made, f"stage-{k}", [docs]) if k + 1 < len(STAGES) else made
     return docs

@@ -43,6 +43,8 @@ GENERATORS = {
     "number": r"(?:\G|(?<![0-9A-Za-z]))[+(]?[0-9][0-9\x20().-]{5,}[0-9](?![0-9A-Za-z])",
 }
 BEFORE = 24
+#: Matches of a text that are placed together.
+BLOCK = 256
 #: Digits that a part of a run may have: the fewest of a phone number, the most of a card.
 LEAST, MOST = 9, 19
 CONTEXT = {
@@ -87,7 +89,14 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFram
             e = s + F.length(x["m"])
             return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
-        made = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        # An aggregate copies what it carries at each step, so it goes block by block.
+        def block(z: Column, o: Column, k: Column) -> Column:
+            start = F.struct(o["at"].alias("at"), empty.alias("out"))
+            return F.aggregate(F.slice(z, k * BLOCK + 1, F.lit(BLOCK)), start, step, lambda a: F.struct(a["at"].alias("at"), F.concat(o["done"], F.array(a["out"])).alias("done")))
+
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MATCH}>").alias("done"))
+        blocks = F.sequence(F.lit(0), F.floor(F.size(hits) / BLOCK).cast("int"))
+        made = F.get(F.transform(F.array(sizes), lambda z: F.aggregate(blocks, none, lambda o, k: block(z, o, k), lambda o: F.flatten(o["done"]))), F.lit(0))
         return F.when(F.size(hits) > 0, made).otherwise(empty)
 
     return df.withColumns({f"_m_{k}": spans(k) for k in patterns}).drop(*(f"_{c}_{k}" for k in patterns for c in "fb"))
