@@ -169,17 +169,17 @@ def cache_get(cache: DataFrame, keys: DataFrame, now: float) -> DataFrame:
 
 
 METRIC_HELP = {
-    "requests_total": "Total HTTP requests",
-    "request_latency_ms_total": "Total request latency in ms",
-    "request_latency_ms_bucket": "Request latency histogram buckets",
-    "author_queries_total": "Queries with explicit author terms",
-    "author_gap_total": "Author queries with no keyword-matching passages",
-    "retrieval_failures_total": "Retrieval failure tags",
-    "hallucination_risk_bucket": "Hallucination risk buckets",
-    "evidence_coverage_bucket": "Evidence coverage ratio buckets",
-    "synthesis_total": "Synthesis outcomes",
-    "synthesis_latency_ms_total": "Total synthesis latency in ms by outcome",
-    "synthesis_latency_ms_bucket": "Synthesis latency histogram buckets",
+    "requests_total": "How many requests came, by their labels",
+    "request_latency_ms_total": "Milliseconds that requests took, summed up",
+    "request_latency_ms_bucket": "Requests that took so many milliseconds or fewer",
+    "author_queries_total": "Questions that name an author",
+    "author_gap_total": "Questions whose author has no passage with their words",
+    "retrieval_failures_total": "Answers by the tag of what went wrong in retrieval",
+    "hallucination_risk_bucket": "Answers of such a risk or a lower one",
+    "evidence_coverage_bucket": "Answers of such a coverage or a lower one",
+    "synthesis_total": "Answers by how their writing ended",
+    "synthesis_latency_ms_total": "Milliseconds of writing answers, by how it ended",
+    "synthesis_latency_ms_bucket": "Answers written in so many milliseconds or fewer",
 }
 
 

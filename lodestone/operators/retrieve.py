@@ -17,6 +17,8 @@ from lodestone.settings import Settings
 
 #: So many questions' vectors may be broadcast.
 BROADCAST_QUERIES = 10_000
+#: So many terms of questions may be broadcast.
+BROADCAST_TERMS = 1_000_000
 TOKEN = r"[\p{L}0-9]+"
 
 
@@ -46,21 +48,23 @@ def bm25(docs: DataFrame, terms: DataFrame, settings: Settings = Settings(), key
     """(query_id, key, score) of every document with a term of the question.
 
     Documents are cut down to the questions' terms in one scan: terms of documents that no
-    question has never leave their task. Statistics are over all documents.
+    question has never leave their task. What is left is dealt out by document, so its terms are
+    counted, weighted and summed up for each question without another shuffle, as long as the
+    questions' terms are broadcast. Statistics are over all documents.
     """
     k1, b = settings.bm25_k1, settings.bm25_b
+    few = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda df: df
     words = docs.select(F.col(key), tokens(F.col("text")).alias("_w"))
-    size = words.agg(F.count("*").alias("n"), F.avg(F.size("_w")).alias("avgdl"))
-    wanted = terms.select("term").distinct()
-    each = words.select(key, F.size("_w").alias("dl"), F.explode_outer("_w").alias("term")).join(wanted, "term")
-    tf = each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = size.first() or (0, 0.0)
-    idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.lit(float(avgdl or 1.0))))
-    weighted = tf.join(df.select("term", idf.alias("idf")), "term").select(key, "term", part.alias("w"))
+    size = words.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("_w")).alias("avgdl")).withColumn("_one", F.lit(1))
+    each = words.select(key, F.size("_w").alias("dl"), F.explode_outer("_w").alias("term")).join(few(terms.select("term").distinct()), "term")
+    tf = each.repartition(key).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("_one", F.lit(1)).join(F.broadcast(size), "_one")
+    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = df.select("term", idf.alias("idf"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
+    asked = terms.join(weights, "term")
     # rounded: the order of a sum's terms isn't fixed, and equal scores must tie
-    return terms.join(weighted, "term").groupBy("query_id", key).agg(F.round(F.sum("w"), 9).alias("score"))
+    return tf.join(few(asked), "term").groupBy("query_id", key).agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def lexical(docs: DataFrame, queries: DataFrame, k: int | None = None, settings: Settings = Settings(), key: str = "id") -> DataFrame:

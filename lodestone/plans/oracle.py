@@ -8,7 +8,7 @@ NOW = START + 500 * 3600
 #: Shared parts.
 CORPUS = f"c AS (SELECT doc_id AS id, text, source, 'txt' AS source_type, lang AS domain, {START}.0::DOUBLE + doc_id * 3600.0 AS timestamp FROM documents)"
 WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '\s+'), lambda w: w <> '')"
-ASKED = f"q AS (SELECT item_id AS query_id, array_to_string(list_slice({WORDS.format('text')}, 1, 8), ' ') AS query FROM benchmark)"
+ASKED = f"q AS (SELECT item_id AS query_id, array_to_string({WORDS.format('text')}, ' ') AS query FROM benchmark)"
 TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}0-9]+')"
 POSTINGS = f"""w AS (SELECT id, {TOKENS.format('text')} AS ws FROM c),
 size AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)) AS avgdl FROM w),
@@ -105,7 +105,7 @@ SELECT query_id, array_to_string(list_filter(es, lambda w, i: list_position(es,
 SELECT id, CAST(i - 1 AS INTEGER) AS i, cs[i] AS claim FROM (SELECT id, cs, unnest(range(1, len(cs) + 1)) AS i FROM p)""",
     "negation": r"""SELECT doc_id AS id, list_bool_or(list_transform([' not ', ' no ', ' never ', ' cannot ', ' can''t ', ' won''t ', ' isn''t ', ' aren''t ', ' wasn''t ', ' weren''t '], lambda n: contains(' ' || lower(text) || ' ', n))) AS negated,
 CAST(len(list_filter(regexp_extract_all(text, '[0-9.]+'), lambda x: try_cast(x AS DOUBLE) IS NOT NULL)) AS INTEGER) AS n_numbers FROM documents""",
-    "claim_paraphrases": rf"""WITH p AS (SELECT printf('%08d', doc_id) AS chunk_id, list_filter(list_transform(string_split(replace(text, chr(10), ' '), '.'), lambda x: trim(x)), lambda x: x <> '')[1:5] AS cs FROM documents WHERE lang = 'en'),
+    "claim_paraphrases": rf"""WITH p AS (SELECT printf('%08d', doc_id) AS chunk_id, list_filter(list_transform(string_split(replace(text, chr(10), ' '), '.'), lambda x: trim(x)), lambda x: x <> '')[1:5] AS cs FROM documents),
 k AS (SELECT chunk_id || '::claim::' || (i - 1) AS id, cs[i] AS text FROM (SELECT chunk_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM p)),
 t AS (SELECT id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[,;:]', ' ', 'g'), '\s+'), lambda w: regexp_full_match(w, '\p{{L}}{{3,}}'))) AS ts FROM k),
 e AS (SELECT id, unnest(ts) AS token FROM t),
@@ -119,7 +119,9 @@ x AS (SELECT chunk_id, count(DISTINCT other) AS contradictions FROM l JOIN both_
 SELECT chunk_id, support, entities, coalesce(contradictions, 0) AS contradictions, round(support + 0.1::DOUBLE * entities - 0.5::DOUBLE * coalesce(contradictions, 0), 3) AS score FROM s JOIN e USING (chunk_id) LEFT JOIN x USING (chunk_id)""",
     "graph_relations": f"""WITH {GRAPH} SELECT src, predicate, dst, CAST(count(*) AS BIGINT) AS strength FROM ce JOIN rel ON ce.name = rel.src GROUP BY src, predicate, dst HAVING count(*) >= 2""",
     "graph_conflicts": f"""WITH {GRAPH} SELECT src, dst, array_to_string(list_sort(list(DISTINCT predicate)), ',') AS predicates FROM rel GROUP BY src, dst HAVING count(DISTINCT predicate) > 1""",
-    "graph_paths": f"""WITH {GRAPH} SELECT claim_id, src, predicate, dst, count(*) AS n FROM l JOIN orders ON l.chunk_id = o_orderkey JOIN ke USING (claim_id) JOIN rel ON ke.name = rel.src WHERE o_orderpriority = '1-URGENT' GROUP BY claim_id, src, predicate, dst ORDER BY n DESC, claim_id, src, predicate, dst LIMIT 10""",
+    "graph_paths": f"""WITH {GRAPH} SELECT l.chunk_id, ke.name AS src, dst, count(*) AS n FROM l JOIN ke USING (claim_id) JOIN rel ON ke.name = rel.src GROUP BY ALL ORDER BY n DESC, l.chunk_id, src, dst LIMIT 10""",
+    "graph_path_totals": f"""WITH {GRAPH}, p AS (SELECT l.chunk_id, ke.name AS src, dst, count(*) AS n FROM l JOIN ke USING (claim_id) JOIN rel ON ke.name = rel.src GROUP BY ALL)
+SELECT chunk_id, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS paths, max(n) AS most FROM p GROUP BY chunk_id""",
     "judge_confidence": f"""WITH {JUDGED}, a AS (SELECT *, CASE WHEN contradictions > 0 THEN least(base * (1 - least(0.5::DOUBLE, 0.1::DOUBLE * contradictions)), 0.6::DOUBLE) ELSE base END AS c1 FROM j),
 b AS (SELECT *, CASE WHEN conflicts > 0 THEN greatest(0, c1 * (1 - least(0.5::DOUBLE, 0.15::DOUBLE * conflicts))) ELSE c1 END AS c2 FROM a)
 SELECT query_id, round(CASE WHEN contradictions = 0 AND strong > 0 THEN least(1, c2 + least(0.2::DOUBLE, 0.05::DOUBLE * strong)) ELSE c2 END, 6) AS confidence FROM b""",
@@ -186,12 +188,12 @@ j AS (SELECT query_id, ss, array_to_string(ss, ' ') AS a FROM f)
 SELECT query_id, CASE WHEN len(ss) = 0 THEN 'I could not find enough clean evidence to generate a natural answer.' ELSE {CLEAN.format('a')} END AS answer FROM j"""
 
 SQL["eval_scores"] = f"""WITH {CORPUS}, {ASKED}, {POSTINGS}, {bm25('q', 's')}, r AS ({ranked('s', 6)}),
-g AS (SELECT query_id, list(source ORDER BY rank) AS sources, substr(first(text ORDER BY rank), 1, 200) AS answer FROM r JOIN c USING (id) GROUP BY query_id),
+g AS (SELECT query_id, list(source ORDER BY rank) AS sources, first(text ORDER BY rank) AS answer FROM r JOIN c USING (id) GROUP BY query_id),
 runs AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'a' ELSE 'b' END AS config, sources, answer, (query_id % 5) / 5.0::DOUBLE AS conf, query_id % 9 = 0 AS bad FROM q LEFT JOIN g USING (query_id)),
-truth AS (SELECT item_id AS query_id, list_distinct(['src' || (item_id % 20), 'src' || (item_id * 3 % 20), 'src' || (item_id * 7 % 20)]) AS want, CASE WHEN item_id % 3 = 0 THEN '' ELSE substr(text, 1, 150) END AS ref FROM benchmark WHERE item_id % 4 <> 3),
+truth AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 3 THEN [] ELSE list_distinct(['src' || (item_id % 20), 'src' || (item_id * 3 % 20), 'src' || (item_id * 7 % 20)]) END AS want, CASE WHEN item_id % 3 = 0 THEN '' ELSE text END AS ref FROM benchmark),
 m AS (SELECT runs.*, want, ref, len(list_filter(want, lambda x: coalesce(list_contains(sources[1:5], x), false)))::DOUBLE AS got, {EVAL_TOKENS.format('answer')} AS ta, {EVAL_TOKENS.format('ref')} AS tb FROM runs LEFT JOIN truth USING (query_id)),
 o AS (SELECT *, len(list_intersect(ta, tb))::DOUBLE AS same FROM m)
-SELECT config, count(*) AS n, count(*) FILTER (bad) AS errors, round(avg(got / len(want)) FILTER (NOT bad AND want IS NOT NULL), 6) AS recall,
- round(avg((got > 0)::INT::DOUBLE) FILTER (NOT bad AND want IS NOT NULL), 6) AS hit_rate,
+SELECT config, count(*) AS n, count(*) FILTER (bad) AS errors, round(avg(got / len(want)) FILTER (NOT bad AND len(want) > 0), 6) AS recall,
+ round(avg((got > 0)::INT::DOUBLE) FILTER (NOT bad AND len(want) > 0), 6) AS hit_rate,
  round(avg(CASE WHEN same = 0 THEN 0 ELSE 2 * (same / len(ta)) * (same / len(tb)) / (same / len(ta) + same / len(tb)) END) FILTER (NOT bad AND coalesce(ref, '') <> ''), 6) AS lexical_overlap,
  round(avg(conf) FILTER (NOT bad), 6) AS confidence FROM o GROUP BY config"""

@@ -41,13 +41,27 @@ def write_chunks(rows: DataFrame, path: str, batch: int | None = None) -> None:
     (w.option("maxRecordsPerFile", batch) if batch else w).partitionBy(*NAMESPACE).parquet(path)
 
 
+def append_batch(rows: DataFrame, path: str, records: int | None = None) -> None:
+    """Adds rows(collection, batch, …), a folder for each collection and batch. A batch that is written again replaces itself; nothing else is touched."""
+    w = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (w.option("maxRecordsPerFile", records) if records else w).partitionBy(*NAMESPACE, "batch").parquet(path)
+
+
+def current(rows: DataFrame, by: tuple[str, ...] = ("collection", "source")) -> DataFrame:
+    """Of rows(…, batch) each source's latest batch: what replacement by source leaves. Older batches may be removed at any time."""
+    latest = rows.groupBy(*by).agg(F.max("batch").alias("_latest"))
+    on = [rows[c].eqNullSafe(latest[c]) for c in by]
+    return rows.join(latest, [*on, rows["batch"] == latest["_latest"]], "left_semi")
+
+
 def read_collection(spark, path: str, domain: str | None, tenant: str | None) -> DataFrame:
-    """The domain's collection, else the tenant's, else the base one, whichever exists. The filter prunes folders."""
+    """The domain's collection, else the tenant's, else the base one, whichever exists. Folders are listed, and the filter prunes them."""
     rows = spark.read.parquet(path)
-    have = {r[0] for r in rows.select("collection").distinct().collect()}
     wanted = [f"docs_{x}" for x in (domain or tenant,) if x]
-    name = next((n for n in wanted if n in have), "docs")
-    return rows.where(F.col("collection") == name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, f"collection={n}"))
+    return rows.where(F.col("collection") == next((n for n in wanted if there(n)), "docs"))
 
 
 def domains(indices: DataFrame) -> DataFrame:

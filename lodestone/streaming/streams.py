@@ -30,25 +30,16 @@ def running_counters(events: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def ingest(files: DataFrame, path: str, checkpoint: str, settings: Settings = Settings(), then: Callable[[DataFrame], None] | None = None):
-    """A query that cuts arriving files(text, source, …) into chunks and replaces their source's chunks in a table at path. Each micro-batch writes the collections it touches."""
+    """A query that cuts arriving files(text, source, …) into chunks and adds them to a table at path, of which ``store.current`` is what counts.
+
+    A micro-batch writes its own folders and reads nothing of the table, so a lost executor or a
+    batch that is run again changes nothing else. A source's rows of a later batch stand in place
+    of its earlier ones.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         new = store.namespaced(chunks(batch, settings)).withColumn("batch", F.lit(number).cast("long"))
-        try:
-            old = spark.read.parquet(path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = None
-        if old is not None:
-            touched = new.select("collection").distinct()
-            old = old.join(touched, "collection", "left_semi").select(*new.columns)
-            new = store.replace_sources(old, new)
-        staged = new.persist()  # the table is read and written in one batch
-        staged.count()
-        store.write_chunks(staged, path, settings.ingest_batch)
-        staged.unpersist()
+        store.append_batch(new, path, settings.ingest_batch)
         if then:
             then(batch)
 
