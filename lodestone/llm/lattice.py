@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import keep, setting
 from lodestone.llm.pieces import MARK, WORDS, marked, read, words
 
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 4 << 20
 MAX_PIECES = 1 << 20
 WINDOW = 64
 BLOCK = 256
