@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Documents are dealt to groups of about GROUP_BYTES of text: the one shuffle, which both uses of
-the texts read. Within a group the distinct words are exploded into their substrings up to the
-longest piece; an equi-join with the piece table leaves the edges of the words' lattices; they
+the texts read. Within a group the distinct words are exploded into their substrings, of the
+sizes that pieces with the same first two characters have; an equi-join with the piece table leaves the edges of the words' lattices; they
 are grouped by word, and a higher-order aggregate folds the Viterbi recursion over their ends.
 The best paths are exploded again and joined with the piece table by id, which decodes them.
 The group's texts then look their words up. The piece table is broadcast; its size is the
-vocabulary's, MAX_PIECES at most.
+vocabulary's, MAX_PIECES at most. Pieces that shorter ones always spell with a better score are
+left out of it, which changes no best path.
 
 A word of any length goes this way. It is exploded window by window of WINDOW characters, and
 the fold carries the scores of the last places that a piece can reach back to, BLOCK by BLOCK.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import keep, setting
-from lodestone.llm.pieces import MARK, WORDS, marked, read, words
+from lodestone.llm.pieces import MARK, WORDS, marked, needed, read, words
 
 GROUP_BYTES = 4 << 20
 MAX_PIECES = 1 << 20
@@ -37,11 +38,19 @@ BLOCK = 256
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
-    """(piece, id, score); its size is the vocabulary's."""
-    pieces = read(model)
-    if len(pieces.scores) > MAX_PIECES:
+    """(piece, id, score) of the pieces that best paths may use; its size is the vocabulary's at most."""
+    if len(read(model).scores) > MAX_PIECES:
         raise ValueError("the vocabulary is too large to broadcast")
-    return spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.scores.items()], "piece string, id long, score double")
+    return spark.createDataFrame([(p, i, s) for p, (i, s) in needed(model).items()], "piece string, id long, score double")
+
+
+def head_table(spark: SparkSession, model: str) -> DataFrame:
+    """(head, sizes): how long the pieces are that begin with two characters, 1 included; no larger than the table of pieces."""
+    sizes: dict[str, set[int]] = {}
+    for piece in needed(model):
+        if len(piece) > 1:
+            sizes.setdefault(piece[:2], {1}).add(len(piece))
+    return spark.createDataFrame([(h, sorted(x)) for h, x in sizes.items()], "head string, sizes array<int>")
 
 
 def name_table(spark: SparkSession, model: str) -> DataFrame:
@@ -67,14 +76,15 @@ def edges(rows: DataFrame, model: str) -> DataFrame:
     single character that is no piece, the id is -1 less the number that its bytes make. Only the
     first place's single character carries the word, so that long words aren't copied.
     """
-    pieces = read(model)
-    if pieces.longest >= 64:
+    pieces, longest = read(model), max(map(len, needed(model)))
+    if longest >= 64:
         raise ValueError("a piece is too long")
     n = F.length("word")
     wide = rows.select("g", "w", "seen_in", "word", F.explode_outer(F.sequence(F.lit(0), n - 1, F.lit(WINDOW))).alias("base"))
-    wide = wide.select("g", "w", "seen_in", "word", "base", (n - F.col("base")).alias("left"), F.substring(F.col("word"), F.col("base") + 1, F.lit(WINDOW + pieces.longest)).alias("part"))
+    wide = wide.select("g", "w", "seen_in", "word", "base", (n - F.col("base")).alias("left"), F.substring(F.col("word"), F.col("base") + 1, F.lit(WINDOW + longest)).alias("part"))
     starts = wide.withColumn("i", F.explode_outer(F.sequence(F.lit(0), F.least(F.col("left"), F.lit(WINDOW)) - 1)))
-    ends = starts.withColumn("size", F.explode_outer(F.sequence(F.lit(1), F.least(F.col("left") - F.col("i"), F.lit(pieces.longest)))))
+    starts = starts.withColumn("head", F.substring(F.col("part"), F.col("i") + 1, F.lit(2))).join(F.broadcast(head_table(rows.sparkSession, model)), "head", "left")
+    ends = starts.withColumn("size", F.explode_outer(F.coalesce("sizes", F.array(F.lit(1))))).where("size <= left - i")
     parts = ends.withColumn("piece", F.substring(F.col("part"), F.col("i") + 1, F.col("size")))
     met = parts.join(F.broadcast(piece_table(rows.sparkSession, model)), "piece", "left").where("id IS NOT NULL OR size = 1")
     s = F.col("base") + F.col("i")
@@ -123,7 +133,7 @@ def encode_words(rows: DataFrame, model: str) -> DataFrame:
     lattice = F.sort_array(F.collect_list(F.struct("e", (-F.col("size")).alias("less"), "score", "node", "size"))).alias("lattice")
     word = F.get(F.collect_list("word"), F.lit(0)).alias("word")
     held = edges(numbered, model).groupBy("g", "w").agg(lattice, word, F.min("seen_in").alias("seen_in"))
-    paths = held.select("g", "w", "seen_in", "word", F.expr(fold("lattice", pieces.longest)).alias("path"))
+    paths = held.select("g", "w", "seen_in", "word", F.expr(fold("lattice", max(map(len, needed(model))))).alias("path"))
     found = paths.select("g", "w", "seen_in", "word", F.expr(spelt("path", pieces.byte_ids[0])).alias("ids"))
     each = found.select("g", "w", "seen_in", "word", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(name_table(rows.sparkSession, model)), "id")
     each = each.withColumn("word", F.when(F.col("at") == 0, F.col("word")))

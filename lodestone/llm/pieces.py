@@ -19,6 +19,7 @@ from functools import cache
 
 MARK = "▁"
 PENALTY = 10.0
+SLACK = 1e-3
 LETTERS = "A-Za-zÀ-ɏ"
 WORDS = f"{MARK}*[{LETTERS}]+|{MARK}*[0-9]|{MARK}*[^{LETTERS}0-9{MARK}\n]+|\n|{MARK}+"
 
@@ -50,6 +51,28 @@ def read(path: str) -> Pieces:
     return Pieces(scores, names, min(s for _, s in scores.values()) - PENALTY, byte_ids, max(map(len, scores)))
 
 
+@cache
+def needed(path: str) -> dict[str, tuple[int, float]]:
+    """The pieces that a best segmentation may use, with their numbers and scores.
+
+    A piece of several characters that shorter ones spell with a better score is in no best
+    segmentation, since they could stand in its place. Those that are equal, or better by
+    SLACK or less, stay: ties and rounding are left to the search itself.
+    """
+    pieces, out = read(path), {}
+    for piece, (number, score) in pieces.scores.items():
+        best = [0.0]
+        for end in range(1, len(piece) + 1):
+            starts = range(end == len(piece), end)
+            found = [best[b] + pieces.scores[piece[b:end]][1] for b in starts if piece[b:end] in pieces.scores]
+            if len(piece) > 1 and piece[end - 1] not in pieces.scores:
+                found.append(best[end - 1] + pieces.unknown)
+            best.append(max(found, default=score))
+        if best[-1] <= score + SLACK:
+            out[piece] = (number, score)
+    return out
+
+
 def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
