@@ -311,6 +311,14 @@ def test_lattice(spark, unigram, odd, none):
     assert lattice.encode(odd, model).where("decoded").count() == len(ODD) and lattice.encode(none, model).count() == 0
 
 
+def test_pieces_that_are_never_best(monkeypatch):
+    scores = {"a": -1.0, "b": -1.0, "ab": -2.0, "ba": -2.5, "aba": -4.0, "bb": -1.5, "xa": -20.0, "ax": -5.0}
+    held = pieces.Pieces({p: (i, s) for i, (p, s) in enumerate(scores.items())}, (), -15.0, (), 3)
+    monkeypatch.setattr(pieces, "read", lambda path: held)
+    kept = pieces.needed.__wrapped__("")
+    assert set(kept) == {"a", "b", "ab", "bb", "ax"} and all(held.scores[p] == x for p, x in kept.items())
+
+
 def test_lattice_of_very_long_words(spark):
     from tokenizers.models import Unigram
 
