@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm.alignment import op12_token_alignment
 from lodestone.llm.counts import op6_viterbi_counts
 from lodestone.llm.fingerprints import op5_bottom_k
 from lodestone.llm.lattice import op7_relational_lattice
@@ -12,6 +13,7 @@ from lodestone.llm.quality import op1_quality_rules
 from lodestone.llm.sharding import op2_kd_shards
 from lodestone.llm.tokens import op3_token_codes
 from lodestone.llm.toxicity import op10_toxicity_crf
+from lodestone.llm.urls import RULES, UPPER, op13_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_pii_spans": op9_pii_spans,
     "op10_toxicity_crf": op10_toxicity_crf,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_url_filters": op13_url_filters,
 }
 
 #: DuckDB's SQL for the same rows.
@@ -83,5 +87,20 @@ WITH RECURSIVE w AS (
 )
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.label AS component_id, d.doc_id = c.label AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(label) AS label FROM r GROUP BY id) c ON c.id = d.doc_id
+""",
+    "op13_url_filters": rf"""
+WITH r(h, p, v) AS (
+  VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}
+), u AS (
+  SELECT row_number() OVER () AS rid, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), s AS (
+  SELECT rid, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM u
+), x AS (
+  SELECT rid, page_id, translate(h, '{UPPER}', '{UPPER.lower()}') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM s
+), m AS (
+  SELECT x.*, r.*, row_number() OVER (PARTITION BY rid ORDER BY length(h || p) DESC, length(h) DESC) AS place
+  FROM x LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict FROM m WHERE place = 1
 """,
 }
