@@ -8,6 +8,7 @@ from lodestone.llm.fingerprints import op5_bottom_k
 from lodestone.llm.lattice import op7_relational_lattice
 from lodestone.llm.neardup import op4_hamming_minhash
 from lodestone.llm.packing import op8_best_two_fit
+from lodestone.llm.phrases import op11_phrases
 from lodestone.llm.pii import op9_pii_spans
 from lodestone.llm.quality import op1_quality_rules
 from lodestone.llm.sharding import op2_kd_shards
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_pii_spans": op9_pii_spans,
     "op10_toxicity_crf": op10_toxicity_crf,
+    "op11_phrases": op11_phrases,
     "op12_token_alignment": op12_token_alignment,
     "op13_url_filters": op13_url_filters,
 }
@@ -87,6 +89,34 @@ WITH RECURSIVE w AS (
 )
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.label AS component_id, d.doc_id = c.label AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(label) AS label FROM r GROUP BY id) c ON c.id = d.doc_id
+""",
+    "op11_phrases": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\n-\r]')), '[^ \t]+') AS ws FROM d
+), n AS (
+  SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang
+), f AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p, range(1, 6) AS r(m) WHERE len(ws) >= m) GROUP BY ALL
+), c AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 100
+), k AS (
+  SELECT lang, m, phrase, a, ws, unnest(range(1, m)) AS k FROM c
+), s AS (
+  SELECT k.lang, k.phrase, a, k, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM k JOIN n USING (lang) JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')
+), low AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(a) AS f
+  FROM (SELECT lang, ws, a, j, unnest(range(1, m - j + 2)) AS i FROM c, range(2, 5) AS r(j) WHERE j < m) GROUP BY ALL
+), kept AS (
+  SELECT low.* FROM low LEFT JOIN inner_ USING (lang, phrase) WHERE coalesce(100 * f < 100 * a, true)
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
 """,
     "op13_url_filters": rf"""
 WITH r(h, p, v) AS (
