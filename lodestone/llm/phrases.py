@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from operator import itemgetter
@@ -47,6 +48,8 @@ BLOCK_BITS = 20
 BUFFER = 1 << 21
 #: Phrases that a worker remembers having passed on.
 SEEN = 500_000
+#: Packs of phrases for each partition of a shuffle.
+PACKS = 16
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 CUTS = b".,;:!?\n\x0b\x0c\r"
@@ -284,13 +287,26 @@ def filter_of(cells: DataFrame, bits: int) -> Filter:
 
 
 def candidates(docs: DataFrame, bits: int, pairs, longer) -> DataFrame:
-    """(phrase) of two to MOST words whose upper bounds all pass, once each."""
+    """(phrase) of two to MOST words whose upper bounds all pass, once each.
+
+    A frequent phrase is in nearly every task's texts, so phrases travel in packs, dealt by hash:
+    a task sends a few rows instead of one for each phrase that it has met.
+    """
+    n_parts = partitions(docs.sparkSession)
+    n_packs = PACKS * n_parts
 
     def find(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        powers, seen = worker_cache(("powers",), Powers), set()
+        powers, seen, packs = worker_cache(("powers",), Powers), set(), {}
+
+        def sent() -> Iterator:
+            if packs:
+                yield pa.RecordBatch.from_arrays([pa.array(list(packs), pa.int32()), pa.array([b"\n".join(p) for p in packs.values()], pa.binary())], names=["pack", "phrases"])
+                packs.clear()
+            seen.clear()
+
         for b in batches:
             for texts, langs in texts_of(b):
                 words = Words(texts, list(map(salt, langs)), powers, second=True)
@@ -313,18 +329,32 @@ def candidates(docs: DataFrame, bits: int, pairs, longer) -> DataFrame:
                 h, again, at, size = map(np.concatenate, zip(*found, strict=True))
                 _, first, place = np.unique(h, return_index=True, return_inverse=True)
                 odd = np.flatnonzero(again != again[first[place]])  # other phrases with the same hash
-                new = set()
                 for i in [*first.tolist(), *odd.tolist()]:
                     key = (int(h[i]) << 31) | int(again[i])
                     if key not in seen:
                         seen.add(key)
-                        new.add(words.raw[words.starts[at[i]] : words.ends[at[i] + size[i] - 1]])
-                if new:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()).cast(pa.string())], names=["phrase"])
+                        phrase = words.raw[words.starts[at[i]] : words.ends[at[i] + size[i] - 1]]
+                        packs.setdefault(zlib.crc32(phrase) % n_packs, []).append(phrase)
                 if len(seen) > SEEN:
-                    seen.clear()
+                    yield from sent()
+        yield from sent()
 
-    return docs.mapInArrow(find, "phrase string").distinct()
+    def unite(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held, pack = set(), None
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string())], names=["phrase"])
+        for b in batches:
+            for k, phrases in zip(column(b, "pack"), column(b, "phrases"), strict=True):
+                if k != pack:
+                    if held:
+                        yield rows()
+                    held, pack = set(), k
+                held.update(phrases.split(b"\n"))
+        if held:
+            yield rows()
+
+    return docs.mapInArrow(find, "pack int, phrases binary").repartition(n_parts, "pack").sortWithinPartitions("pack").mapInArrow(unite, "phrase string")
 
 
 def counted(docs: DataFrame, patterns: list[str], block: int, key: str) -> DataFrame:
