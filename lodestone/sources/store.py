@@ -17,11 +17,6 @@ def namespaced(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"collection": T.namespace("docs", t, d), "index": T.namespace("docs_index", t, d)})
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """stored with new rows in place of those of the same key."""
-    return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
-
-
 def replace_sources(stored: DataFrame, new: DataFrame, by: tuple[str, ...] = ("collection", "source")) -> DataFrame:
     """stored without the sources that new has rows of, and new. A source without new rows keeps its old ones."""
     return stored.join(new.select(*by).distinct(), list(by), "left_anti").unionByName(new, allowMissingColumns=True)
@@ -41,19 +36,6 @@ def write_chunks(rows: DataFrame, path: str, batch: int | None = None) -> None:
     (w.option("maxRecordsPerFile", batch) if batch else w).partitionBy(*NAMESPACE).parquet(path)
 
 
-def append_batch(rows: DataFrame, path: str, records: int | None = None) -> None:
-    """Adds rows(collection, batch, …), a folder for each collection and batch. A batch that is written again replaces itself; nothing else is touched."""
-    w = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (w.option("maxRecordsPerFile", records) if records else w).partitionBy(*NAMESPACE, "batch").parquet(path)
-
-
-def current(rows: DataFrame, by: tuple[str, ...] = ("collection", "source")) -> DataFrame:
-    """Of rows(…, batch) each source's latest batch: what replacement by source leaves. Older batches may be removed at any time."""
-    latest = rows.groupBy(*by).agg(F.max("batch").alias("_latest"))
-    on = [rows[c].eqNullSafe(latest[c]) for c in by]
-    return rows.join(latest, [*on, rows["batch"] == latest["_latest"]], "left_semi")
-
-
 def read_collection(spark, path: str, domain: str | None, tenant: str | None) -> DataFrame:
     """The domain's collection, else the tenant's, else the base one, whichever exists. Folders are listed, and the filter prunes them."""
     rows = spark.read.parquet(path)
@@ -73,11 +55,6 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def read_log(spark, path: str, schema: str) -> DataFrame:
-    """A log whose older files may lack newer columns: they read as null."""
-    return spark.read.schema(schema).parquet(path)
-
-
 def export_jsonl(rows: DataFrame, path: str, limit: int) -> int:
     """The newest rows as JSON lines in one file; returns their number, which the limit bounds."""
     top = rows.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)

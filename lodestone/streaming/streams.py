@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.operators.chunk import chunks
 from lodestone.settings import Settings
 from lodestone.sources import store
+from lodestone.sources.versions import Table
 
 
 def request_windows(events: DataFrame, client: str = "user_id", span: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -29,18 +31,18 @@ def running_counters(events: DataFrame, labels: list[str]) -> DataFrame:
     return events.groupBy(*labels).agg(F.count("*").alias("n"))
 
 
-def ingest(files: DataFrame, path: str, checkpoint: str, settings: Settings = Settings(), then: Callable[[DataFrame], None] | None = None):
-    """A query that cuts arriving files(text, source, …) into chunks and adds them to a table at path, of which ``store.current`` is what counts.
+def ingest(files: DataFrame, table: Table, checkpoint: str, settings: Settings = Settings(), then: Callable[[DataFrame], None] | None = None):
+    """A query that cuts arriving files(text, source, …) into chunks and commits them to a table, in place of their sources' earlier ones.
 
-    A micro-batch writes its own folders and reads nothing of the table, so a lost executor or a
-    batch that is run again changes nothing else. A source's rows of a later batch stand in place
-    of its earlier ones.
+    A batch is committed under the stream's own id, which its checkpoint holds: one that is run
+    again after a failure is left out if its commit is there, and a stream with another checkpoint
+    is another stream, whose commits come after those that are there.
     """
+    spark = files.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
-        new = store.namespaced(chunks(batch, settings)).withColumn("batch", F.lit(number).cast("long"))
-        store.append_batch(new, path, settings.ingest_batch)
-        if then:
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        if table.put(store.namespaced(chunks(batch, settings)), txn=(stream, number)) is not None and then:
             then(batch)
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -70,30 +70,6 @@ def test_export(spark, tmp_path):
     assert store.export_jsonl(rows, str(tmp_path / "x"), 3) == 3
 
 
-def test_ingest_stream_replaces_sources(spark, tmp_path):
-    folder, out = tmp_path / "in", str(tmp_path / "table")
-    corpus(folder)
-    run = lambda: streams.ingest(files.scan_stream(spark, str(folder)), out, str(tmp_path / "cp"), Settings(chunk_words=2, chunk_overlap=0)).start().awaitTermination()
-    run()
-    first = store.current(spark.read.parquet(out))
-    assert first.where("source = 'root.TXT'").count() == 2
-    (folder / "more").mkdir()
-    (folder / "more" / "root.TXT").write_text("again")
-    run()
-    again = store.current(spark.read.parquet(out))
-    assert {r["source"] for r in again.collect()} == {"root.TXT", "a.json", "b.csv"}
-
-
-def test_batch_written_again_replaces_itself(spark, tmp_path):
-    out = str(tmp_path / "table")
-    rows = lambda b, n: spark.createDataFrame([("docs", "s", b, i) for i in range(n)] + [("docs", None, b, 0)], "collection string, source string, batch long, i long")
-    store.append_batch(rows(1, 3), out)
-    store.append_batch(rows(2, 2), out)
-    store.append_batch(rows(2, 2), out)
-    held = spark.read.parquet(out)
-    assert held.count() == 7 and store.current(held).count() == 3 and store.current(held).agg({"batch": "min"}).first()[0] == 2
-
-
 def test_rate_stream_matches_batch(spark, tiny):
     events = spark.read.parquet(f"{tiny}/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet(f"{tiny}/events*.parquet")
