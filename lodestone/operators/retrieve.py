@@ -1,8 +1,7 @@
-"""Retrieval for whole batches of questions: lexical, vector, author-aware and structured.
+"""Retrieval for whole batches of questions: vectors, structured lines, and what joins the agents' hits.
 
 A hit has query_id, id, score, rank, source fields, and the agent's name. Status rows tell for
-each question how an agent did. BM25 is this engine's own definition of a lexical score
-(k1 1.2, b 0.75, words of letters and digits in lower case).
+each question how an agent did. Lexical search is ``lexicon``'s.
 """
 
 from __future__ import annotations
@@ -17,8 +16,6 @@ from lodestone.settings import Settings
 
 #: So many questions' vectors may be broadcast.
 BROADCAST_QUERIES = 10_000
-#: So many terms of questions may be broadcast.
-BROADCAST_TERMS = 1_000_000
 TOKEN = r"[\p{L}0-9]+"
 
 
@@ -26,13 +23,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, key: str = "id") -> DataFrame:
-    """(key, term, tf, dl): one row for each term of a document. Terms are counted within each task before the shuffle."""
-    words = docs.select(F.col(key), tokens(F.col("text")).alias("_w"))
-    each = words.select(key, F.size("_w").alias("dl"), F.explode("_w").alias("term"))
-    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term), distinct."""
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
@@ -44,34 +34,6 @@ def ranked(hits: DataFrame, k: int, by: list[str], score: str = "score", key: st
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, terms: DataFrame, settings: Settings = Settings(), key: str = "id") -> DataFrame:
-    """(query_id, key, score) of every document with a term of the question.
-
-    Documents are cut down to the questions' terms in one scan: terms of documents that no
-    question has never leave their task. What is left is dealt out by document, so its terms are
-    counted, weighted and summed up for each question without another shuffle, as long as the
-    questions' terms are broadcast. Statistics are over all documents.
-    """
-    k1, b = settings.bm25_k1, settings.bm25_b
-    few = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda df: df
-    words = docs.select(F.col(key), tokens(F.col("text")).alias("_w"))
-    size = words.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("_w")).alias("avgdl")).withColumn("_one", F.lit(1))
-    each = words.select(key, F.size("_w").alias("dl"), F.explode_outer("_w").alias("term")).join(few(terms.select("term").distinct()), "term")
-    tf = each.repartition(key).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("_one", F.lit(1)).join(F.broadcast(size), "_one")
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.select("term", idf.alias("idf"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
-    asked = terms.join(weights, "term")
-    # rounded: the order of a sum's terms isn't fixed, and equal scores must tie
-    return tf.join(few(asked), "term").groupBy("query_id", key).agg(F.round(F.sum(part), 9).alias("score"))
-
-
-def lexical(docs: DataFrame, queries: DataFrame, k: int | None = None, settings: Settings = Settings(), key: str = "id") -> DataFrame:
-    """Top documents of each question by BM25."""
-    return ranked(bm25(docs, query_terms(queries), settings, key), k or settings.top_k, ["query_id"], key=key)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two float arrays; null if one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -101,27 +63,6 @@ def vector(vectors: DataFrame, queries: DataFrame, k: int | None = None, setting
     return ranked(scored, k, ["query_id"], key=key)
 
 
-def author_lexical(docs: DataFrame, queries: DataFrame, k: int | None = None, settings: Settings = Settings(), key: str = "id") -> DataFrame:
-    """Top documents whose source contains an author of the question (case counts), by BM25; queries(query_id, query, authors, required).
-
-    A required term adds its score and one of them must occur; where that leaves a question
-    without hits, it is asked again without them.
-    """
-    k = k or settings.author_top_k
-    names = queries.select("query_id", F.explode("authors").alias("author"))
-    sources = docs.select("source").distinct()  # few against documents
-    of = sources.join(names, F.contains(F.col("source"), F.col("author"))).select("query_id", "source").distinct()
-    base = bm25(docs, query_terms(queries), settings, key)
-    needed = queries.select("query_id", F.explode(F.array_distinct(tokens(F.array_join("required", " ")))).alias("term"))
-    extra = bm25(docs, needed, settings, key).withColumnRenamed("score", "required_score")
-    by_source = docs.select(key, "source")
-    both = base.join(extra, ["query_id", key], "full_outer").join(by_source, key).join(of, ["query_id", "source"])
-    strict = both.where(F.col("required_score").isNotNull()).withColumn("score", F.round(F.coalesce("score", F.lit(0.0)) + F.col("required_score"), 9))
-    loose = both.where(F.col("score").isNotNull()).join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    found = strict.select("query_id", key, "source", "score").unionByName(loose.select("query_id", key, "source", "score"))
-    return ranked(found, k, ["query_id"], key=key)
-
-
 def structured(hits: DataFrame, queries: DataFrame, k: int | None = None, settings: Settings = Settings(), key: str = "id") -> DataFrame:
     """Lines of lexical hits(query_id, key, rank, score, text) that look like records; a few of each hit, k of each question."""
     k = k or settings.top_k

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import models
 from lodestone.functions import text as T
-from lodestone.operators import evidence, judge, policy, retrieve
+from lodestone.operators import evidence, judge, lexicon, policy, retrieve
 from lodestone.operators.chunk import chunks
 from lodestone.settings import Settings
 
@@ -39,7 +39,8 @@ class Engine:
         subs = planned.select(F.col("query_id").alias("_q"), F.posexplode("queries").alias("sub_query_idx", "query"))
         subs = subs.withColumn("query_id", F.struct(F.col("_q"), F.col("sub_query_idx")))
         full = corpus.select("id", "text", "source", "timestamp", "source_type", "domain", "offset_start", "offset_end")
-        hits = retrieve.lexical(full, subs.select("query_id", "query"), s.top_k, s).join(full, "id")
+        held = lexicon.index_of(full.select("id", "text", "source"), s)
+        hits = held.search(subs.select("query_id", "query"), s.top_k).join(full, "id")
         lines = retrieve.structured(hits, subs.select("query_id", "query"), s.top_k, s)
         lines = lines.withColumns({"offset_start": F.lit(None).cast("int"), "offset_end": F.lit(None).cast("int")}).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "line"))).drop("line")
         flat = lambda df: df.withColumns({"sub_query_idx": F.col("query_id.sub_query_idx"), "query_id": F.col("query_id._q")})

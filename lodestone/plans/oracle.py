@@ -153,7 +153,8 @@ SELECT doc_id AS id, source, 1 AS version FROM documents d WHERE NOT EXISTS (SEL
  max(event_id) FILTER (event_id % 4 = 0) AS created_at, max(event_id) FILTER (event_id % 4 = 1) AS started_at, max(event_id) FILTER (event_id % 4 >= 2) AS finished_at FROM events GROUP BY event_id // 4""",
 }
 for _name, _rank in (("fanout_union_dedupe", "query_id, id::VARCHAR AS id, agent, rank"), ("agent_counts", "query_id, agent, count(*) AS n")):
-    SQL[_name] = f"""WITH {CORPUS}, {ASKED}, {POSTINGS}, q3 AS (SELECT query_id, array_to_string(string_split(query, ' ')[1:3], ' ') AS query FROM q), {bm25('q', 's')}, {bm25('q3', 's3')},
+    SQL[_name] = f"""WITH {CORPUS}, {ASKED}, {POSTINGS}, t3 AS (SELECT query_id, list_filter(regexp_extract_all(lower(query), '[a-z][a-z\\-]+'), lambda w: length(w) >= 3 AND NOT list_contains(['a', 'an', 'the', 'and', 'or', 'of', 'to', 'in', 'on', 'for', 'with', 'what', 'why', 'how', 'who', 'where', 'when', 'which', 'whom', 'whose'], w)) AS ws FROM q),
+q3 AS (SELECT query_id, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i), ' ') AS query FROM t3), {bm25('q', 's')}, {bm25('q3', 's3')},
 u AS (SELECT *, 'lexical' AS agent, 0 AS sub FROM ({ranked('s', 6)}) UNION ALL SELECT *, 'again', 1 FROM ({ranked('s3', 6)})),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY sub, rank) AS k FROM u) WHERE k = 1)
 SELECT {_rank} FROM f""" + (" GROUP BY query_id, agent" if _name == "agent_counts" else "")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import chunk, evaluate, evidence, graph, judge, policy, records, retrieve
+from lodestone.operators import chunk, evaluate, evidence, graph, judge, lexicon, policy, records, retrieve
 from lodestone.plans.engine import Engine
 from lodestone.settings import Settings
 from lodestone.sources import store
@@ -57,8 +57,16 @@ def chunk_namespace(spark, d):
     return rows.select("id", "collection", "index")
 
 
+def index(spark, d) -> lexicon.Lexicon:
+    """The stored index of the corpus, built once for the files as they are."""
+    docs = corpus(spark, d)
+    files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    key = tuple(sorted(map(tuple, files.collect())))  # as many as the table's files
+    return lexicon.index_of(docs.select("id", "text", "source"), key=key)
+
+
 def lexical_topk(spark, d):
-    hits = retrieve.lexical(corpus(spark, d).select("id", "text"), questions(spark, d))
+    hits = index(spark, d).search(questions(spark, d))
     return hits.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -76,7 +84,7 @@ def author_questions(spark, d):
 
 
 def author_lexical_topk(spark, d):
-    hits = retrieve.author_lexical(corpus(spark, d).select("id", "text", "source"), author_questions(spark, d))
+    hits = index(spark, d).author_search(author_questions(spark, d))
     return hits.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -94,10 +102,11 @@ def structured_lines(spark, d):
 
 
 def fanout(spark, d):
-    c, q = corpus(spark, d).select("id", "text"), questions(spark, d)
-    first = retrieve.lexical(c, q).withColumn("sub_query_idx", F.lit(0))
-    short = q.withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 3), " "))
-    second = retrieve.lexical(c, short).withColumn("sub_query_idx", F.lit(1))
+    """Each question, and its terms alone as a second sub-question."""
+    q, held = questions(spark, d), index(spark, d)
+    first = held.search(q).withColumn("sub_query_idx", F.lit(0))
+    terms = q.withColumn("query", F.array_join(T.query_terms(F.col("query"), F.array().cast("array<string>")), " "))
+    second = held.search(terms).withColumn("sub_query_idx", F.lit(1))
     return retrieve.fan_out({"lexical": first, "again": second})
 
 
@@ -264,14 +273,14 @@ def sentence_clamp(spark, d):
 
 
 def fallback_answer(spark, d):
-    hits = retrieve.lexical(corpus(spark, d).select("id", "text"), questions(spark, d), 3).join(corpus(spark, d).select("id", "text"), "id")
+    hits = index(spark, d).search(questions(spark, d), 3).join(corpus(spark, d).select("id", "text"), "id")
     texts = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
     return texts.select("query_id", T.fallback_answer(F.col("texts"), F.array().cast("array<string>"), F.lit(False)).alias("answer"))
 
 
 def eval_scores(spark, d):
     c = corpus(spark, d)
-    hits = retrieve.lexical(c.select("id", "text"), questions(spark, d)).join(c.select("id", "source", "text"), "id")
+    hits = index(spark, d).search(questions(spark, d)).join(c.select("id", "source", "text"), "id")
     rows = F.array_sort(F.collect_list(F.struct("rank", "source", "text")))
     got = hits.groupBy("query_id").agg(rows.alias("r")).select("query_id", F.transform("r", lambda x: x["source"]).alias("sources"), F.get("r", F.lit(0))["text"].alias("answer"))
     runs = questions(spark, d).join(got, "query_id", "left").select(

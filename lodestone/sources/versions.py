@@ -22,11 +22,14 @@ import threading
 import time
 import uuid
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+#: Rows, or a function that makes them of the commit's datasets that are stored already.
+Frame = DataFrame | Callable[[dict[str, DataFrame]], DataFrame]
 _locks: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
 
@@ -96,25 +99,26 @@ class Table:
 
     # writing
 
-    def _write(self, frames: dict[str, DataFrame], unit: tuple[str, ...] | None) -> dict:
-        commit, schemas = uuid.uuid4().hex, {}
+    def _write(self, frames: dict[str, Frame], unit: tuple[str, ...] | None) -> dict:
+        commit, schemas, stored = uuid.uuid4().hex, {}, {}
         for name, rows in frames.items():
+            rows = rows if isinstance(rows, DataFrame) else rows(stored)
             folders = [c for c in self.parts.get(name, ()) if c in rows.columns]
             w = rows.write
             (w.partitionBy(*folders) if folders else w).parquet(f"{self.path}/{name}/commit={commit}")
             schemas[name] = json.loads(rows.schema.json())
+            stored[name] = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}/commit={commit}")
         if unit and "keys" not in frames:
-            first = next(iter(frames))
-            stored = self.spark.read.schema(frames[first].schema).parquet(f"{self.path}/{first}/commit={commit}")
-            keys = stored.select(*unit).distinct()
+            keys = next(iter(stored.values())).select(*unit).distinct()
             keys.write.parquet(f"{self.path}/keys/commit={commit}")
             schemas["keys"] = json.loads(keys.schema.json())
         return {"commit": commit, "schemas": schemas, "unit": list(unit or ())}
 
-    def put(self, rows: DataFrame | dict[str, DataFrame], unit: tuple[str, ...] | None = None, txn: tuple[str, int] | None = None, append: bool = False) -> int | None:
+    def put(self, rows: DataFrame | dict[str, Frame], unit: tuple[str, ...] | None = None, txn: tuple[str, int] | None = None, append: bool = False) -> int | None:
         """Commits rows in place of older ones of the same unit (the table's own, or for example ``("collection", "id")``), or beside them; returns the version.
 
-        A dataset ``keys`` of the unit's columns may come with them, with columns of its own.
+        Of several datasets, one may be a function of those before it as they are stored. A dataset
+        ``keys`` of the unit's columns may come with them, with columns of its own.
         txn is (id of a stream, number of a batch): None is returned for one that is there already.
         """
         if txn and any(e["txns"].get(txn[0], -1) >= txn[1] for e in self.log()):
@@ -122,6 +126,8 @@ class Table:
         frames = rows if isinstance(rows, dict) else {"data": rows}
         held = {(n, f["name"]): f["type"] for e in self._active()[0] for n, schema in e["schemas"].items() for f in schema["fields"]}
         for name, frame in frames.items():
+            if not isinstance(frame, DataFrame):
+                continue
             for f in json.loads(frame.schema.json())["fields"]:
                 if not isinstance(f["type"], dict) and held.get((name, f["name"]), f["type"]) != f["type"]:
                     raise ValueError(f"{name}.{f['name']} is {held[name, f['name']]} in the table, {f['type']} in the rows")
