@@ -10,6 +10,7 @@ from lodestone.functions import text as T
 from lodestone.operators import evidence, judge, lexicon, policy, retrieve
 from lodestone.operators.chunk import chunks
 from lodestone.settings import Settings
+from lodestone.sources.scratch import keep
 
 
 class Engine:
@@ -40,14 +41,14 @@ class Engine:
         subs = subs.withColumn("query_id", F.struct(F.col("_q"), F.col("sub_query_idx")))
         full = corpus.select("id", "text", "source", "timestamp", "source_type", "domain", "offset_start", "offset_end")
         held = lexicon.index_of(full.select("id", "text", "source"), s)
-        hits = held.search(subs.select("query_id", "query"), s.top_k).join(full, "id")
+        hits = keep(held.search(subs.select("query_id", "query"), s.top_k).join(full, "id"), "hits")
         lines = retrieve.structured(hits, subs.select("query_id", "query"), s.top_k, s)
         lines = lines.withColumns({"offset_start": F.lit(None).cast("int"), "offset_end": F.lit(None).cast("int")}).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "line"))).drop("line")
         flat = lambda df: df.withColumns({"sub_query_idx": F.col("query_id.sub_query_idx"), "query_id": F.col("query_id._q")})
         found = retrieve.fan_out({"lexical": flat(hits), "structured": flat(lines)})
         got = hits.select("query_id").distinct().withColumn("_hit", F.lit(True))
         attempts = subs.join(got, "query_id", "left").select(F.col("_q").alias("query_id"), F.lit("lexical").alias("agent"), F.when(F.col("_hit"), "ok").otherwise("zero_hits").alias("status"))
-        return retrieve.arrival(found).persist(), attempts  # read by ranking and by the diagnostics
+        return keep(retrieve.arrival(found), "found"), attempts  # read by ranking and by the diagnostics
 
     def rank(self, planned: DataFrame, hits: DataFrame) -> DataFrame:
         """Evidence of each question after policy, freshness, duplicates and reranking, with places."""
@@ -76,7 +77,7 @@ class Engine:
         s = self.settings
         planned = self.plan(questions)
         hits, attempts = self.retrieve(corpus, planned)
-        ranked = self.rank(planned, hits).persist()
+        ranked = keep(self.rank(planned, hits), "ranked")
         one = F.struct("place", "id", "text", "source", "offset_start", "offset_end", "rerank_score", "is_author")
         best = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("rows"), F.max("author_gap").alias("author_gap"), F.first("authors").alias("authors"), F.countDistinct("domain").alias("n_domains"))
         raw = hits.groupBy("query_id").agg(F.count("*").alias("n_raw"))

@@ -10,6 +10,7 @@ from lodestone.operators import chunk, evaluate, evidence, graph, judge, lexicon
 from lodestone.plans.engine import Engine
 from lodestone.settings import Settings
 from lodestone.sources import store
+from lodestone.sources.scratch import keep
 
 START = 1704067200
 NOW = float(START + 500 * 3600)
@@ -373,9 +374,10 @@ def question_cache_keys(spark, d):
 
 
 def answer(spark, d):
-    """Answers of all benchmark questions over the whole corpus."""
+    """Answers of all benchmark questions over the whole corpus, each document a source of its own: a chunk's id is made of its source's name and its place."""
     engine = Engine(Settings(domain_keywords=KEYWORDS), now=NOW)
-    chunked = engine.ingest(corpus(spark, d).drop("id")).persist()  # stands for the stored table of chunks
+    docs = corpus(spark, d).withColumn("source", F.concat_ws("/", "source", F.col("id").cast("string")))
+    chunked = keep(engine.ingest(docs.drop("id")), "chunks")  # stands for the stored table of chunks
     rows = engine.answer(chunked, questions(spark, d))
     return rows.select("query_id", "domain", "domain_source", "answer", F.size("provenance").alias("n_provenance"), "confidence", F.array_join("retrieval_failures", ",").alias("failures"), F.round("hallucination_risk", 6).alias("risk"), F.round("evidence_coverage", 6).alias("coverage"), "n_rows")
 
