@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import models
 from lodestone.functions import text as T
-from lodestone.operators import evidence, judge, lexicon, policy, retrieve
+from lodestone.operators import context, evidence, judge, lexicon, policy, retrieve
 from lodestone.operators.chunk import chunks
+from lodestone.operators.graph import Graph
 from lodestone.settings import Settings
 from lodestone.sources.scratch import keep
 
@@ -72,8 +73,11 @@ class Engine:
         })
         return evidence.prefer_author(rows)
 
-    def answer(self, corpus: DataFrame, questions: DataFrame) -> DataFrame:
-        """One row for each question: answer, provenance, confidence, domain, failure tags, risk and coverage."""
+    def answer(self, corpus: DataFrame, questions: DataFrame, graph: Graph | None = None) -> DataFrame:
+        """One row for each question: answer, provenance, confidence, domain, failure tags, risk and coverage.
+
+        With a graph, what it says to each question's evidence raises or lowers the confidence.
+        """
         s = self.settings
         planned = self.plan(questions)
         hits, attempts = self.retrieve(corpus, planned)
@@ -88,7 +92,12 @@ class Engine:
         good = F.filter(top, lambda r: r["offset_start"].isNotNull() & r["offset_end"].isNotNull() & (F.coalesce(r["source"], F.lit("")) != ""))
         q = q.withColumn("provenance", F.transform(good, lambda r: F.struct(r["id"].alias("id"), r["source"].alias("source"), r["offset_start"].alias("offset_start"), r["offset_end"].alias("offset_end"))))
         q = q.withColumn("answer", T.fallback_answer(F.transform(top, lambda r: r["text"]), F.col("authors"), F.col("author_gap")))
-        q = q.withColumn("confidence", F.lit(s.judge_non_json))
+        base, none = F.lit(s.judge_non_json), F.lit(0)
+        if graph is not None:
+            parts = context.of_results(graph, ranked.where(F.col("place") <= s.rerank_top_k).select("query_id", "id", "text"), s)
+            q = q.join(context.signals(parts), "query_id", "left")
+            base = judge.confidence(base, *(F.coalesce(c, none) for c in ("contradictions", "conflicts", "strong")), s)
+        q = q.withColumn("confidence", base)
         first = F.get("rows", F.lit(0))
         tags = judge.failure_tags({"domain": F.col("domain"), "n_raw": F.col("n_raw"), "n_normal": F.size("rows"), "lexical": F.col("lexical"), "n_domains": F.col("n_domains"), "n_rows": F.size("rows"), "author_gap": F.col("author_gap"), "explain_trace": F.lit(""), "top_score": first["rerank_score"]}, s)
         q = q.withColumn("retrieval_failures", tags)

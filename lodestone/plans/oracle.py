@@ -198,3 +198,27 @@ SELECT config, count(*) AS n, count(*) FILTER (bad) AS errors, round(avg(got / l
  round(avg((got > 0)::INT::DOUBLE) FILTER (NOT bad AND len(want) > 0), 6) AS hit_rate,
  round(avg(CASE WHEN same = 0 THEN 0 ELSE 2 * (same / len(ta)) * (same / len(tb)) / (same / len(ta) + same / len(tb)) END) FILTER (NOT bad AND coalesce(ref, '') <> ''), 6) AS lexical_overlap,
  round(avg(conf) FILTER (NOT bad), 6) AS confidence FROM o GROUP BY config"""
+
+SQL["graph_context"] = f"""WITH {GRAPH}, a AS (SELECT item_id AS query_id, o_orderkey AS chunk_id FROM benchmark JOIN orders ON o_custkey % 200 = item_id),
+opp AS (SELECT claim_id, count(DISTINCT other) AS n FROM both_ GROUP BY claim_id),
+sc AS (SELECT query_id, claim_id, count(DISTINCT chunk_id) AS k FROM a JOIN l USING (chunk_id) GROUP BY query_id, claim_id),
+claims AS (SELECT query_id, claim_id, k AS support_count, coalesce(n, 0) AS c FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC, claim_id) <= 10) LEFT JOIN opp USING (claim_id)),
+m AS (SELECT DISTINCT query_id, chunk_id, name FROM a JOIN ce USING (chunk_id)),
+density AS (SELECT query_id, name, count(*) AS n FROM m GROUP BY ALL),
+relations AS (SELECT query_id, src, predicate, dst, n FROM density JOIN rel ON name = src QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, src, predicate, dst) <= 10),
+sup AS (SELECT chunk_id, count(DISTINCT claim_id) AS s FROM l GROUP BY chunk_id), ent AS (SELECT chunk_id, count(*) AS e FROM ce GROUP BY chunk_id),
+con_ AS (SELECT chunk_id, count(DISTINCT other) AS c FROM l JOIN both_ USING (claim_id) GROUP BY chunk_id),
+scores AS (SELECT query_id, chunk_id, s, e, coalesce(c, 0) AS c FROM a JOIN sup USING (chunk_id) JOIN ent USING (chunk_id) LEFT JOIN con_ USING (chunk_id)),
+ways AS (SELECT query_id, a.chunk_id, ke.name AS src, dst, count(*) AS n FROM a JOIN l ON l.chunk_id = a.chunk_id JOIN ke ON ke.claim_id = l.claim_id JOIN rel ON rel.src = ke.name GROUP BY query_id, a.chunk_id, ke.name, dst),
+walks AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id, src, dst) <= 10)
+SELECT query_id, part, key, value::DOUBLE AS value FROM (
+  SELECT query_id, 'claims' AS part, claim_id || '|' || c AS key, support_count::DOUBLE AS value FROM claims
+  UNION ALL SELECT query_id, 'contradicted', claim_id, c FROM claims WHERE c > 0
+  UNION ALL SELECT query_id, 'entity_density', name, n FROM (SELECT * FROM density QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, name) <= 10)
+  UNION ALL SELECT query_id, 'relations', concat_ws('|', src, predicate, dst), n FROM relations
+  UNION ALL SELECT query_id, 'relation_strength', concat_ws('|', src, predicate, dst), sum(n) FROM relations GROUP BY query_id, src, predicate, dst HAVING sum(n) >= 2
+  UNION ALL SELECT query_id, 'relation_conflicts', concat_ws('|', src, dst), count(DISTINCT predicate) FROM relations GROUP BY query_id, src, dst HAVING count(DISTINCT predicate) > 1
+  UNION ALL SELECT query_id, 'evidence_scores', concat_ws('|', chunk_id, s, e, c), round(s + 0.1::DOUBLE * e - 0.5::DOUBLE * c, 3) FROM scores
+  UNION ALL SELECT query_id, 'paths', concat_ws('|', chunk_id, src, dst), n FROM walks
+  UNION ALL SELECT query_id, 'subgraph', concat_ws('|', chunk_id, name), 1 FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id, name) <= 50)
+  UNION ALL SELECT query_id, 'signals', name, n FROM (SELECT DISTINCT query_id, 's' || (query_id + 1) AS name FROM a) JOIN (SELECT name, count(DISTINCT chunk_id) AS n FROM ce GROUP BY name) USING (name))"""

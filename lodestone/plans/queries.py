@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import chunk, evaluate, evidence, graph, judge, lexicon, policy, records, retrieve
+from lodestone.operators import chunk, context, evaluate, evidence, graph, judge, lexicon, policy, records, retrieve
 from lodestone.plans.engine import Engine
 from lodestone.settings import Settings
 from lodestone.sources import store
@@ -232,6 +234,29 @@ def graph_path_totals(spark, d):
     return graph.chunk_paths(order_graph(spark, d)).groupBy("chunk_id").agg(F.count("*").alias("pairs"), F.sum("n").alias("paths"), F.max("n").alias("most"))
 
 
+def asked_orders(spark, d):
+    """Each benchmark question with the orders of some customers as its evidence."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    orders = table(spark, d, "orders").select((F.col("o_custkey") % 200).alias("query_id"), F.col("o_orderkey").alias("chunk_id"))
+    return orders.join(items, "query_id")
+
+
+def graph_context(spark, d):
+    """All parts of the graph's context of all benchmark questions, a row for each entry."""
+    asked = asked_orders(spark, d)
+    named = asked.select("query_id", F.concat(F.lit("s"), (F.col("query_id") + 1).cast("string")).alias("name"))
+    parts = context.contexts(order_graph(spark, d), asked, named)
+    text = lambda *c: F.concat_ws("|", *(F.col(x).cast("string") for x in c))
+    shape = {
+        "claims": (text("claim_id", "contradict_count"), F.col("support_count")), "entity_density": (F.col("name"), F.col("chunks")), "relations": (text("src", "predicate", "dst"), F.col("n")),
+        "relation_strength": (text("src", "predicate", "dst"), F.col("strength")), "relation_conflicts": (text("src", "dst"), F.size("predicates")), "evidence_scores": (text("chunk_id", "support", "entities", "contradictions"), F.col("score")),
+        "paths": (text("chunk_id", "src", "dst"), F.col("n")), "subgraph": (text("chunk_id", "name"), F.lit(1)), "signals": (F.col("name"), F.col("chunks")),
+    }
+    rows = [parts[name].select("query_id", F.lit(name).alias("part"), key.alias("key"), value.cast("double").alias("value")) for name, (key, value) in shape.items()]
+    rows.append(context.contradicted(parts).select("query_id", F.lit("contradicted").alias("part"), F.col("claim_id").alias("key"), F.col("contradict_count").cast("double").alias("value")))
+    return reduce(DataFrame.union, rows)
+
+
 def judged(spark, d):
     """Orders as questions: their lines give contradictions, conflicts and strong relations."""
     line = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query_id")).agg(
@@ -387,7 +412,7 @@ QUERIES = {
     for f in (
         chunk_words, chunk_offsets, chunk_namespace, lexical_topk, vector_topk, author_lexical_topk, structured_lines, fanout_union_dedupe, agent_counts, text_dedupe,
         policy_filter, policy_rules, freshness, route_domain, author_bias_rank, author_gap, plan_rules, query_terms, claims_split, negation, claim_paraphrases,
-        graph_density, graph_claims, graph_evidence, graph_relations, graph_conflicts, graph_paths, graph_path_totals, judge_confidence, failure_tags, failure_counts, risk_coverage,
+        graph_density, graph_claims, graph_evidence, graph_relations, graph_conflicts, graph_paths, graph_path_totals, graph_context, judge_confidence, failure_tags, failure_counts, risk_coverage,
         sentence_clamp, fallback_answer, eval_scores, metrics_histogram, risk_histogram, metrics_counters, rate_limit, rate_counts, latency_p95, hourly_rates,
         audit_page, feedback_list, training_export, delete_source, reingest_replace, job_states, question_cache_keys, answer,
     )
