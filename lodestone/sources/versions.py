@@ -201,7 +201,7 @@ class Table:
                 latest = keys.groupBy(*(F.col(c).alias(f"_{c}") for c in unit)).agg(F.max("_rank").alias("_latest"))
                 on = [rows[c].eqNullSafe(latest[f"_{c}"]) for c in unit]
                 rows = rows.join(latest, [*on, rows["_rank"] < latest["_latest"]], "left_anti")
-        if gone:
+        if gone and "source" in rows.columns:
             dead = self.spark.createDataFrame([(e["source"], e["tenant"], e["version"]) for e in gone], "_s string, _t string, _v long")
             hit = (F.col("source") == F.col("_s")) & (F.col("_rank") < F.col("_v"))
             hit = hit & (F.col("_t").isNull() | (F.col("tenant") == F.col("_t"))) if "tenant" in rows.columns else hit & F.col("_t").isNull()
