@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import models
 from lodestone.functions import text as T
-from lodestone.operators import context, evidence, judge, lexicon, policy, retrieve
+from lodestone.operators import context, evidence, judge, lexicon, policy, retrieve, vectors
 from lodestone.operators.chunk import chunks
 from lodestone.operators.graph import Graph
 from lodestone.settings import Settings
-from lodestone.sources.scratch import keep
+from lodestone.sources.scratch import keep, place
 
 
 class Engine:
     """What a service would call, over tables: questions come as a DataFrame and so do answers."""
 
-    def __init__(self, settings: Settings = Settings(), packs: list[dict] | None = None, now: float = 0.0) -> None:
-        self.settings, self.packs, self.now = settings, packs or [], now
+    def __init__(self, settings: Settings = Settings(), packs: list[dict] | None = None, now: float = 0.0, embed: Callable[[Column], Column] | None = None) -> None:
+        """embed makes a text's vector; with it the vector agent is asked too."""
+        self.settings, self.packs, self.now, self.embed = settings, packs or [], now, embed
 
     def ingest(self, docs: DataFrame) -> DataFrame:
         """Chunks of docs(text, source, source_type, domain, timestamp)."""
@@ -46,11 +50,25 @@ class Engine:
         lines = retrieve.structured(hits, subs.select("query_id", "query"), s.top_k, s)
         lines = lines.withColumns({"offset_start": F.lit(None).cast("int"), "offset_end": F.lit(None).cast("int")}).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "line"))).drop("line")
         flat = lambda df: df.withColumns({"sub_query_idx": F.col("query_id.sub_query_idx"), "query_id": F.col("query_id._q")})
-        found = retrieve.fan_out({"lexical": flat(hits), "structured": flat(lines)})
-        got = hits.select("query_id").distinct().withColumn("_hit", F.lit(True))
-        attempts = subs.join(got, "query_id", "left").select(F.col("_q").alias("query_id"), F.lit("lexical").alias("agent"), F.when(F.col("_hit"), "ok").otherwise("zero_hits").alias("status"))
+        agents = {"lexical": hits, "structured": lines}
+        if self.embed:
+            near = self.vector_hits(full, subs)
+            agents = {"vector": keep(near.join(full, "id"), "near")} | agents
+        found = retrieve.fan_out({name: flat(rows) for name, rows in agents.items()})
+        attempts = reduce(DataFrame.union, (self.attempts(subs, name, agents[name]) for name in agents if name != "structured"))
         return keep(retrieve.arrival(found), "found"), attempts  # read by ranking and by the diagnostics
 
+    def vector_hits(self, full: DataFrame, subs: DataFrame) -> DataFrame:
+        """Nearest chunks of each sub-question by the vectors that embed makes; all lists that may hold one are read."""
+        held = vectors.VectorIndex(full.sparkSession, place(full.sparkSession, "vectors"), self.settings)
+        held.add(full.select("id", "source", self.embed(F.col("text")).alias("embedding")))
+        return held.search(subs.select("query_id", self.embed(F.col("query")).alias("embedding")), exact=True)
+
+    def attempts(self, subs: DataFrame, agent: str, hits: DataFrame) -> DataFrame:
+        """(query_id, agent, status) of each sub-question."""
+        got = hits.select("query_id").distinct().withColumn("_hit", F.lit(True))
+        return subs.join(got, "query_id", "left").select(F.col("_q").alias("query_id"), F.lit(agent).alias("agent"), F.when(F.col("_hit"), "ok").otherwise("zero_hits").alias("status"))
+
     def rank(self, planned: DataFrame, hits: DataFrame) -> DataFrame:
         """Evidence of each question after policy, freshness, duplicates and reranking, with places."""
         s = self.settings
@@ -85,7 +103,9 @@ class Engine:
         one = F.struct("place", "id", "text", "source", "offset_start", "offset_end", "rerank_score", "is_author")
         best = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("rows"), F.max("author_gap").alias("author_gap"), F.first("authors").alias("authors"), F.countDistinct("domain").alias("n_domains"))
         raw = hits.groupBy("query_id").agg(F.count("*").alias("n_raw"))
-        tried = retrieve.diagnostics(attempts).select("query_id", F.struct("attempted", "ok", "zero_hits", "timeout", "error").alias("lexical"))
+        tried = retrieve.diagnostics(attempts).select("query_id", "agent", F.struct("attempted", "ok", "zero_hits", "timeout", "error").alias("_d"))
+        asked = ["lexical", *(["vector"] if self.embed else [])]
+        tried = tried.groupBy("query_id").agg(*(F.any_value(F.when(F.col("agent") == a, F.col("_d")), True).alias(a) for a in asked))
         q = planned.join(best, "query_id", "left").join(raw, "query_id", "left").join(tried, "query_id", "left")
         q = q.withColumns({"rows": F.coalesce("rows", F.array()), "author_gap": F.coalesce("author_gap", F.lit(False)), "authors": F.coalesce("authors", F.array().cast("array<string>")), "n_raw": F.coalesce("n_raw", F.lit(0)), "n_domains": F.coalesce("n_domains", F.lit(0))})
         top = F.slice("rows", 1, 3)
@@ -99,7 +119,7 @@ class Engine:
             base = judge.confidence(base, *(F.coalesce(c, none) for c in ("contradictions", "conflicts", "strong")), s)
         q = q.withColumn("confidence", base)
         first = F.get("rows", F.lit(0))
-        tags = judge.failure_tags({"domain": F.col("domain"), "n_raw": F.col("n_raw"), "n_normal": F.size("rows"), "lexical": F.col("lexical"), "n_domains": F.col("n_domains"), "n_rows": F.size("rows"), "author_gap": F.col("author_gap"), "explain_trace": F.lit(""), "top_score": first["rerank_score"]}, s)
+        tags = judge.failure_tags({"domain": F.col("domain"), "n_raw": F.col("n_raw"), "n_normal": F.size("rows"), **{a: F.col(a) for a in asked}, "n_domains": F.col("n_domains"), "n_rows": F.size("rows"), "author_gap": F.col("author_gap"), "explain_trace": F.lit(""), "top_score": first["rerank_score"]}, s)
         q = q.withColumn("retrieval_failures", tags)
         lifted = judge.floored(F.col("confidence"), F.size("rows"), F.size("authors") > 0, F.col("author_gap"), F.coalesce(first["is_author"], F.lit(False)), first["rerank_score"], F.col("retrieval_failures"), s)
         return q.select(

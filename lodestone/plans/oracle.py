@@ -222,3 +222,5 @@ SELECT query_id, part, key, value::DOUBLE AS value FROM (
   UNION ALL SELECT query_id, 'paths', concat_ws('|', chunk_id, src, dst), n FROM walks
   UNION ALL SELECT query_id, 'subgraph', concat_ws('|', chunk_id, name), 1 FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id, name) <= 50)
   UNION ALL SELECT query_id, 'signals', name, n FROM (SELECT DISTINCT query_id, 's' || (query_id + 1) AS name FROM a) JOIN (SELECT name, count(DISTINCT chunk_id) AS n FROM ce GROUP BY name) USING (name))"""
+
+SQL["vector_index_topk"] = SQL["vector_topk"]

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import chunk, context, evaluate, evidence, graph, judge, lexicon, policy, records, retrieve
+from lodestone.operators import chunk, context, evaluate, evidence, graph, judge, lexicon, policy, records, retrieve, vectors
 from lodestone.plans.engine import Engine
 from lodestone.settings import Settings
 from lodestone.sources import store
-from lodestone.sources.scratch import keep
+from lodestone.sources.scratch import keep, place
 
 START = 1704067200
 NOW = float(START + 500 * 3600)
@@ -79,6 +79,15 @@ def vector_topk(spark, d):
     return retrieve.vector(v, asked).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+def vector_index_topk(spark, d):
+    """The same by lists of a stored index: the nearest ones, and all others that may hold better vectors."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("source"), "embedding")
+    held = vectors.VectorIndex(spark, place(spark, "vectors"))
+    held.add(v)
+    hits = held.search(v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), exact=True)
+    return hits.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 def author_questions(spark, d):
     q = questions(spark, d)
     name = F.concat(F.lit("src"), F.pmod("query_id", F.lit(20)).cast("string"))
@@ -410,7 +419,7 @@ def answer(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_words, chunk_offsets, chunk_namespace, lexical_topk, vector_topk, author_lexical_topk, structured_lines, fanout_union_dedupe, agent_counts, text_dedupe,
+        chunk_words, chunk_offsets, chunk_namespace, lexical_topk, vector_topk, vector_index_topk, author_lexical_topk, structured_lines, fanout_union_dedupe, agent_counts, text_dedupe,
         policy_filter, policy_rules, freshness, route_domain, author_bias_rank, author_gap, plan_rules, query_terms, claims_split, negation, claim_paraphrases,
         graph_density, graph_claims, graph_evidence, graph_relations, graph_conflicts, graph_paths, graph_path_totals, graph_context, judge_confidence, failure_tags, failure_counts, risk_coverage,
         sentence_clamp, fallback_answer, eval_scores, metrics_histogram, risk_histogram, metrics_counters, rate_limit, rate_counts, latency_p95, hourly_rates,
