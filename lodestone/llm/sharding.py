@@ -6,9 +6,9 @@ leaf holds its share: a node of n leaves gives its left child n // 2 of them and
 part of its bytes. The law is ``bytes``: sizes of shards are near equal.
 
 Equal texts are one point, whatever else differs, so they stay in one shard. Only a text whose
-copies outweigh SPLIT of a shard is dealt to several points, which differ in nothing but their
-number, so that a cut may fall between them; there are fewer than shards / SPLIT such texts, so
-their table may be broadcast.
+copies outweigh a shard by themselves can't: it is dealt to several points of SPLIT of a shard,
+which differ in nothing but their number, so that cuts may fall between them. There are fewer
+such texts than shards, so their table may be broadcast.
 
 Each level is one sort of the points by ranges over all partitions with running sums; the
 driver sees only a row for each node and partition.
@@ -54,10 +54,10 @@ def metadata(docs: DataFrame) -> DataFrame:
 def points(meta: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     """(meta with ``share``, one weighted point for each text or share of a heavy text)."""
     total = meta.agg(F.sum("size")).first()[0] or 0
-    most = max(1, int(total * SPLIT / shards))
+    fits, part = max(1, total // shards), max(1, int(total * SPLIT / shards))
     key = list(POINT[:3])
     group = meta.groupBy(*key).agg(F.sum("size").alias("w"), F.min("doc_id").alias("place"), F.min("d_lang").alias("lang"))
-    heavy = group.where(F.col("w") > most).withColumn("shares", F.ceil(F.col("w") / most)).drop("w")
+    heavy = group.where(F.col("w") > fits).withColumn("shares", F.ceil(F.col("w") / part)).drop("w")
     dealt = meta.join(F.broadcast(heavy), key, "left").withColumns({
         "share": F.pmod(F.xxhash64("row"), F.coalesce(F.col("shares"), F.lit(1))).cast("int"),
         "d_lang": F.coalesce("lang", "d_lang"), "place": F.coalesce("place", "doc_id", F.lit(0)).cast("double"),
@@ -93,8 +93,8 @@ def running(batches: Iterator) -> Iterator:
         yield b.append_column("before", pa.array(before, pa.int64()))
 
 
-def split(space: DataFrame, leaves: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
-    """One level: every node of more than one leaf is cut in two. A node's number is that of its first leaf."""
+def split(space: DataFrame, leaves: dict[int, int], held: DataFrame) -> tuple[DataFrame, dict[int, int], DataFrame]:
+    """One level: every node of more than one leaf is cut in two. A node's number is that of its first leaf. held is the written table that space reads; the level's own takes its place."""
     stats = space.groupBy("node").agg(F.sum("w").alias("w"), *(f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max)))).collect()
     width = {d: max([r[f"hi_{d}"] for r in stats]) - min([r[f"lo_{d}"] for r in stats]) or 1.0 for d in DIMENSIONS}
     widest, goal, grown = {}, {}, {}
@@ -106,7 +106,7 @@ def split(space: DataFrame, leaves: dict[int, int]) -> tuple[DataFrame, dict[int
     order = ("node", "v", *POINT)
     sorted_ = ranged(space.withColumn("v", by_node(widest)), *order).drop("at")
     fields = ", ".join(f"{n} {t}" for n, t in sorted_.dtypes)
-    sorted_ = keep(sorted_.mapInArrow(running, f"{fields}, before long"), "shard-level")
+    sorted_ = keep(sorted_.mapInArrow(running, f"{fields}, before long"), "shard-level", [held])
     first, start = [], dict.fromkeys(leaves, 0)
     for part, node, w in sorted(tuple(r) for r in sorted_.groupBy("part", "node").agg(F.sum("w")).collect()):
         first.append((part, node, start[node]))
@@ -116,20 +116,21 @@ def split(space: DataFrame, leaves: dict[int, int]) -> tuple[DataFrame, dict[int
     half = by_node({node: F.lit(n // 2) for node, n in leaves.items()})
     single = F.col("node").isin([node for node, n in leaves.items() if n == 1])
     right = ~single & (middle >= by_node(goal))
-    return placed.withColumn("node", F.when(right, F.col("node") + half).otherwise(F.col("node")).cast("int")).select(space.columns), grown
+    return placed.withColumn("node", F.when(right, F.col("node") + half).otherwise(F.col("node")).cast("int")).select(space.columns), grown, sorted_
 
 
 def assign(docs: DataFrame, shards: int) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of docs(doc_id, text, and lang if there)."""
     meta = metadata(docs)
     dealt, space = points(meta, shards)
-    space, leaves = keep(space, "shard-points"), {0: shards}
+    space = held = keep(space, "shard-points")
+    leaves = {0: shards}
     if space.isEmpty():
         return meta.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     while max(leaves.values()) > 1:
-        space, leaves = split(space, leaves)
+        space, leaves, held = split(space, leaves, held)
     found = dealt.select("doc_id", "row", *POINT).join(space.select(*POINT, F.col("node").alias("shard")), list(POINT))
-    rows = keep(ranged(found.select("doc_id", "size", "text_crc32", "shard", "row"), "shard", "doc_id", "row"), "shards")
+    rows = keep(ranged(found.select("doc_id", "size", "text_crc32", "shard", "row"), "shard", "doc_id", "row"), "shards", [held, meta])
     first, start = [], {}
     for shard, part, at, n in sorted(tuple(r) for r in rows.groupBy("shard", "part").agg(F.min("at"), F.count("*")).collect()):
         first.append((shard, part, start.get(shard, 0) - at))
