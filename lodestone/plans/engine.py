@@ -17,6 +17,11 @@ from lodestone.settings import Settings
 from lodestone.sources.scratch import keep, place
 
 
+CHUNK = ("id", "text", "source", "timestamp", "source_type", "domain", "offset_start", "offset_end")
+#: Arrival of a second round's hits: behind all of the first one's.
+SECOND = 1 << 20
+
+
 class Engine:
     """What a service would call, over tables: questions come as a DataFrame and so do answers."""
 
@@ -39,13 +44,35 @@ class Engine:
         planned = planned.withColumn("domain", domain)
         return planned.withColumn("domain_source", policy.route_label(F.col("constraint_domain"), F.col("preference_domain"), F.col("domain")))
 
-    def retrieve(self, corpus: DataFrame, planned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def asked(self, planned: DataFrame) -> DataFrame:
+        """(query_id, query, authors, terms): whom of the packs' authors a question names, and its terms."""
+        names = sorted({a for p in self.packs for a in p.get("authors") or []})
+        stop = [w for p in self.packs for w in p.get("author_stopwords") or []]
+        rows = planned.select("query_id", "query", T.author_mentions(F.col("query"), names, stop).alias("authors") if names else F.array().cast("array<string>").alias("authors"))
+        return rows.withColumn("terms", T.query_terms(F.col("query"), F.col("authors"), self.settings.term_synonyms))
+
+    def expand(self, corpus: DataFrame, planned: DataFrame, held: lexicon.Lexicon) -> tuple[DataFrame, DataFrame]:
+        """(evidence, attempts) of a second round for questions that name authors: the question, and each author with the question's terms, among that author's sources.
+
+        Its hits arrive behind the others and, unless the settings say so, pass no filter.
+        """
+        s = self.settings
+        more = F.when(F.size("terms") > 0, F.transform("authors", lambda a: F.concat_ws(" ", a, F.array_join("terms", " ")))).otherwise(F.array().cast("array<string>"))
+        asked = self.asked(planned).where(F.size("authors") > 0)
+        subs = asked.select(F.col("query_id").alias("_q"), "authors", F.col("terms").alias("required"), F.posexplode(F.concat(F.array("query"), more)).alias("sub_query_idx", "query"))
+        subs = subs.withColumn("query_id", F.struct("_q", "sub_query_idx"))
+        hits = keep(held.author_search(subs.select("query_id", "query", "authors", "required"), s.author_top_k).drop("source").join(corpus.select(*CHUNK), "id"), "author-hits")
+        tried = self.attempts(subs, "lexical_author", hits)
+        rows = hits.withColumns({"sub_query_idx": F.col("query_id.sub_query_idx") + SECOND, "query_id": F.col("query_id._q"), "agent": F.lit("lexical_author"), "agent_idx": F.lit(len(retrieve.AGENTS)), "domain_idx": F.lit(0)})
+        return rows.withColumn("arrival", SECOND + F.col("sub_query_idx") * s.author_top_k + F.col("rank")), tried
+
+    def retrieve(self, corpus: DataFrame, planned: DataFrame, held: lexicon.Lexicon | None = None) -> tuple[DataFrame, DataFrame]:
         """(evidence, attempts): hits of all agents for all sub-questions, ids once in order of arrival."""
         s = self.settings
         subs = planned.select(F.col("query_id").alias("_q"), F.posexplode("queries").alias("sub_query_idx", "query"))
         subs = subs.withColumn("query_id", F.struct(F.col("_q"), F.col("sub_query_idx")))
-        full = corpus.select("id", "text", "source", "timestamp", "source_type", "domain", "offset_start", "offset_end")
-        held = lexicon.index_of(full.select("id", "text", "source"), s)
+        full = corpus.select(*CHUNK)
+        held = held or lexicon.index_of(full.select("id", "text", "source"), s)
         hits = keep(held.search(subs.select("query_id", "query"), s.top_k).join(full, "id"), "hits")
         lines = retrieve.structured(hits, subs.select("query_id", "query"), s.top_k, s)
         lines = lines.withColumns({"offset_start": F.lit(None).cast("int"), "offset_end": F.lit(None).cast("int")}).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "line"))).drop("line")
@@ -69,16 +96,16 @@ class Engine:
         got = hits.select("query_id").distinct().withColumn("_hit", F.lit(True))
         return subs.join(got, "query_id", "left").select(F.col("_q").alias("query_id"), F.lit(agent).alias("agent"), F.when(F.col("_hit"), "ok").otherwise("zero_hits").alias("status"))
 
-    def rank(self, planned: DataFrame, hits: DataFrame) -> DataFrame:
-        """Evidence of each question after policy, freshness, duplicates and reranking, with places."""
+    def rank(self, planned: DataFrame, hits: DataFrame, late: DataFrame | None = None) -> DataFrame:
+        """Evidence of each question after policy, freshness, duplicates and reranking, with places. late: hits of a second round."""
         s = self.settings
-        rows = hits.where(T.falsy(F.col("text"), "").isNotNull())
-        rows = policy.apply_policy(rows, s).where(policy.fresh(F.col("timestamp"), F.lit(s.freshness_days).cast("double"), self.now))
+        there = lambda df: df.where(T.falsy(F.col("text"), "").isNotNull())
+        allowed = lambda df: policy.apply_policy(df, s).where(policy.fresh(F.col("timestamp"), F.lit(s.freshness_days).cast("double"), self.now))
+        rows = allowed(there(hits))
+        if late is not None:
+            rows = rows.unionByName(allowed(there(late)) if s.filter_author_hits else there(late), allowMissingColumns=True)
         rows = evidence.dedupe_text(rows, ("query_id",))
-        names = sorted({a for p in self.packs for a in p.get("authors") or []})
-        stop = [w for p in self.packs for w in p.get("author_stopwords") or []]
-        asked = planned.select("query_id", "query", T.author_mentions(F.col("query"), names, stop).alias("authors") if names else F.array().cast("array<string>").alias("authors"))
-        asked = asked.withColumn("terms", T.query_terms(F.col("query"), F.col("authors"), s.term_synonyms))
+        asked = self.asked(planned)
         rows = rows.join(asked, "query_id")
         rows = rows.withColumn("rerank_score", models.lexical_rerank(F.col("query"), F.col("text")))
         rows = evidence.rerank(rows, s)
@@ -98,13 +125,18 @@ class Engine:
         """
         s = self.settings
         planned = self.plan(questions)
-        hits, attempts = self.retrieve(corpus, planned)
-        ranked = keep(self.rank(planned, hits), "ranked")
+        held = lexicon.index_of(corpus.select("id", "text", "source"), s)
+        hits, attempts = self.retrieve(corpus, planned, held)
+        late = None
+        if any(p.get("authors") for p in self.packs):
+            late, more = self.expand(corpus, planned, held)
+            attempts, late = attempts.union(more), keep(late, "late")
+        ranked = keep(self.rank(planned, hits, late), "ranked")
         one = F.struct("place", "id", "text", "source", "offset_start", "offset_end", "rerank_score", "is_author")
         best = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("rows"), F.max("author_gap").alias("author_gap"), F.first("authors").alias("authors"), F.countDistinct("domain").alias("n_domains"))
-        raw = hits.groupBy("query_id").agg(F.count("*").alias("n_raw"))
+        raw = (hits if late is None else hits.select("query_id").union(late.select("query_id"))).groupBy("query_id").agg(F.count("*").alias("n_raw"))
         tried = retrieve.diagnostics(attempts).select("query_id", "agent", F.struct("attempted", "ok", "zero_hits", "timeout", "error").alias("_d"))
-        asked = ["lexical", *(["vector"] if self.embed else [])]
+        asked = ["lexical", *(["vector"] if self.embed else []), *(["lexical_author"] if late is not None else [])]
         tried = tried.groupBy("query_id").agg(*(F.any_value(F.when(F.col("agent") == a, F.col("_d")), True).alias(a) for a in asked))
         q = planned.join(best, "query_id", "left").join(raw, "query_id", "left").join(tried, "query_id", "left")
         q = q.withColumns({"rows": F.coalesce("rows", F.array()), "author_gap": F.coalesce("author_gap", F.lit(False)), "authors": F.coalesce("authors", F.array().cast("array<string>")), "n_raw": F.coalesce("n_raw", F.lit(0)), "n_domains": F.coalesce("n_domains", F.lit(0))})
