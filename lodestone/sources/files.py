@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,13 +58,9 @@ def json_lines(value, most: int, prefix: str = "") -> list[str]:
 def csv_lines(text: str, most: int) -> list[str]:
     """``header: cell`` joined for each row behind the first; cells without a header are named by their place."""
     rows = csv.reader(text.splitlines())
-    header = next(rows, None)
-    out: list[str] = []
-    for row in rows:
-        if len(out) >= most:
-            break
-        out.append(" | ".join(f"{header[i] if i < len(header) else f'col_{i}'}: {c}" for i, c in enumerate(row)))
-    return out
+    head = next(rows, [])
+    named = lambda row: zip(chain(head, map("col_{}".format, count(len(head)))), row)
+    return [" | ".join(map(": ".join, named(row))) for row in islice(rows, most)]
 
 
 def flatten(text: str | None, kind: str | None, most: int = Settings.flatten_lines) -> str | None:
