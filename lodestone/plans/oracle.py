@@ -148,7 +148,8 @@ SELECT a.id, a.user_id, a.query, f.rating, f.comment FROM a LEFT JOIN f ON a.use
     "delete_source": "SELECT doc_id AS id, source FROM documents WHERE source <> 'src3'",
     "reingest_replace": """WITH n AS (SELECT *, lang AS collection FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0)
 SELECT doc_id AS id, source, 1 AS version FROM documents d WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.collection = d.lang AND n.source = d.source) UNION ALL SELECT doc_id, source, 2 FROM n""",
-    "question_cache_keys": "SELECT item_id AS query_id, true AS same, CAST(64 AS INTEGER) AS size FROM benchmark",
+    "question_cache_keys": rf"""SELECT item_id AS query_id, true AS same,
+ sha256('{{"query":' || CAST(to_json(array_to_string({WORDS.format('lower(text)')}, ' ')) AS VARCHAR) || ',"prefs":"[{{\"key\":\"a\",\"value\":\"2\"}},{{\"key\":\"b\",\"value\":\"1\"}}]","tenant":"t","policy":""}}') AS key FROM benchmark""",
     "job_states": """SELECT event_id // 4 AS job_id, 'ingest' AS kind, ['queued', 'running', 'succeeded', 'failed'][CAST(max(event_id) % 4 + 1 AS INTEGER)] AS status,
  max(event_id) FILTER (event_id % 4 = 0) AS created_at, max(event_id) FILTER (event_id % 4 = 1) AS started_at, max(event_id) FILTER (event_id % 4 >= 2) AS finished_at FROM events GROUP BY event_id // 4""",
 }
