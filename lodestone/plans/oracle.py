@@ -69,6 +69,18 @@ SQL = {
 SELECT doc_id, CAST(i / 150 AS INTEGER) AS chunk_index, array_to_string(ws[i + 1:i + 200], ' ') AS text FROM (SELECT doc_id, ws, unnest(range(0, len(ws), 150)) AS i FROM w)""",
     "chunk_namespace": """SELECT doc_id AS id, 'docs_' || CASE WHEN lang <> 'en' THEN lang ELSE source END AS collection, 'docs_index_' || CASE WHEN lang <> 'en' THEN lang ELSE source END AS index FROM documents""",
     "lexical_topk": f"""WITH {CORPUS}, {ASKED}, {POSTINGS}, {bm25('q', 's')}, r AS ({ranked('s', 6)}) SELECT query_id, id, rank, round(score, 6) AS score FROM r""",
+    "domain_topk": f"""WITH w AS (SELECT doc_id AS id, coalesce(nullif(lang, 'de'), 'base') AS i, {TOKENS.format('text')} AS ws FROM documents),
+size AS (SELECT i, count(*)::DOUBLE AS n, avg(len(ws)) AS avgdl FROM w GROUP BY i),
+tf AS (SELECT i, id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT i, id, len(ws) AS dl, unnest(ws) AS term FROM w) GROUP BY i, id, term),
+df AS (SELECT i, term, count(*) AS df FROM tf GROUP BY i, term),
+weighted AS (SELECT i, id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w FROM tf JOIN df USING (i, term) JOIN size USING (i)),
+{ASKED}, a AS (SELECT query_id, query, unnest(CASE query_id % 5 WHEN 0 THEN ['en', 'es'] WHEN 1 THEN ['fr', 'es', 'en'] WHEN 2 THEN ['base', 'es', 'en'] ELSE ['es', 'en'] END) AS i,
+  generate_subscripts(CASE query_id % 5 WHEN 0 THEN ['en', 'es'] WHEN 1 THEN ['fr', 'es', 'en'] WHEN 2 THEN ['base', 'es', 'en'] ELSE ['es', 'en'] END, 1) - 1 AS domain_idx FROM q),
+t AS (SELECT DISTINCT query_id, domain_idx, i, unnest({TOKENS.format('query')}) AS term FROM a),
+s AS (SELECT query_id, domain_idx, id, round(sum(w), 9) AS score FROM t JOIN weighted USING (i, term) GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, domain_idx ORDER BY score DESC, id) AS INTEGER) AS rank FROM s),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY domain_idx, rank) AS first FROM r WHERE rank <= 6)
+SELECT query_id, id, CAST(domain_idx AS INTEGER) AS domain_idx, rank, round(score, 6) AS score FROM f WHERE first = 1""",
     "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 6""",
     "author_lexical_topk": f"""WITH {CORPUS}, {ASKED}, {POSTINGS},
@@ -85,6 +97,11 @@ SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY id)
     "policy_filter": """SELECT doc_id AS id, lang AS domain FROM documents WHERE NOT contains(lower(text), 'worthless') AND NOT contains(lower(text), 'idiot') AND lang <> 'fr'""",
     "policy_rules": """SELECT doc_id AS id, lang AS domain FROM documents WHERE CASE WHEN lang = 'en' AND contains(lower(text), 'the') THEN true
 WHEN lang IN ('en', 'fr') AND NOT contains(lower(text), 'worthless') THEN false WHEN contains(lower(text), 'copyright') THEN false ELSE true END""",
+    "policy_by_question": f"""WITH {CORPUS}, {ASKED}, {POSTINGS}, {bm25('q', 's')}, r AS ({ranked('s', 24)}),
+h AS (SELECT r.*, lower(c.text) AS t, c.domain, c.timestamp, query_id AS n FROM r JOIN c USING (id))
+SELECT query_id, id, rank FROM h WHERE NOT (n % 3 = 0 AND (contains(t, 'worthless') OR contains(t, 'idiot'))) AND NOT (n % 4 = 1 AND domain NOT IN ('en', 'fr'))
+AND domain <> 'pt' AND NOT (n % 4 = 2 AND domain = 'de') AND NOT (n % 6 = 1 AND NOT contains(t, 'e')) AND NOT (n % 8 = 0 AND domain = 'en' AND contains(t, 'the'))
+AND timestamp >= CASE WHEN n % 7 = 0 THEN {NOW} - 10 * 86400.0 WHEN n % 10 = 5 THEN {NOW} - 5 * 86400.0 WHEN n % 10 = 0 THEN {NOW} - 15 * 86400.0 ELSE 0 END""",
     "freshness": f"""WITH {CORPUS} SELECT id, timestamp FROM c WHERE timestamp >= {NOW}.0 - 5 * 86400.0""",
     "route_domain": """WITH k AS (SELECT conv_id, turn, lower(text) AS t, CASE WHEN role = 'system' THEN 'en' END AS c, CASE WHEN turn % 5 = 4 THEN 'fr' END AS p FROM conversations),
 s AS (SELECT *, contains(t, 'und')::INT + contains(t, 'nicht')::INT + 2 * contains(t, 'de')::INT AS de, contains(t, 'the')::INT + contains(t, 'and')::INT + contains(t, 'with')::INT + 2 * contains(t, 'en')::INT AS en,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import chunk, context, evaluate, evidence, graph, judge, lexicon, policy, records, retrieve, vectors
+from lodestone.operators import chunk, context, domains, evaluate, evidence, graph, judge, lexicon, policy, records, retrieve, vectors
 from lodestone.plans.engine import Engine
 from lodestone.settings import Settings
 from lodestone.sources import store
@@ -73,6 +73,20 @@ def lexical_topk(spark, d):
     return hits.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+#: French is asked under another name, Dutch is no index: its questions go to the base, where German is.
+DOMAINS = Settings(domain_fallbacks=("es", "en"), domain_index_map={"fra": "docs_index_fr"})
+
+
+def domain_topk(spark, d):
+    """Every question in the indexes of its domain and the fallbacks; each hit where it came first."""
+    docs = corpus(spark, d).withColumn("domain", F.nullif("domain", F.lit("de")))
+    asked = questions(spark, d).withColumn("domain", F.element_at(F.array(*map(F.lit, ("en", "FRA", "nl", "")), F.lit(None).cast("string")), (F.col("query_id") % 5 + 1).cast("int")))
+    subs = domains.fan_out(asked.withColumn("domain", T.falsy(F.col("domain"), "")), DOMAINS).withColumn("query_id", F.struct("query_id", "domain_idx"))
+    hits = domains.lexicon_of(store.namespaced(docs), DOMAINS).search(subs.select("query_id", "query", "index"))
+    flat = hits.withColumns({"domain_idx": F.col("query_id.domain_idx"), "query_id": F.col("query_id.query_id")})
+    return retrieve.fan_out({"lexical": flat}).select("query_id", F.col("id").cast("long").alias("id"), "domain_idx", "rank", F.round("score", 6).alias("score"))
+
+
 def vector_topk(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")  # the stated question set
@@ -149,6 +163,24 @@ def freshness(spark, d):
     return corpus(spark, d).where(policy.fresh(F.col("timestamp"), F.lit(5.0), NOW)).select("id", "timestamp")
 
 
+def wishes(spark, d):
+    """Benchmark questions, each with lists, rules and freshness of its own: some as texts with commas, some as arrays."""
+    n = F.col("query_id")
+    some = lambda k, r, *v: F.when(n % k == r, T.literals(list(v)))
+    rule = F.struct(F.lit("deny").alias("action"), F.array(F.lit("en")).alias("domains"), F.array(F.lit("the")).alias("contains"))
+    constraints = F.struct(F.when(n % 3 == 0, " Worthless, IDIOT ,").alias("blocklist"), some(4, 1, "en", "FR").alias("domains_allow"), F.when(n % 5 == 0, n % 10).alias("freshness_days"), F.when(n % 5 == 0, 15).alias("freshness"))
+    preferences = F.struct(some(4, 2, "de").alias("domains_block"), some(6, 1, "e").alias("allowlist"), F.when(n % 7 == 0, 10).alias("freshness_days"), F.when(n % 8 == 0, F.array(rule)).alias("rules"))
+    return questions(spark, d).withColumns({"constraints": constraints, "preferences": preferences})
+
+
+def policy_by_question(spark, d):
+    """The best hits of every question, held against its own policy."""
+    asked = wishes(spark, d)
+    hits = index(spark, d).search(asked.select("query_id", "query"), 24).join(corpus(spark, d), "id")
+    rows = policy.apply_by_question(hits, policy.united(asked, Settings(domains_block=("pt",))), NOW)
+    return rows.select("query_id", "id", "rank")
+
+
 ROUTING = Settings(domain_keywords=KEYWORDS, domain_aliases={"es": ["ción"]})
 
 
@@ -419,8 +451,8 @@ def answer(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_words, chunk_offsets, chunk_namespace, lexical_topk, vector_topk, vector_index_topk, author_lexical_topk, structured_lines, fanout_union_dedupe, agent_counts, text_dedupe,
-        policy_filter, policy_rules, freshness, route_domain, author_bias_rank, author_gap, plan_rules, query_terms, claims_split, negation, claim_paraphrases,
+        chunk_words, chunk_offsets, chunk_namespace, lexical_topk, domain_topk, vector_topk, vector_index_topk, author_lexical_topk, structured_lines, fanout_union_dedupe, agent_counts, text_dedupe,
+        policy_filter, policy_rules, policy_by_question, freshness, route_domain, author_bias_rank, author_gap, plan_rules, query_terms, claims_split, negation, claim_paraphrases,
         graph_density, graph_claims, graph_evidence, graph_relations, graph_conflicts, graph_paths, graph_path_totals, graph_context, judge_confidence, failure_tags, failure_counts, risk_coverage,
         sentence_clamp, fallback_answer, eval_scores, metrics_histogram, risk_histogram, metrics_counters, rate_limit, rate_counts, latency_p95, hourly_rates,
         audit_page, feedback_list, training_export, delete_source, reingest_replace, job_states, question_cache_keys, answer,
