@@ -26,7 +26,7 @@ def hit_rate_at(k: int, found: Column, wanted: Column) -> Column:
 
 
 def score_run(runs: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:
-    """(config, n, errors, recall, hit_rate, lexical_overlap, confidence) for each base_url.
+    """(config, n, errors, recall, hit_rate, lexical_overlap, confidence) for each base_url, and faithfulness and relevance where runs have them.
 
     A run with an error counts in n and errors only; without a label it has no recall; without a
     reference answer no overlap. Labels are few against runs and are joined by query.
@@ -42,6 +42,7 @@ def score_run(runs: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:
         F.avg(F.when(labelled, hit_rate_at(k, F.col("sources"), F.col("expected_sources")))).alias("hit_rate"),
         F.avg(F.when(referenced, T.lexical_overlap(F.coalesce("answer", F.lit("")), F.col("reference_answer")))).alias("lexical_overlap"),
         F.avg(F.when(ok, F.col("confidence"))).alias("confidence"),
+        *(F.avg(F.when(ok, F.col(c))).alias(c) for c in ("faithfulness", "relevance") if c in runs.columns),
     )
 
 
@@ -60,8 +61,3 @@ def markdown(scores: DataFrame, k: int = 5) -> str:
     row = lambda cells: f"| {' | '.join(cells)} |"
     body = scores.orderBy("config").select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("line"))
     return "\n".join(["# Evaluation report", "", row(columns.values()), row("---" for _ in columns), *(r["line"] for r in body.collect()), ""])
-
-
-def sweep(queries: DataFrame, configs: list[str]) -> DataFrame:
-    """Every question with every configuration."""
-    return queries.select("*", F.explode(T.literals(configs)).alias("base_url"))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import models
 from lodestone.functions import text as T
-from lodestone.operators import context, evidence, judge, lexicon, policy, retrieve, vectors
+from lodestone.operators import context, domains, evidence, judge, lexicon, policy, retrieve, sweep, vectors
 from lodestone.operators.chunk import chunks
 from lodestone.operators.graph import Graph
 from lodestone.settings import Settings
+from lodestone.sources import store
 from lodestone.sources.scratch import keep, place
 
 
@@ -34,11 +35,19 @@ class Engine:
         return chunks(docs, self.settings)
 
     def plan(self, questions: DataFrame) -> DataFrame:
-        """questions(query_id, query) with sub-questions, domain and its label."""
+        """questions(query_id, query) with sub-questions, domain and its label.
+
+        They may bring columns constraints and preferences, structs with a domain, policy lists,
+        rules and freshness (``policy.united``); constraint_domain and preference_domain go before
+        the structs' domain.
+        """
         rules = [h for p in self.packs for h in p.get("planner_hints") or []]
         held = questions
-        for c in ("constraint_domain", "preference_domain"):
-            held = held if c in held.columns else held.withColumn(c, F.lit(None).cast("string"))
+        for where in policy.SAID:
+            c = f"{where[:-1]}_domain"
+            held = held if c in held.columns else held.withColumn(c, policy.said(questions, where, "domain", "string"))
+        if "policy" not in held.columns and any(where in held.columns for where in policy.SAID):
+            held = policy.united(held, self.settings)
         planned = policy.plan(held, rules)
         domain = policy.route(F.col("query"), F.col("constraint_domain"), F.col("preference_domain"), (), self.settings)
         planned = planned.withColumn("domain", domain)
@@ -69,22 +78,39 @@ class Engine:
     def retrieve(self, corpus: DataFrame, planned: DataFrame, held: lexicon.Lexicon | None = None) -> tuple[DataFrame, DataFrame]:
         """(evidence, attempts): hits of all agents for all sub-questions, ids once in order of arrival."""
         s = self.settings
-        subs = planned.select(F.col("query_id").alias("_q"), F.posexplode("queries").alias("sub_query_idx", "query"))
-        subs = subs.withColumn("query_id", F.struct(F.col("_q"), F.col("sub_query_idx")))
+        subs = planned.select(F.col("query_id").alias("_q"), "domain", *(c for c in ("tenant", "settings") if c in planned.columns), F.posexplode("queries").alias("sub_query_idx", "query"))
+        subs = domains.fan_out(subs, s) if s.domain_collections else subs.withColumns({"domain_idx": F.lit(0), "index": F.lit(domains.BASE)})
+        subs = subs.withColumn("query_id", F.struct("_q", "sub_query_idx", "domain_idx"))
         full = corpus.select(*CHUNK)
-        held = held or lexicon.index_of(full.select("id", "text", "source"), s)
-        hits = keep(held.search(subs.select("query_id", "query"), s.top_k).join(full, "id"), "hits")
+        held = held or self.index(corpus)
+        hits = keep(self.search(held, subs).join(full, "id"), "hits")
         lines = retrieve.structured(hits, subs.select("query_id", "query"), s.top_k, s)
         lines = lines.withColumns({"offset_start": F.lit(None).cast("int"), "offset_end": F.lit(None).cast("int")}).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "line"))).drop("line")
-        flat = lambda df: df.withColumns({"sub_query_idx": F.col("query_id.sub_query_idx"), "query_id": F.col("query_id._q")})
+        flat = lambda df: df.withColumns({"sub_query_idx": F.col("query_id.sub_query_idx"), "domain_idx": F.col("query_id.domain_idx"), "query_id": F.col("query_id._q")})
         agents = {"lexical": hits, "structured": lines}
         if self.embed:
-            near = self.vector_hits(full, subs)
+            near = self.vector_hits(full, subs.where("domain_idx = 0"))  # vectors aren't kept by domain
             agents = {"vector": keep(near.join(full, "id"), "near")} | agents
         found = retrieve.fan_out({name: flat(rows) for name, rows in agents.items()})
-        attempts = reduce(DataFrame.union, (self.attempts(subs, name, agents[name]) for name in agents if name != "structured"))
+        tried = {"lexical": subs, "vector": subs.where("domain_idx = 0")}
+        attempts = reduce(DataFrame.union, (self.attempts(tried[name], name, agents[name]) for name in agents if name != "structured"))
         return keep(retrieve.arrival(found), "found"), attempts  # read by ranking and by the diagnostics
 
+    def index(self, corpus: DataFrame) -> lexicon.Lexicon:
+        """An index of the chunks; by domain if the settings search that way."""
+        if self.settings.domain_collections:
+            return domains.lexicon_of(store.namespaced(corpus).select("id", "text", "source", "index"), self.settings)
+        return lexicon.index_of(corpus.select("id", "text", "source"), self.settings)
+
+    def search(self, held: lexicon.Lexicon, subs: DataFrame) -> DataFrame:
+        """Lexical hits of subs(query_id, query, index). Where questions carry settings, equal sub-questions are searched once for all, for the most hits, of which each keeps its own number."""
+        if "settings" not in subs.columns:
+            return held.search(subs.select("query_id", "query", "index"), self.settings.top_k)
+        asked = keep(subs.select("query_id", "query", "index", F.sha2(F.concat_ws("\n", "index", "query"), 256).alias("_asked"), F.col("settings.top_k").alias("_k")), "sub-questions")
+        most = asked.agg(F.max("_k")).first()[0] or 1
+        hits = held.search(asked.groupBy(F.col("_asked").alias("query_id")).agg(F.first("query").alias("query"), F.first("index").alias("index")), most)
+        return hits.withColumnRenamed("query_id", "_asked").join(asked.drop("query", "index"), "_asked").where(F.col("rank") <= F.col("_k")).drop("_asked", "_k")
+
     def vector_hits(self, full: DataFrame, subs: DataFrame) -> DataFrame:
         """Nearest chunks of each sub-question by the vectors that embed makes; all lists that may hold one are read."""
         held = vectors.VectorIndex(full.sparkSession, place(full.sparkSession, "vectors"), self.settings)
@@ -98,14 +124,20 @@ class Engine:
 
     def rank(self, planned: DataFrame, hits: DataFrame, late: DataFrame | None = None) -> DataFrame:
         """Evidence of each question after policy, freshness, duplicates and reranking, with places. late: hits of a second round."""
-        s = self.settings
+        s = self.settings if "settings" not in planned.columns else sweep.Row(self.settings)
         there = lambda df: df.where(T.falsy(F.col("text"), "").isNotNull())
-        allowed = lambda df: policy.apply_policy(df, s).where(policy.fresh(F.col("timestamp"), F.lit(s.freshness_days).cast("double"), self.now))
+        if "policy" in planned.columns:
+            allowed = lambda df: policy.apply_by_question(df, planned, self.now)
+        else:
+            allowed = lambda df: policy.apply_policy(df, s).where(policy.fresh(F.col("timestamp"), F.lit(s.freshness_days).cast("double"), self.now))
         rows = allowed(there(hits))
         if late is not None:
             rows = rows.unionByName(allowed(there(late)) if s.filter_author_hits else there(late), allowMissingColumns=True)
+        rows = rows.withColumn("n_normal", F.count("*").over(Window.partitionBy("query_id")))
         rows = evidence.dedupe_text(rows, ("query_id",))
         asked = self.asked(planned)
+        if "settings" in planned.columns:
+            asked = asked.join(planned.select("query_id", "settings"), "query_id")
         rows = rows.join(asked, "query_id")
         rows = rows.withColumn("rerank_score", models.lexical_rerank(F.col("query"), F.col("text")))
         rows = evidence.rerank(rows, s)
@@ -123,23 +155,24 @@ class Engine:
 
         With a graph, what it says to each question's evidence raises or lowers the confidence.
         """
-        s = self.settings
         planned = self.plan(questions)
-        held = lexicon.index_of(corpus.select("id", "text", "source"), s)
+        s = self.settings if "settings" not in planned.columns else sweep.Row(self.settings)
+        held = self.index(corpus)
         hits, attempts = self.retrieve(corpus, planned, held)
         late = None
         if any(p.get("authors") for p in self.packs):
-            late, more = self.expand(corpus, planned, held)
+            by_author = lexicon.index_of(corpus.select("id", "text", "source"), self.settings) if s.domain_collections else held
+            late, more = self.expand(corpus, planned, by_author)
             attempts, late = attempts.union(more), keep(late, "late")
         ranked = keep(self.rank(planned, hits, late), "ranked")
         one = F.struct("place", "id", "text", "source", "offset_start", "offset_end", "rerank_score", "is_author")
-        best = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("rows"), F.max("author_gap").alias("author_gap"), F.first("authors").alias("authors"), F.countDistinct("domain").alias("n_domains"))
+        best = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("rows"), F.max("author_gap").alias("author_gap"), F.first("authors").alias("authors"), F.countDistinct("domain").alias("n_domains"), F.max("n_normal").alias("n_normal"))
         raw = (hits if late is None else hits.select("query_id").union(late.select("query_id"))).groupBy("query_id").agg(F.count("*").alias("n_raw"))
         tried = retrieve.diagnostics(attempts).select("query_id", "agent", F.struct("attempted", "ok", "zero_hits", "timeout", "error").alias("_d"))
         asked = ["lexical", *(["vector"] if self.embed else []), *(["lexical_author"] if late is not None else [])]
         tried = tried.groupBy("query_id").agg(*(F.any_value(F.when(F.col("agent") == a, F.col("_d")), True).alias(a) for a in asked))
         q = planned.join(best, "query_id", "left").join(raw, "query_id", "left").join(tried, "query_id", "left")
-        q = q.withColumns({"rows": F.coalesce("rows", F.array()), "author_gap": F.coalesce("author_gap", F.lit(False)), "authors": F.coalesce("authors", F.array().cast("array<string>")), "n_raw": F.coalesce("n_raw", F.lit(0)), "n_domains": F.coalesce("n_domains", F.lit(0))})
+        q = q.withColumns({"rows": F.coalesce("rows", F.array()), "author_gap": F.coalesce("author_gap", F.lit(False)), "authors": F.coalesce("authors", F.array().cast("array<string>")), "n_raw": F.coalesce("n_raw", F.lit(0)), "n_domains": F.coalesce("n_domains", F.lit(0)), "n_normal": F.coalesce("n_normal", F.lit(0))})
         top = F.slice("rows", 1, 3)
         good = F.filter(top, lambda r: r["offset_start"].isNotNull() & r["offset_end"].isNotNull() & (F.coalesce(r["source"], F.lit("")) != ""))
         q = q.withColumn("provenance", F.transform(good, lambda r: F.struct(r["id"].alias("id"), r["source"].alias("source"), r["offset_start"].alias("offset_start"), r["offset_end"].alias("offset_end"))))
@@ -151,11 +184,23 @@ class Engine:
             base = judge.confidence(base, *(F.coalesce(c, none) for c in ("contradictions", "conflicts", "strong")), s)
         q = q.withColumn("confidence", base)
         first = F.get("rows", F.lit(0))
-        tags = judge.failure_tags({"domain": F.col("domain"), "n_raw": F.col("n_raw"), "n_normal": F.size("rows"), **{a: F.col(a) for a in asked}, "n_domains": F.col("n_domains"), "n_rows": F.size("rows"), "author_gap": F.col("author_gap"), "explain_trace": F.lit(""), "top_score": first["rerank_score"]}, s)
+        tags = judge.failure_tags({"domain": F.col("domain"), "n_raw": F.col("n_raw"), "n_normal": F.col("n_normal"), **{a: F.col(a) for a in asked}, "n_domains": F.col("n_domains"), "n_rows": F.size("rows"), "author_gap": F.col("author_gap"), "explain_trace": F.lit(""), "top_score": first["rerank_score"]}, s)
         q = q.withColumn("retrieval_failures", tags)
         lifted = judge.floored(F.col("confidence"), F.size("rows"), F.size("authors") > 0, F.col("author_gap"), F.coalesce(first["is_author"], F.lit(False)), first["rerank_score"], F.col("retrieval_failures"), s)
         return q.select(
             "query_id", "query", "intent", "domain", "domain_source", "answer", "provenance", "confidence", "author_gap", "retrieval_failures",
             judge.hallucination_risk(lifted, F.size("provenance"), F.col("retrieval_failures"), F.col("author_gap")).alias("hallucination_risk"),
             judge.evidence_coverage(F.size("provenance"), F.size("rows"), s).alias("evidence_coverage"), F.size("rows").alias("n_rows"),
+            F.transform("rows", lambda r: F.struct(r["id"].alias("id"), r["source"].alias("source"), r["text"].alias("text"))).alias("results"),
         )
+
+    def ablate(self, corpus: DataFrame, questions: DataFrame, configs: dict[str, Settings], graph: Graph | None = None) -> DataFrame:
+        """Rows of all questions under all configurations (``sweep.runs``), from one index and one search of the corpus.
+
+        The engine's own settings must be those that the configurations share. A question that is
+        null or blank is an error's row in each.
+        """
+        wanted = sweep.spread(questions, {"": self.settings} | configs).where(F.col("query_id.config") != "")
+        blank = T.strip(F.coalesce("query", F.lit(""))) == ""
+        errors = wanted.where(blank).select("query_id", "query", F.lit("empty question").alias("error"))
+        return sweep.runs(self.answer(corpus, wanted.where(~blank), graph), errors)

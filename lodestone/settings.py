@@ -61,6 +61,8 @@ class Settings:
     domain_keywords: dict[str, list[str]] = field(default_factory=dict)
     domain_aliases: dict[str, list[str]] = field(default_factory=dict)
     domain_index_map: dict[str, str] = field(default_factory=dict)
+    #: Whether questions search the indexes of their domains; else the whole corpus.
+    domain_collections: bool = False
     domain_fallbacks: tuple[str, ...] = ()
     term_synonyms: dict[str, list[str]] = field(default_factory=dict)
     #: Whether author-expansion hits pass policy and freshness filters too.
