@@ -15,6 +15,7 @@ from lodestone.operators.chunk import chunks
 from lodestone.operators.graph import Graph
 from lodestone.settings import Settings
 from lodestone.sources import store
+from lodestone.sources.answers import AnswerCache
 from lodestone.sources.scratch import keep, place
 
 
@@ -194,6 +195,35 @@ class Engine:
             F.transform("rows", lambda r: F.struct(r["id"].alias("id"), r["source"].alias("source"), r["text"].alias("text"))).alias("results"),
         )
 
+    def cache_key(self, questions: DataFrame) -> Column:
+        """What an answer depends on: the question, the wishes that come with it, the tenant and the settings' policy."""
+        text = lambda c: F.coalesce(F.to_json(F.col(c)), F.lit("")) if c in questions.columns else F.lit("")
+        wishes = F.create_map(*(x for c in policy.SAID for x in (F.lit(c), text(c))))
+        tenant = F.col("tenant") if "tenant" in questions.columns else F.lit(None).cast("string")
+        return T.cache_key(F.col("query"), wishes, tenant, policy.policy_signature(self.settings))
+
+    def answer_cached(self, corpus: DataFrame, questions: DataFrame, cache: AnswerCache, now: float, txn: tuple[str, int] | None = None) -> DataFrame:
+        """answer, with ``cache``: hit for questions whose answer was remembered and hasn't expired, else miss.
+
+        Of questions that are equal but for blanks and case only the one with the least id is
+        answered; all of them get its answer under their own id and words. New answers are
+        remembered, under txn once.
+        """
+        asked = keep(questions.withColumn("key", self.cache_key(questions)), "asked")
+        held = keep(cache.get(asked, now), "held")
+        first = asked.join(held, "key", "left_anti").groupBy("key").agg(F.min_by(F.struct(*questions.columns), "query_id").alias("_q"))
+        first = keep(first.select("key", "_q.*"), "first")
+        made = self.answer(corpus, first.drop("key"))
+        kind = made.schema
+        if not first.isEmpty():
+            made = keep(made.join(first.select("query_id", "key"), "query_id").select("key", F.to_json(F.struct(*kind.names), {"ignoreNullFields": "false"}).alias("value")), "made")
+            cache.put(made, now, txn)
+            held = held.withColumn("cache", F.lit("hit")).union(made.withColumn("cache", F.lit("miss")))
+        else:
+            held = held.withColumn("cache", F.lit("hit"))
+        rows = asked.select("key", F.col("query_id").alias("_id"), F.col("query").alias("_query")).join(held, "key")
+        return rows.withColumn("_a", F.from_json("value", kind)).select(F.col("_id").alias("query_id"), F.col("_query").alias("query"), *(F.col("_a")[c].alias(c) for c in kind.names if c not in ("query_id", "query")), "cache")
+
     def ablate(self, corpus: DataFrame, questions: DataFrame, configs: dict[str, Settings], graph: Graph | None = None) -> DataFrame:
         """Rows of all questions under all configurations (``sweep.runs``), from one index and one search of the corpus.
 

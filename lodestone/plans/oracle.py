@@ -102,6 +102,9 @@ h AS (SELECT r.*, lower(c.text) AS t, c.domain, c.timestamp, query_id AS n FROM
 SELECT query_id, id, rank FROM h WHERE NOT (n % 3 = 0 AND (contains(t, 'worthless') OR contains(t, 'idiot'))) AND NOT (n % 4 = 1 AND domain NOT IN ('en', 'fr'))
 AND domain <> 'pt' AND NOT (n % 4 = 2 AND domain = 'de') AND NOT (n % 6 = 1 AND NOT contains(t, 'e')) AND NOT (n % 8 = 0 AND domain = 'en' AND contains(t, 'the'))
 AND timestamp >= CASE WHEN n % 7 = 0 THEN {NOW} - 10 * 86400.0 WHEN n % 10 = 5 THEN {NOW} - 5 * 86400.0 WHEN n % 10 = 0 THEN {NOW} - 15 * 86400.0 ELSE 0 END""",
+    "config_axis": f"""WITH {CORPUS}, {ASKED}, {POSTINGS}, {bm25('q', 's')}, r AS ({ranked('s', 20)}), h AS (SELECT r.*, lower(c.text) AS t, c.domain, c.timestamp FROM r JOIN c USING (id))
+SELECT 'plain' AS config, query_id, id, rank FROM h WHERE rank <= 6 UNION ALL SELECT 'few', query_id, id, rank FROM h WHERE rank <= 2 AND NOT contains(t, 'worthless')
+UNION ALL SELECT 'many', query_id, id, rank FROM h WHERE domain IN ('en', 'fr') AND timestamp >= {NOW} - 15 * 86400.0""",
     "freshness": f"""WITH {CORPUS} SELECT id, timestamp FROM c WHERE timestamp >= {NOW}.0 - 5 * 86400.0""",
     "route_domain": """WITH k AS (SELECT conv_id, turn, lower(text) AS t, CASE WHEN role = 'system' THEN 'en' END AS c, CASE WHEN turn % 5 = 4 THEN 'fr' END AS p FROM conversations),
 s AS (SELECT *, contains(t, 'und')::INT + contains(t, 'nicht')::INT + 2 * contains(t, 'de')::INT AS de, contains(t, 'the')::INT + contains(t, 'and')::INT + contains(t, 'with')::INT + 2 * contains(t, 'en')::INT AS en,

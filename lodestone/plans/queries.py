@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import chunk, context, domains, evaluate, evidence, graph, judge, lexicon, policy, records, retrieve, vectors
+from lodestone.operators import chunk, context, domains, evaluate, evidence, graph, judge, lexicon, policy, records, retrieve, sweep, vectors
 from lodestone.plans.engine import Engine
 from lodestone.settings import Settings
 from lodestone.sources import store
@@ -181,6 +181,17 @@ def policy_by_question(spark, d):
     return rows.select("query_id", "id", "rank")
 
 
+CONFIGS = {"plain": Settings(), "few": Settings(top_k=2, blocklist=("worthless",)), "many": Settings(top_k=20, domains_allow=("en", "fr"), freshness_days=15.0)}
+
+
+def config_axis(spark, d):
+    """Evidence of every question under three configurations, from one search."""
+    subs = sweep.spread(questions(spark, d), CONFIGS).withColumn("index", F.lit(domains.BASE))
+    hits = Engine().search(index(spark, d), subs).join(corpus(spark, d), "id")
+    rows = policy.apply_by_question(hits, subs, NOW)
+    return rows.select("query_id.config", "query_id.query_id", "id", "rank")
+
+
 ROUTING = Settings(domain_keywords=KEYWORDS, domain_aliases={"es": ["ción"]})
 
 
@@ -452,7 +463,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_words, chunk_offsets, chunk_namespace, lexical_topk, domain_topk, vector_topk, vector_index_topk, author_lexical_topk, structured_lines, fanout_union_dedupe, agent_counts, text_dedupe,
-        policy_filter, policy_rules, policy_by_question, freshness, route_domain, author_bias_rank, author_gap, plan_rules, query_terms, claims_split, negation, claim_paraphrases,
+        policy_filter, policy_rules, policy_by_question, config_axis, freshness, route_domain, author_bias_rank, author_gap, plan_rules, query_terms, claims_split, negation, claim_paraphrases,
         graph_density, graph_claims, graph_evidence, graph_relations, graph_conflicts, graph_paths, graph_path_totals, graph_context, judge_confidence, failure_tags, failure_counts, risk_coverage,
         sentence_clamp, fallback_answer, eval_scores, metrics_histogram, risk_histogram, metrics_counters, rate_limit, rate_counts, latency_p95, hourly_rates,
         audit_page, feedback_list, training_export, delete_source, reingest_replace, job_states, question_cache_keys, answer,

@@ -24,7 +24,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -137,15 +137,15 @@ class Table:
         """A source goes from all collections; with a tenant only its rows. Nothing is rewritten."""
         return self._publish({"kind": "delete", "source": source, "tenant": tenant})
 
-    def compact(self) -> int | None:
-        """Writes what counts now as one commit that stands for all before it."""
+    def compact(self, where: Column | None = None) -> int | None:
+        """Writes what counts now as one commit that stands for all before it; with a condition, only its rows."""
         log = self.log()
         if not log:
             return None
         upto = log[-1]["version"]
         puts, _ = self._active(upto)
         names = list(dict.fromkeys(n for e in puts for n in e["schemas"] if n != "keys"))
-        frames = {n: self.read(n, upto) for n in names}
+        frames = {n: self.read(n, upto) if where is None else self.read(n, upto).where(where) for n in names}
         if any("keys" in e["schemas"] and set(x["name"] for x in e["schemas"]["keys"]["fields"]) > set(self.by) for e in puts):
             frames["keys"] = self.read("keys", upto)
         txns: dict[str, int] = {}

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.chunk import chunks
+from lodestone.plans.engine import Engine
 from lodestone.settings import Settings
 from lodestone.sources import store
+from lodestone.sources.answers import AnswerCache
 from lodestone.sources.versions import Table
 
 
@@ -48,6 +51,24 @@ def ingest(files: DataFrame, table: Table, checkpoint: str, settings: Settings =
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def serve(requests: DataFrame, engine: Engine, corpus: DataFrame, cache: AnswerCache, out: Table, checkpoint: str, clock: Callable[[], float] = time.time):
+    """A query that answers arriving requests(query_id, query, …), from the cache where it can, and commits each batch's answers once.
+
+    A driver that dies after answers are remembered and before they are committed finds them in
+    the cache: they are committed then, as hits if they haven't expired.
+    """
+    spark = requests.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        asked = batch.where("query_id IS NOT NULL").dropDuplicates(["query_id"])
+        if any(e["txns"].get(stream, -1) >= number for e in out.log()) or asked.isEmpty():
+            return
+        out.put(engine.answer_cached(corpus, asked, cache, clock()), txn=(stream, number))
+
+    return requests.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def answer_events(answers: DataFrame) -> DataFrame:
     """(query_id, seq, event, data): meta, the answer's words, final, done."""
     words = F.split("answer", "(?<= )")
