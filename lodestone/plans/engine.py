@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions import models
 from lodestone.functions import text as T
@@ -20,6 +21,11 @@ from lodestone.sources.scratch import keep, place
 
 
 CHUNK = ("id", "text", "source", "timestamp", "source_type", "domain", "offset_start", "offset_end")
+#: What an answer is, besides its query_id and query.
+ANSWER = (
+    "intent string, domain string, domain_source string, answer string, provenance array<struct<id:string,source:string,offset_start:int,offset_end:int>>, confidence double, author_gap boolean, "
+    "retrieval_failures array<string>, hallucination_risk double, evidence_coverage double, n_rows int, results array<struct<id:string,source:string,text:string>>, explain_trace string, notes string"
+)
 #: Arrival of a second round's hits: behind all of the first one's.
 SECOND = 1 << 20
 
@@ -27,9 +33,20 @@ SECOND = 1 << 20
 class Engine:
     """What a service would call, over tables: questions come as a DataFrame and so do answers."""
 
-    def __init__(self, settings: Settings = Settings(), packs: list[dict] | None = None, now: float = 0.0, embed: Callable[[Column], Column] | None = None) -> None:
-        """embed makes a text's vector; with it the vector agent is asked too."""
-        self.settings, self.packs, self.now, self.embed = settings, packs or [], now, embed
+    #: Schema of what answer returns besides query_id and query.
+    kind = ANSWER
+
+    def __init__(
+        self, settings: Settings = Settings(), packs: list[dict] | None = None, now: float = 0.0, embed: Callable[[Column], Column] | None = None,
+        judge: Callable[[Column, Column], Column] | None = None, write: Callable[[Column, Column], Column] | None = None,
+    ) -> None:
+        """embed makes a text's vector; with it the vector agent is asked too.
+
+        judge makes a judge's response of a question and its evidence, an array of struct<id, source,
+        text>; null where it failed. write makes struct<status, response, naturalized> of a question
+        and the rows that the judge trusts: status is ok, timeout or error.
+        """
+        self.settings, self.packs, self.now, self.embed, self.judge, self.write = settings, packs or [], now, embed, judge, write
 
     def ingest(self, docs: DataFrame) -> DataFrame:
         """Chunks of docs(text, source, source_type, domain, timestamp)."""
@@ -174,25 +191,48 @@ class Engine:
         tried = tried.groupBy("query_id").agg(*(F.any_value(F.when(F.col("agent") == a, F.col("_d")), True).alias(a) for a in asked))
         q = planned.join(best, "query_id", "left").join(raw, "query_id", "left").join(tried, "query_id", "left")
         q = q.withColumns({"rows": F.coalesce("rows", F.array()), "author_gap": F.coalesce("author_gap", F.lit(False)), "authors": F.coalesce("authors", F.array().cast("array<string>")), "n_raw": F.coalesce("n_raw", F.lit(0)), "n_domains": F.coalesce("n_domains", F.lit(0)), "n_normal": F.coalesce("n_normal", F.lit(0))})
-        top = F.slice("rows", 1, 3)
+        none, no_note = F.lit(0), F.lit(None).cast("string")
+        snippets = F.transform(F.slice("rows", 1, self.settings.max_evidence), lambda r: F.struct(r["id"].alias("id"), r["source"].alias("source"), F.substring(r["text"], 1, 400).alias("text")))
+        base, note, trusted = F.lit(s.judge_non_json), no_note, F.array().cast("array<string>")
+        if self.judge:
+            q = q.withColumn("_said", self.judge(F.col("query"), snippets))
+            q = q.withColumn("_judged", judge.judge_ladder(F.col("_said"), F.col("_said").isNull(), F.transform("rows", lambda r: r["id"]), s))
+            base, trusted = F.coalesce("_judged.confidence", F.lit(s.judge_error)), F.coalesce("_judged.trusted_ids", trusted)
+            note = F.when(F.col("_judged.branch") == "json", F.get_json_object(T.json_body(F.col("_said")), "$.notes")).otherwise(F.concat(F.lit("judge_"), "_judged.branch"))
+        q = q.withColumn("_base", base.cast("double")).withColumn("_note", note)
+        picks = F.flatten(F.transform(trusted, lambda t: F.slice(F.filter("rows", lambda r: r["id"] == t), 1, 1)))
+        q = q.withColumn("_top", F.when(F.size(picks) > 0, picks).otherwise(F.slice("rows", 1, 3)))
+        # where an author has no passage with the question's words, others' passages go before, if there are any
+        for c in ("_top", "rows"):
+            others = F.filter(c, lambda r: ~F.coalesce(r["is_author"], F.lit(False)))
+            q = q.withColumn(c, F.when(F.col("author_gap") & (F.size("authors") > 0) & (F.size(others) > 0), others).otherwise(F.col(c)))
+        top = F.col("_top")
         good = F.filter(top, lambda r: r["offset_start"].isNotNull() & r["offset_end"].isNotNull() & (F.coalesce(r["source"], F.lit("")) != ""))
         q = q.withColumn("provenance", F.transform(good, lambda r: F.struct(r["id"].alias("id"), r["source"].alias("source"), r["offset_start"].alias("offset_start"), r["offset_end"].alias("offset_end"))))
-        q = q.withColumn("answer", T.fallback_answer(F.transform(top, lambda r: r["text"]), F.col("authors"), F.col("author_gap")))
-        base, none = F.lit(s.judge_non_json), F.lit(0)
+        base, signs = F.col("_base"), (none, none, none)
         if graph is not None:
             parts = context.of_results(graph, ranked.where(F.col("place") <= s.rerank_top_k).select("query_id", "id", "text"), s)
             q = q.join(context.signals(parts), "query_id", "left")
-            base = judge.confidence(base, *(F.coalesce(c, none) for c in ("contradictions", "conflicts", "strong")), s)
-        q = q.withColumn("confidence", base)
+            signs = tuple(F.coalesce(c, none) for c in ("contradictions", "conflicts", "strong"))
+            base = judge.confidence(base, *signs, s)
+        q = q.withColumn("_judge", base).withColumn("notes", judge.notes(F.col("_note"), *signs))
+        texts = F.transform(top, lambda r: r["text"])
+        if self.write:
+            picked = F.transform(top, lambda r: F.struct(r["id"].alias("id"), r["source"].alias("source"), r["text"].alias("text")))
+            q = q.withColumn("_w", self.write(F.col("query"), picked))
+            made = judge.synthesis_ladder(F.col("_w.response"), F.col("_w.naturalized"), F.col("_w.status"), texts, F.col("authors"), F.col("author_gap"), F.col("_judge"), s)
+            q = q.withColumn("_made", made).withColumns({"answer": F.col("_made.answer"), "confidence": F.col("_made.confidence"), "explain_trace": F.col("_made.explain_trace")})
+        else:
+            q = q.withColumns({"answer": T.fallback_answer(texts, F.col("authors"), F.col("author_gap")), "confidence": F.col("_judge"), "explain_trace": F.lit("")})
         first = F.get("rows", F.lit(0))
-        tags = judge.failure_tags({"domain": F.col("domain"), "n_raw": F.col("n_raw"), "n_normal": F.col("n_normal"), **{a: F.col(a) for a in asked}, "n_domains": F.col("n_domains"), "n_rows": F.size("rows"), "author_gap": F.col("author_gap"), "explain_trace": F.lit(""), "top_score": first["rerank_score"]}, s)
+        tags = judge.failure_tags({"domain": F.col("domain"), "n_raw": F.col("n_raw"), "n_normal": F.col("n_normal"), **{a: F.col(a) for a in asked}, "n_domains": F.col("n_domains"), "n_rows": F.size("rows"), "author_gap": F.col("author_gap"), "explain_trace": F.col("explain_trace"), "top_score": first["rerank_score"]}, s)
         q = q.withColumn("retrieval_failures", tags)
         lifted = judge.floored(F.col("confidence"), F.size("rows"), F.size("authors") > 0, F.col("author_gap"), F.coalesce(first["is_author"], F.lit(False)), first["rerank_score"], F.col("retrieval_failures"), s)
         return q.select(
             "query_id", "query", "intent", "domain", "domain_source", "answer", "provenance", "confidence", "author_gap", "retrieval_failures",
             judge.hallucination_risk(lifted, F.size("provenance"), F.col("retrieval_failures"), F.col("author_gap")).alias("hallucination_risk"),
             judge.evidence_coverage(F.size("provenance"), F.size("rows"), s).alias("evidence_coverage"), F.size("rows").alias("n_rows"),
-            F.transform("rows", lambda r: F.struct(r["id"].alias("id"), r["source"].alias("source"), r["text"].alias("text"))).alias("results"),
+            F.transform("rows", lambda r: F.struct(r["id"].alias("id"), r["source"].alias("source"), r["text"].alias("text"))).alias("results"), "explain_trace", "notes",
         )
 
     def cache_key(self, questions: DataFrame) -> Column:
@@ -213,16 +253,16 @@ class Engine:
         held = keep(cache.get(asked, now), "held")
         first = asked.join(held, "key", "left_anti").groupBy("key").agg(F.min_by(F.struct(*questions.columns), "query_id").alias("_q"))
         first = keep(first.select("key", "_q.*"), "first")
-        made = self.answer(corpus, first.drop("key"))
-        kind = made.schema
+        names = [f.name for f in StructType.fromDDL(self.kind).fields]
         if not first.isEmpty():
-            made = keep(made.join(first.select("query_id", "key"), "query_id").select("key", F.to_json(F.struct(*kind.names), {"ignoreNullFields": "false"}).alias("value")), "made")
+            made = self.answer(corpus, first.drop("key")).join(first.select("query_id", "key"), "query_id")
+            made = keep(made.select("key", F.to_json(F.struct(*names)).alias("value")), "made")
             cache.put(made, now, txn)
             held = held.withColumn("cache", F.lit("hit")).union(made.withColumn("cache", F.lit("miss")))
         else:
             held = held.withColumn("cache", F.lit("hit"))
         rows = asked.select("key", F.col("query_id").alias("_id"), F.col("query").alias("_query")).join(held, "key")
-        return rows.withColumn("_a", F.from_json("value", kind)).select(F.col("_id").alias("query_id"), F.col("_query").alias("query"), *(F.col("_a")[c].alias(c) for c in kind.names if c not in ("query_id", "query")), "cache")
+        return rows.withColumn("_a", F.from_json("value", self.kind)).select(F.col("_id").alias("query_id"), F.col("_query").alias("query"), *(F.col("_a")[c].alias(c) for c in names), "cache")
 
     def ablate(self, corpus: DataFrame, questions: DataFrame, configs: dict[str, Settings], graph: Graph | None = None) -> DataFrame:
         """Rows of all questions under all configurations (``sweep.runs``), from one index and one search of the corpus.

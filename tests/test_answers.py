@@ -14,6 +14,7 @@ class Loud(Engine):
     """Answers by shouting; tells what it was asked. A plan without an action asks nothing."""
 
     asked: list
+    kind = "answer string, provenance array<struct<id:string,source:string>>, confidence double"
 
     def answer(self, corpus, questions, graph=None):
         self.asked.append(sorted(r["query"].strip().lower() for r in questions.select("query").collect()))

@@ -37,3 +37,10 @@ def test_author_without_hits(spark, docs):
     q = spark.createDataFrame([(1, "What does Epictetus say of fear")], "query_id int, query string")
     rows = sources(Engine(Settings(top_k=1), packs=[{"name": "x", "authors": ["Epictetus"]}]), docs, q)
     assert "lexical_author_zero_hits" in rows[1][1]["retrieval_failures"]
+
+
+def test_gap_prefers_others(spark, docs):
+    """The author has passages, none with the question's words: they make room for others'."""
+    q = spark.createDataFrame([(1, "What does Seneca say of fear")], "query_id int, query string")
+    found, row = sources(Engine(Settings(top_k=3), packs=[PACK]), docs, q)[1]
+    assert row["author_gap"] and found == {"other.txt"} and {r["source"] for r in row["results"]} == {"other.txt"}
