@@ -37,7 +37,9 @@ def contexts(g: Graph, asked: DataFrame, named: DataFrame | None = None, setting
     opposed = against.join(best.select("claim_id").distinct(), "claim_id", "left_semi").groupBy("claim_id").agg(F.count("*").alias("contradict_count"))
     density = mentions.groupBy("query_id", "name").agg(F.countDistinct("chunk_id").alias("chunks"))
 
-    related = density.select("query_id", F.col("name").alias("src"), F.col("chunks").alias("n")).join(g.relates, "src")
+    # of a question and an entity all relations count alike: the first n are among those of its first n entities that have any
+    heads = density.select("query_id", F.col("name").alias("src"), F.col("chunks").alias("n")).join(g.relates.select("src").distinct(), "src", "left_semi")
+    related = first(heads, n, ("query_id",), F.desc("n"), "src").drop("place").join(g.relates, "src")
     relations = first(related.select("query_id", "src", "predicate", "dst", "n"), n, ("query_id",), F.desc("n"), "src", "predicate", "dst")
     strength = relations.groupBy("query_id", "src", "predicate", "dst").agg(F.sum("n").alias("strength")).where(F.col("strength") >= settings.strong_relation)
     conflicts = relations.groupBy("query_id", "src", "dst").agg(F.array_sort(F.collect_set("predicate")).alias("predicates")).where(F.size("predicates") > 1)
@@ -52,7 +54,10 @@ def contexts(g: Graph, asked: DataFrame, named: DataFrame | None = None, setting
 
     about = held.join(g.claim_entity, "claim_id").groupBy("chunk_id", F.col("name").alias("src")).agg(F.count("*").alias("claims"))
     pairs = g.relates.groupBy("src", "dst").agg(F.count("*").alias("predicates"))
-    walks = about.join(pairs, "src").select("chunk_id", "src", "dst", (F.col("claims") * F.col("predicates")).alias("n"))
+    # likewise the first n paths are among those of the n chunks and entities whose greatest path comes first
+    most = about.join(pairs.groupBy("src").agg(F.max("predicates").alias("_most")), "src").withColumn("_n", F.col("claims") * F.col("_most"))
+    ways = first(asked.join(most, "chunk_id"), n, ("query_id",), F.desc("_n"), "chunk_id", "src").drop("place")
+    walks = ways.join(pairs, "src").select("query_id", "chunk_id", "src", "dst", (F.col("claims") * F.col("predicates")).alias("n"))
 
     out = {
         "claims": best.join(opposed, "claim_id", "left").fillna(0, ["contradict_count"]),
@@ -61,7 +66,7 @@ def contexts(g: Graph, asked: DataFrame, named: DataFrame | None = None, setting
         "relation_strength": strength,
         "relation_conflicts": conflicts,
         "evidence_scores": asked.join(scores, "chunk_id"),
-        "paths": first(asked.join(walks, "chunk_id"), n, ("query_id",), F.desc("n"), "chunk_id", "src", "dst"),
+        "paths": first(walks, n, ("query_id",), F.desc("n"), "chunk_id", "src", "dst"),
         "subgraph": first(mentions.select("query_id", "chunk_id", "name"), settings.subgraph_pairs, ("query_id",), "chunk_id", "name"),
     }
     if named is not None:
