@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +31,11 @@ def any_in(text: Column, values: Sequence[str]) -> Column:
     return out
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Words between white space, none empty."""
     return F.filter(F.split(text, WHITE), lambda w: w != "")
@@ -153,26 +158,29 @@ def clean_answer(text: Column) -> Column:
 
 def clamp_answer(text: Column, least: int = 2, most: int = 4) -> Column:
     """Two to four sentences of which no two have the same key."""
-    found = answer_sentences(text, 8)
     start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc: Column, s: Column) -> Column:
-        key = sentence_key(s)
-        fresh = ~F.array_contains(acc["keys"], key) & (F.size(acc["kept"]) < most)
-        return F.when(fresh, F.struct(F.concat(acc["keys"], F.array(key)).alias("keys"), F.concat(acc["kept"], F.array(s)).alias("kept"))).otherwise(acc)
+        def taken(key: Column) -> Column:
+            fresh = ~F.array_contains(acc["keys"], key) & (F.size(acc["kept"]) < most)
+            return F.when(fresh, F.struct(F.concat(acc["keys"], F.array(key)).alias("keys"), F.concat(acc["kept"], F.array(s)).alias("kept"))).otherwise(acc)
+
+        return once(sentence_key(s), taken)
+
+    def chosen(found: Column) -> Column:
+        unique = F.aggregate(found, start, step, lambda acc: acc["kept"])
+        kept = once(unique, lambda u: F.when(F.size(u) < least, F.slice(found, 1, most)).otherwise(u))
+        return F.when(F.size(found) == 0, text).otherwise(F.array_join(kept, " "))
 
-    unique = F.aggregate(found, start, step, lambda acc: acc["kept"])
-    chosen = F.when(F.size(unique) < least, F.slice(found, 1, most)).otherwise(unique)
-    return F.when(F.size(found) == 0, clean_answer(text)).otherwise(clean_answer(F.array_join(chosen, " ")))
+    return clean_answer(once(answer_sentences(text, 8), chosen))
 
 
 def technical(text: Column) -> Column:
-    return F.coalesce(text == "", F.lit(True)) | any_in(F.lower(text), TECHNICAL)
+    return F.coalesce(text == "", F.lit(True)) | once(F.lower(text), lambda t: any_in(t, TECHNICAL))
 
 
 def natural(text: Column) -> Column:
-    cleaned = clean_answer(text)
-    return (F.length(cleaned) >= 40) & ~technical(cleaned)
+    return once(clean_answer(text), lambda cleaned: (F.length(cleaned) >= 40) & ~technical(cleaned))
 
 
 def fallback_answer(texts: Column, authors: Column, gap: Column) -> Column:
