@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import policy
-from lodestone.operators.lexicon import Lexicon, few
+from lodestone.operators import blocks, policy
+from lodestone.operators.lexicon import BROADCAST_TERMS, Lexicon, few
 from lodestone.operators.retrieve import ranked, tokens
 from lodestone.settings import Settings
 from lodestone.sources.scratch import keep, place
@@ -33,14 +33,14 @@ class DomainLexicon(Lexicon):
 
     def add(self, docs: DataFrame, txn: tuple[str, int] | None = None) -> int | None:
         """Indexes docs(id, text, source, index); a null source is the empty one, a null index the base."""
-        rows = docs.select("id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("index", F.lit(BASE)).alias("index"), tokens(F.col("text")).alias("_w"))
-        rows = keep(rows.withColumn("dl", F.size("_w").cast("long")), "words")
-        counted = rows.select("index", "source", "id", "dl", F.explode("_w").alias("term")).groupBy("index", "source", "id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+        rows = docs.select(F.coalesce("index", F.lit(BASE)).alias("index"), F.coalesce("source", F.lit("")).alias("source"), "id", tokens(F.col("text")).alias("words"))
+        packs = self.packs(rows)
         dealt = lambda df, c: df.repartition("index", F.pmod(F.xxhash64(c), F.lit(DEAL))).sortWithinPartitions("index", "term")
         return self.table.put({
-            "keys": rows.groupBy("index", "source").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_words")),
-            "postings": dealt(counted, "id"),
-            "terms": lambda held: dealt(held["postings"].groupBy("index", "source", "term").agg(F.count("*").alias("n")), "term"),
+            "docs": blocks.documents(packs),
+            "keys": lambda held: held["docs"].groupBy("index", "source").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_words")),
+            "postings": dealt(packs.where("term IS NOT NULL").select("index", "source", "block", "term", "n", "places", "tfs"), "term"),
+            "terms": lambda held: dealt(held["postings"].groupBy("index", "source", "term").agg(F.sum("n").alias("n")), "term"),
         }, txn=txn)
 
     def indexes(self) -> DataFrame:
@@ -67,7 +67,14 @@ class DomainLexicon(Lexicon):
         idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         known = df.join(few(self.indexes()), "index").select("index", "term", "mean", idf.alias("idf"))
         weights = keep(asked.join(known, ["index", "term"]), "weights")
-        each = self.table.read("postings").join(few(weights.where("idf > 0")), ["index", "term"])
+        weights = weights.where("idf > 0")
+        held, docs = self.table.read("postings"), self.table.read("docs")
+        if weights.count() <= BROADCAST_TERMS:
+            wanted = weights.select("query_id", "index", "term", "idf", "mean", F.lit(1).alias("base"), F.lit(0).alias("extra"))
+            n = self.table.read("keys").agg(F.sum("n_docs")).first()[0] or 0
+            found = blocks.best(held.join(few(weights.select("index", "term").distinct()), ["index", "term"]), docs, wanted, k, n, self.settings)
+            return ranked(found.drop("strict"), k, ["query_id"])
+        each = blocks.exploded(held, docs).join(weights, ["index", "term"])
         total = each.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * self.weight(F.col("tf"), F.col("dl"), F.col("mean"))), 9).alias("score"))
         return ranked(total, k, ["query_id"])
 

@@ -1,13 +1,16 @@
 """A stored inverted index: postings of terms in blocks of documents, searched block by block.
 
 A source's documents are dealt into blocks of about BLOCK of them. ``postings`` has a row for each
-term of a document, ``blocks`` one for each term of a block: its number of documents, the greatest
-count and the shortest document, which bound the term's weight there whatever the corpus's
-statistics become. Both lie in BUCKETS folders by term, sorted by term and block. ``docs`` has a
-row for each document, ``keys`` the number and words of each source's documents. All are datasets
+term of a block: the documents' places in the block and the term's counts, packed (``blocks``), their
+number, the greatest count and the shortest document, which bound the term's weight there whatever
+the corpus's statistics become. They lie in BUCKETS folders by term, sorted by term and block. ``docs``
+has a row for each document, ``keys`` the number and words of each source's documents. All are datasets
 of one ``Table``: a source that comes again, or is deleted, touches no other source's blocks.
 
-A search reads the folders of its terms only. The bounds of a question's terms are added up for
+A search reads the folders of its terms only. Unless told otherwise it sends each posting once to its
+block's group, where all questions are weighed together: its cost doesn't grow with the number of
+questions and documents that meet. With more than BROADCAST_TERMS terms of questions, or with
+``whole=0``, it goes block by block instead. The bounds of a question's terms are added up for
 each block, without its postings; the documents of the best blocks are weighed first. The last of
 the k best so far then decides what else is read: blocks whose bound doesn't reach it are skipped,
 and so are the terms that together can't reach it (the most frequent ones, with the longest lists),
@@ -21,13 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import blocks
 from lodestone.operators.retrieve import query_terms, ranked, tokens
 from lodestone.settings import Settings
 from lodestone.sources.scratch import keep, place
 from lodestone.sources.versions import Table
 
 BUCKETS = 64
-BLOCK = 64
+BLOCK = 512
 #: Blocks of a question that are weighed before the others are looked at.
 FIRST = 4
 #: So many rows of questions and terms may be broadcast.
@@ -35,8 +39,8 @@ BROADCAST_TERMS = 1_000_000
 #: Times k: documents of a question whose scores are completed before the others'.
 NEAREST = 8
 SLACK = 1e-6
-#: Postings of a search's questions for each shuffle partition, up to which all are read.
-WHOLE = 2_000_000
+#: Postings of a search's questions for each shuffle partition, up to which all are read. A posting takes some bytes of the shuffle and its question some nanoseconds, the rounds that skip some take a row for each question and block.
+WHOLE = 1 << 40
 
 
 def bucket(term: Column) -> Column:
@@ -46,25 +50,26 @@ def bucket(term: Column) -> Column:
 class Lexicon:
     def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings()) -> None:
         self.spark, self.settings = spark, settings
-        self.table = Table(spark, path, ("source",), {"postings": ("bucket",), "blocks": ("bucket",)})
+        self.table = Table(spark, path, ("source",), {"postings": ("bucket",)})
 
     # writing
 
     def add(self, docs: DataFrame, txn: tuple[str, int] | None = None) -> int | None:
         """Indexes docs(id, text, source); what their sources had before no longer counts. A null source is the empty one."""
-        rows = docs.select("id", F.coalesce("source", F.lit("")).alias("source"), tokens(F.col("text")).alias("_w")).withColumn("dl", F.size("_w").cast("long"))
-        sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_n"))
-        placed = rows.join(sizes, "source").withColumn("block", F.pmod(F.xxhash64("id"), F.col("_n"))).drop("_n")
-        each = placed.select("id", "source", "block", "dl", F.explode("_w").alias("term"))
-        counted = each.groupBy("id", "source", "block", "dl", "term").agg(F.count("*").cast("int").alias("tf")).withColumn("bucket", bucket(F.col("term")))
-        bounds = (F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
-        frames = {
-            "docs": placed.select("id", "source", "block", "dl"),
+        rows = docs.select(F.lit("").alias("index"), F.coalesce("source", F.lit("")).alias("source"), "id", tokens(F.col("text")).alias("words"))
+        packs = self.packs(rows)
+        postings = packs.where("term IS NOT NULL").select("source", "block", "term", "n", "most_tf", "least_dl", "places", "tfs", bucket(F.col("term")).alias("bucket"))
+        return self.table.put({
+            "docs": blocks.documents(packs).drop("index"),
             "keys": lambda held: held["docs"].groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_words")),
-            "postings": dealt(counted).sortWithinPartitions("bucket", "term", "source", "block"),
-            "blocks": lambda held: dealt(held["postings"].groupBy("bucket", "term", "source", "block").agg(*bounds)).sortWithinPartitions("bucket", "term"),
-        }
-        return self.table.put(frames, txn=txn)
+            "postings": dealt(postings).sortWithinPartitions("bucket", "term", "source", "block"),
+        }, txn=txn)
+
+    def packs(self, rows: DataFrame) -> DataFrame:
+        """rows(index, source, id, words) in blocks, packed."""
+        sizes = keep(rows.groupBy("index", "source").agg(F.count("*").alias("_n")), "sizes")
+        placed = rows.join(sizes, ["index", "source"]).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / BLOCK).cast("long")))
+        return keep(blocks.packed(placed, sizes.agg(F.sum("_n")).first()[0] or 0), "packs")
 
     def delete(self, source: str) -> int:
         return self.table.delete(source)
@@ -77,25 +82,42 @@ class Lexicon:
         return float(n or 0), (words / n if n and words else 1.0)
 
     def rows(self, name: str, terms: DataFrame) -> DataFrame:
-        """The terms' rows of postings or blocks, from their folders alone. A list of the folders, BUCKETS at most, goes into the plan."""
+        """The terms' rows of postings, from their folders alone. A list of the folders, BUCKETS at most, goes into the plan."""
         folders = [r[0] for r in terms.select(bucket(F.col("term"))).distinct().collect()]
         return self.table.read(name).where(F.col("bucket").isin(folders))
 
+    def postings(self, terms: DataFrame) -> DataFrame:
+        """(source, block, term, id, tf, dl) of terms(term)."""
+        packs = self.rows("postings", terms).join(few(terms.select("term").distinct()), "term", "left_semi").withColumn("index", F.lit(""))
+        return blocks.exploded(packs, self.documents()).drop("index")
+
+    def documents(self) -> DataFrame:
+        return self.table.read("docs").withColumn("index", F.lit(""))
+
+    def best(self, weights: DataFrame, k: int, n: float, mean: float, authors: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+        """``blocks.best`` of weights(query_id, term, idf, …), within the sources, if there are any."""
+        flags = [F.col(c) if c in weights.columns else F.lit(v).alias(c) for c, v in (("base", 1), ("extra", 0))]
+        held, docs = self.rows("postings", weights).join(few(weights.select("term").distinct()), "term", "left_semi"), self.table.read("docs")
+        if sources is not None:
+            held, docs = (df.join(few(sources), "source", "left_semi") for df in (held, docs))
+        asked = weights.select("query_id", F.lit("").alias("index"), "term", "idf", F.lit(mean).alias("mean"), *flags)
+        return blocks.best(held.withColumn("index", F.lit("")), docs.withColumn("index", F.lit("")), asked, k, n, self.settings, authors)
+
     def weight(self, tf: Column, dl: Column, mean: float) -> Column:
         k1, b = self.settings.bm25_k1, self.settings.bm25_b
         return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / mean))
 
     def weighted(self, asked: DataFrame, n: float, mean: float) -> DataFrame:
         """asked(query_id, term, …) with idf, and the most that the term can weigh in a document; terms that no document has are left out."""
-        blocks = self.rows("blocks", asked).join(few(asked.select("term").distinct()), "term", "left_semi")
-        df = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max(self.weight(F.col("most_tf"), F.col("least_dl"), mean)).alias("_most"))
+        held = self.rows("postings", asked).select("term", "n", "most_tf", "least_dl").join(few(asked.select("term").distinct()), "term", "left_semi")
+        df = held.groupBy("term").agg(F.sum("n").alias("df"), F.max(self.weight(F.col("most_tf"), F.col("least_dl"), mean)).alias("_most"))
         idf = F.log(1.0 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         return keep(asked.join(df.select("term", "df", idf.alias("idf"), (idf * F.col("_most")).alias("most")), "term"), "weights")
 
     def scores(self, weights: DataFrame, chosen: DataFrame, mean: float) -> DataFrame:
         """(query_id, id, score) of all documents of chosen(query_id, source, block) with a term of the question."""
         wanted = chosen.join(weights, "query_id")
-        each = self.rows("postings", weights).select("term", "source", "block", "id", "tf", "dl").join(wanted, ["term", "source", "block"])
+        each = self.postings(weights).join(wanted, ["term", "source", "block"])
         part = F.col("idf") * self.weight(F.col("tf"), F.col("dl"), mean)
         # rounded: the order of a sum's terms isn't fixed, and equal scores must tie
         return each.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
@@ -111,12 +133,10 @@ class Lexicon:
         n, mean = self.statistics()
         weights = self.weighted(asked, n, mean)
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        if (weights.agg(F.sum("df")).first()[0] or 0) <= whole * parts:
-            each = self.rows("postings", weights).join(few(weights.select("query_id", "term", "idf")), "term")
-            total = each.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * self.weight(F.col("tf"), F.col("dl"), mean)), 9).alias("score"))
-            return ranked(total, k, ["query_id"])
+        if (weights.agg(F.sum("df")).first()[0] or 0) <= whole * parts and weights.count() <= BROADCAST_TERMS:
+            return ranked(self.best(weights, k, n, mean).drop("strict"), k, ["query_id"])
         bound = F.col("idf") * self.weight(F.col("most_tf"), F.col("least_dl"), mean)
-        bounds = self.rows("blocks", weights).join(few(weights), "term").groupBy("query_id", "source", "block").agg(F.sum(bound).alias("bound"))
+        bounds = self.rows("postings", weights).drop("places", "tfs").join(few(weights), "term").groupBy("query_id", "source", "block").agg(F.sum(bound).alias("bound"))
         bounds = keep(bounds, "bounds")
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "source", "block")
         best = keep(bounds.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FIRST).drop("_n"), "first")
@@ -133,7 +153,7 @@ class Lexicon:
         parts = keep(parts.withColumn("_slight", F.col("_sum") < F.coalesce("_last", F.lit(0.0)) - SLACK), "parts")
         slight, telling = parts.where("_slight"), parts.where("NOT _slight")
         part = F.col("idf") * self.weight(F.col("tf"), F.col("dl"), mean)
-        each = self.rows("postings", telling).join(few(telling.select("query_id", "term", "idf")), "term").join(few(blocks), ["query_id", "source", "block"], "left_semi")
+        each = self.postings(telling).join(few(telling.select("query_id", "term", "idf")), "term").join(few(blocks), ["query_id", "source", "block"], "left_semi")
         some = each.groupBy("query_id", "id").agg(F.sum(part).alias("_part"))
         open_ = slight.groupBy("query_id").agg(F.max("_sum").alias("_open"), F.max("_last").alias("_last"))
         near = some.join(few(open_), "query_id", "left").where(F.coalesce(F.col("_part") + F.col("_open") >= F.col("_last") - SLACK, F.lit(True)))
@@ -141,7 +161,7 @@ class Lexicon:
 
         def full(docs: DataFrame) -> DataFrame:
             wanted = docs.join(few(slight.select("query_id", "term", "idf")), "query_id").select("query_id", "id", "term", "idf")
-            more = self.rows("postings", slight).join(few(wanted), ["term", "id"]).groupBy("query_id", "id").agg(F.sum(part).alias("_more"))
+            more = self.postings(slight).join(few(wanted), ["term", "id"]).groupBy("query_id", "id").agg(F.sum(part).alias("_more"))
             return docs.join(more, ["query_id", "id"], "left").select("query_id", "id", F.round(F.col("_part") + F.coalesce("_more", F.lit(0.0)), 9).alias("score"))
 
         # the nearest documents first: they raise the mark for the others
@@ -165,8 +185,13 @@ class Lexicon:
         n, mean = self.statistics()
         weights = self.weighted(asked, n, mean)
         of = containing(self.table.read("keys").select("source").distinct(), queries.select("query_id", F.explode("authors").alias("name")))
+        if weights.count() <= BROADCAST_TERMS:
+            found = keep(self.best(weights, k, n, mean, queries.select("query_id", "authors"), of.select("source").distinct()), "author-scores")
+            strict, loose = found.where("strict"), found.where("NOT strict")
+            both = strict.union(loose.join(strict.select("query_id").distinct(), "query_id", "left_anti")).drop("strict")
+            return ranked(both.join(self.table.read("docs").select("id", "source"), "id"), k, ["query_id"])
         wanted = weights.join(of, "query_id")
-        each = self.rows("postings", weights).join(few(wanted), ["term", "source"])
+        each = self.postings(weights).join(few(wanted), ["term", "source"])
         part = F.col("idf") * self.weight(F.col("tf"), F.col("dl"), mean)
         total = each.groupBy("query_id", "id", "source").agg(
             F.round(F.sum(F.when(F.col("base") == 1, part)), 9).alias("score"), F.round(F.sum(F.when(F.col("extra") == 1, part)), 9).alias("required_score"),
