@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.settings import Settings
 
-#: So many questions' vectors may be broadcast.
-BROADCAST_QUERIES = 10_000
+#: Vectors and questions that meet in a cell, and questions that are multiplied at once.
+CELL_VECTORS, CELL_QUERIES, TOGETHER = 32_768, 8_192, 128
 TOKEN = r"[\p{L}0-9]+"
 
 
@@ -41,26 +41,74 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def unit(a: Column) -> Column:
-    n = F.sqrt(F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, v: s + v))
-    return F.transform(a, lambda x: x.cast("double") / n)
+def cells(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): of each cell the k best of its vectors(id, embedding[, list]) for each of its asked(query_id, embedding[, lists]), by cosine.
 
-
-def vector(vectors: DataFrame, queries: DataFrame, k: int | None = None, settings: Settings = Settings(), key: str = "id", block: int = 64) -> DataFrame:
-    """Top vectors of each question by cosine. queries(query_id, embedding) is a stated set, held against all rows in blocks.
-
-    Questions are packed into blocks of arrays, each a row; a scan of the vectors meets each
-    block once and keeps a block's k best in each task before the shuffle.
+    Both are dealt by key; every part of the questions meets every part of the vectors, CELL_QUERIES
+    by CELL_VECTORS at most in expectation, as products of matrices. With lists a question meets the
+    vectors of those lists only. Rows without a length are left out.
     """
+    many, few = (max(1, -(-df.count() // n)) for df, n in ((vectors, CELL_VECTORS), (asked, CELL_QUERIES)))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (vectors, "id"))]
+    listed = "lists" in asked.columns
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.withColumns({"_v": part("id", many), "_a": every(few)}).groupBy("_v", "_a")
+    right = asked.withColumns({"_v": every(many), "_a": part("query_id", few)}).groupBy("_v", "_a")
+
+    def run(v, q):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        schema = pa.schema([("query_id", q.schema.field("query_id").type), ("id", v.schema.field("id").type), ("score", pa.float64())])
+        v = v.take(pc.sort_indices(v, [("id", "ascending")])) if len(v) else v
+        (held, a), (wanted, b) = unit_rows(v["embedding"]), unit_rows(q["embedding"])
+        if not len(held) or not len(wanted):
+            return schema.empty_table()
+        of = v["list"].to_numpy()[held] if listed else None
+        lists = [q["lists"][int(i)].as_py() for i in wanted] if listed else None
+        at, near, said = [], [], []
+        for low in range(0, len(wanted), TOGETHER):
+            score = b[low : low + TOGETHER] @ a.T
+            if listed:
+                for i in range(len(score)):
+                    score[i, ~np.isin(of, lists[low + i])] = -np.inf
+            # whatever rounds to the k-th best score stays, so that the order by id is the whole's
+            least = np.partition(score, -k, axis=1)[:, -k] - 2e-9 if score.shape[1] > k else np.full(len(score), -2.0)
+            i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            s = np.round(score[i, j], 9)
+            order = np.lexsort((j, -s, i))
+            i, j, s = i[order], j[order], s[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+            at.append(wanted[i[kept] + low]), near.append(held[j[kept]]), said.append(s[kept])
+        at, near, said = map(np.concatenate, (at, near, said))
+        return pa.Table.from_arrays([q["query_id"].take(pa.array(at)), v["id"].take(pa.array(near)), pa.array(said)], schema=schema)
+
+    return left.cogroup(right).applyInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+
+
+def unit_rows(values):
+    """(row numbers, unit vectors) of an Arrow list column: those that have a length."""
+    import numpy as np
+
+    values = values.combine_chunks() if hasattr(values, "combine_chunks") else values
+    sizes = set(values.value_lengths().to_pylist())
+    if values.null_count == 0 and len(sizes) == 1 and (flat := values.flatten()).null_count == 0:
+        rows, m = np.arange(len(values)), flat.to_numpy().astype("f8").reshape(len(values), -1)
+    else:
+        held = [(i, x) for i, x in enumerate(values.to_pylist()) if x is not None and all(y is not None for y in x)]
+        rows, m = np.array([i for i, _ in held], "i8"), np.array([x for _, x in held], "f8").reshape(len(held), -1)
+    size = np.sqrt((m * m).sum(1))
+    good = size > 0
+    return rows[good], m[good] / size[good, None]
+
+
+def vector(vectors: DataFrame, queries: DataFrame, k: int | None = None, settings: Settings = Settings(), key: str = "id") -> DataFrame:
+    """Top vectors of each question by cosine. queries(query_id, embedding) is a stated set, held against all rows, cell by cell; neither side passes the driver."""
     k = k or settings.top_k
-    rows = vectors.where(F.col("embedding").isNotNull()).select(F.col(key), unit(F.col("embedding")).alias("_v"))
-    asked = queries.select("query_id", unit(F.col("embedding")).alias("_q"))
-    n = queries.count()
-    blocks = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))).alias("_b")).agg(F.collect_list(F.struct("query_id", "_q")).alias("_qs"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    pairs = rows.join(F.broadcast(blocks) if n <= BROADCAST_QUERIES else blocks, F.lit(True)).select(key, "_v", F.explode("_qs").alias("_q"))
-    scored = pairs.select(F.col("_q.query_id").alias("query_id"), key, F.round(dot(F.col("_v"), F.col("_q._q")), 9).alias("score"))
-    return ranked(scored, k, ["query_id"], key=key)
+    found = cells(vectors.where("embedding IS NOT NULL").select(F.col(key).alias("id"), "embedding"), queries.where("embedding IS NOT NULL").select("query_id", "embedding"), k)
+    return ranked(found, k, ["query_id"]).withColumnRenamed("id", key)
 
 
 def structured(hits: DataFrame, queries: DataFrame, k: int | None = None, settings: Settings = Settings(), key: str = "id") -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.retrieve import ranked
+from lodestone.operators.retrieve import cells, ranked
 from lodestone.settings import Settings
 from lodestone.sources.scratch import keep
 from lodestone.sources.versions import Table
@@ -27,7 +27,7 @@ SAMPLE = 50_000
 PROBES = 4
 #: Vectors of a list that the number of lists aims at, and the most lists.
 PER_LIST, MOST_LISTS = 500, 1024
-#: Questions that are held against the lists at once; more go in several blocks.
+#: Questions that are held against the lists at once (of older callers; cells bound it now).
 TOGETHER = 5_000
 SLACK = 1e-9
 
@@ -84,70 +84,19 @@ class VectorIndex:
         radii = {r["list"]: r["least"] for r in lists.groupBy("list").agg(F.min("least").alias("least")).collect()}  # MOST_LISTS at most
         first_row = lists.select("centroids").first()
         centroids = json.loads(first_row[0]) if first_row else []
-        asked = near_lists(queries, centroids, radii, probes)
-        asked = keep(asked, "asked-vectors")
-        probed = asked.where("probed")
-        found = keep(self.scores(probed, k), "vector-hits")
+        queries = keep(queries.select("query_id", "embedding"), "asked-vectors")
+        found = keep(self.scores(near_lists(queries, centroids, radii, probes), k), "vector-hits")
         if exact and centroids:
             last = ranked(found, k, ["query_id"]).where(F.col("rank") == k).select("query_id", F.col("score").alias("_last"))
-            more = asked.where("NOT probed").join(last, "query_id", "left").where(F.coalesce(F.col("bound") >= F.col("_last") - SLACK, F.lit(True)))
-            found = found.union(self.scores(keep(more.drop("_last"), "more-lists"), k))
+            more = near_lists(queries.join(last, "query_id", "left"), centroids, radii, probes)
+            found = found.union(self.scores(more, k))
         return ranked(found, k, ["query_id"])
 
     def scores(self, asked: DataFrame, k: int) -> DataFrame:
-        """(query_id, id, score): each task's k best of asked(query_id, list, embedding), block by block of questions."""
-        n = asked.select("query_id").distinct().count()
-        blocks = max(1, -(-n // TOGETHER))
-        out = None
-        for b in range(blocks):
-            part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-            found = self.block(part, k)
-            out = found if out is None else out.union(found)
-        return out
-
-    def block(self, asked: DataFrame, k: int) -> DataFrame:
-        folders = [r[0] for r in asked.select("list").distinct().collect()]
-        rows = asked.select("query_id", "list", "embedding").toArrow()  # about TOGETHER questions
-        kind = asked.schema["query_id"].dataType.simpleString()
-        held = self.table.read("vectors").where(F.col("list").isin(folders)).select("id", "list", "embedding")
-        key = held.schema["id"].dataType.simpleString()
-        sent = self.spark.sparkContext.broadcast((rows["query_id"].to_pylist(), rows["list"].to_pylist(), rows["embedding"].to_pylist()))
-
-        def run(batches: Iterator) -> Iterator:
-            import numpy as np
-            import pyarrow as pa
-
-            named, lists, vectors = sent.value
-            ids = list(map(repr, named))  # ids may be structs
-            name = dict(zip(ids, named))
-            of: dict[int, list[int]] = {}
-            for i, x in enumerate(lists):
-                of.setdefault(x, []).append(i)
-            mats = {x: unit_rows([vectors[i] for i in at])[1] for x, at in of.items()}
-            best: dict = {}
-            for b in batches:
-                kept, v = unit_rows(b.column(2).to_pylist())
-                if not kept:
-                    continue
-                place, own = np.array(b.column(1).to_pylist())[kept], [b.column(0)[i].as_py() for i in kept]
-                for x in set(place.tolist()) & of.keys():
-                    at = np.flatnonzero(place == x)
-                    score = np.round(mats[x] @ v[at].T, 9)
-                    for q, row in zip(of[x], score):
-                        # all that tie with the k-th stay, so that the order by id is the whole's
-                        top = at[row >= np.partition(row, -k)[-k]] if len(row) > k else at
-                        values = row if len(row) <= k else row[row >= np.partition(row, -k)[-k]]
-                        pairs = best.get(ids[q], []) + [(-s, own[i]) for s, i in zip(values.tolist(), top.tolist())]
-                        best[ids[q]] = sorted(pairs)[:k]
-            rows = [(name[q], i, -s) for q, pairs in best.items() for s, i in pairs]
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "id", "score"), r)) for r in rows], schema=schema)
-
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        shape = f"query_id {kind}, id {key}, score double"
-        schema = to_arrow_schema(self.spark.createDataFrame([], shape).schema)
-        return held.mapInArrow(run, shape)
+        """(query_id, id, score): each cell's k best of asked(query_id, embedding, lists) within the lists."""
+        asked = keep(asked.where(F.size("lists") > 0), "asked-lists")
+        folders = [r[0] for r in asked.select(F.explode("lists")).distinct().collect()]  # MOST_LISTS at most
+        return cells(self.table.read("vectors").where(F.col("list").isin(folders)).select("id", "list", "embedding"), asked, k)
 
 
 def nearest(rows: DataFrame, centroids: list[list[float]]) -> DataFrame:
@@ -170,27 +119,31 @@ def nearest(rows: DataFrame, centroids: list[list[float]]) -> DataFrame:
 
 
 def near_lists(queries: DataFrame, centroids: list[list[float]], radii: dict[int, float], probes: int) -> DataFrame:
-    """(query_id, embedding, list, bound, probed): of each question every list that holds vectors, the most that their cosine with it can be, and whether it is among the nearest probes."""
-    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding IS NOT NULL")
+    """(query_id, embedding, lists) of queries(query_id, embedding[, _last]): the nearest probes of the lists that hold vectors; with _last, all others that may hold a vector of that cosine (any, where it is null)."""
+    more = "_last" in queries.columns
+    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), *(["_last"] if more else [])).where("embedding IS NOT NULL")
     kind = rows.schema["query_id"].dataType.simpleString()
-    shape = f"query_id {kind}, embedding array<double>, list int, bound double, probed boolean"
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        held = np.array(sorted(radii))
+        held = np.array(sorted(radii), "i4")
         c = unit_rows([centroids[i] for i in held])[1] if centroids else None
         wide = np.arccos(np.clip([radii[i] for i in held], -1, 1)) if centroids else np.zeros(len(held))
         for b in batches:
             kept, v = unit_rows(b.column(1).to_pylist())
+            last = b.column(2).to_pylist() if more else None
+            lists = []
             for i, x in zip(kept, v):
                 near = np.clip(c @ x, -1, 1) if c is not None else np.ones(len(held))
-                bound = np.cos(np.maximum(0.0, np.arccos(near) - wide)) + 1e-12
-                probed = np.zeros(len(held), bool)
-                probed[np.argsort(-near, kind="stable")[:probes]] = True
-                n = len(held)
-                part = b.take(pa.array([i] * n, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.int32()), pa.array(bound, pa.float64()), pa.array(probed)], names=["query_id", "embedding", "list", "bound", "probed"])
-
-    return rows.mapInArrow(run, shape)
+                order = np.argsort(-near, kind="stable")
+                if more:
+                    bound = np.cos(np.maximum(0.0, np.arccos(near) - wide)) + 1e-12
+                    order = order[probes:]
+                    order = order if last[i] is None else order[bound[order] >= last[i] - SLACK]
+                lists.append(held[order if more else order[:probes]].tolist())
+            part = b.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "embedding", "lists"])
+
+    return rows.mapInArrow(run, f"query_id {kind}, embedding array<double>, lists array<int>")
