@@ -15,12 +15,12 @@ from lodestone.operators import blocks, policy
 from lodestone.operators.lexicon import BROADCAST_TERMS, Lexicon, few
 from lodestone.operators.retrieve import ranked, tokens
 from lodestone.settings import Settings
-from lodestone.sources.scratch import keep, place
+from lodestone.sources.scratch import keep, place, splits
 from lodestone.sources.versions import Table
 
 #: The index of what has neither domain nor tenant.
 BASE = "docs_index"
-#: Postings of an index are dealt over so many tasks when they are written, so that one that holds most of the corpus isn't one task's.
+#: Postings of an index are dealt over so many tasks at least when they are written, so that one that holds most of the corpus isn't one task's.
 DEAL = 64
 
 
@@ -33,15 +33,16 @@ class DomainLexicon(Lexicon):
 
     def add(self, docs: DataFrame, txn: tuple[str, int] | None = None) -> int | None:
         """Indexes docs(id, text, source, index); a null source is the empty one, a null index the base."""
-        rows = docs.select(F.coalesce("index", F.lit(BASE)).alias("index"), F.coalesce("source", F.lit("")).alias("source"), "id", tokens(F.col("text")).alias("words"))
+        rows = docs.select(F.coalesce("index", F.lit(BASE)).alias("index"), F.coalesce("source", F.lit("")).alias("source"), "id", "text")
         packs = self.packs(rows)
-        dealt = lambda df, c: df.repartition("index", F.pmod(F.xxhash64(c), F.lit(DEAL))).sortWithinPartitions("index", "term")
-        return self.table.put({
-            "docs": blocks.documents(packs),
-            "keys": lambda held: held["docs"].groupBy("index", "source").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_words")),
-            "postings": dealt(packs.where("term IS NOT NULL").select("index", "source", "block", "term", "n", "places", "tfs"), "term"),
-            "terms": lambda held: dealt(held["postings"].groupBy("index", "source", "term").agg(F.sum("n").alias("n")), "term"),
-        }, txn=txn)
+        dealt = lambda df, c: df.repartition(n := blocks.tasks(df), "index", F.pmod(F.xxhash64(c), F.lit(max(DEAL, n)))).sortWithinPartitions("index", "term")
+        with splits(self.spark):
+            return self.table.put({
+                "docs": blocks.documents(packs),
+                "keys": lambda held: held["docs"].groupBy("index", "source").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_words")),
+                "postings": dealt(packs.where("term IS NOT NULL").select("index", "source", "block", "term", "n", "places", "tfs"), "term"),
+                "terms": lambda held: dealt(held["postings"].groupBy("index", "source", "term").agg(F.sum("n").alias("n")), "term"),
+            }, txn=txn)
 
     def indexes(self) -> DataFrame:
         """(index, n, mean): the indexes that have documents, how many, and the mean number of words."""

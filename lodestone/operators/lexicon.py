@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import blocks
 from lodestone.operators.retrieve import query_terms, ranked, tokens
 from lodestone.settings import Settings
-from lodestone.sources.scratch import keep, place
+from lodestone.sources.scratch import keep, place, splits
 from lodestone.sources.versions import Table
 
 BUCKETS = 64
@@ -56,19 +56,20 @@ class Lexicon:
 
     def add(self, docs: DataFrame, txn: tuple[str, int] | None = None) -> int | None:
         """Indexes docs(id, text, source); what their sources had before no longer counts. A null source is the empty one."""
-        rows = docs.select(F.lit("").alias("index"), F.coalesce("source", F.lit("")).alias("source"), "id", tokens(F.col("text")).alias("words"))
+        rows = docs.select(F.lit("").alias("index"), F.coalesce("source", F.lit("")).alias("source"), "id", "text")
         packs = self.packs(rows)
         postings = packs.where("term IS NOT NULL").select("source", "block", "term", "n", "most_tf", "least_dl", "places", "tfs", bucket(F.col("term")).alias("bucket"))
-        return self.table.put({
-            "docs": blocks.documents(packs).drop("index"),
-            "keys": lambda held: held["docs"].groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_words")),
-            "postings": dealt(postings).sortWithinPartitions("bucket", "term", "source", "block"),
-        }, txn=txn)
+        with splits(self.spark):
+            return self.table.put({
+                "docs": blocks.documents(packs).drop("index"),
+                "keys": lambda held: held["docs"].groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_words")),
+                "postings": dealt(postings).sortWithinPartitions("bucket", "term", "source", "block"),
+            }, txn=txn)
 
     def packs(self, rows: DataFrame) -> DataFrame:
-        """rows(index, source, id, words) in blocks, packed."""
+        """rows(index, source, id, text) in blocks, packed."""
         sizes = keep(rows.groupBy("index", "source").agg(F.count("*").alias("_n")), "sizes")
-        placed = rows.join(sizes, ["index", "source"]).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / BLOCK).cast("long")))
+        placed = rows.join(few(sizes), ["index", "source"]).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / BLOCK).cast("long")))
         return keep(blocks.packed(placed, sizes.agg(F.sum("_n")).first()[0] or 0), "packs")
 
     def delete(self, source: str) -> int:
@@ -204,7 +205,7 @@ class Lexicon:
 
 def dealt(rows: DataFrame) -> DataFrame:
     """Rows by folder; where there are more partitions than folders, a folder's blocks are dealt over several, so that a term of all documents isn't one task's."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = blocks.tasks(rows)
     return rows.repartition(n, "bucket", F.pmod(F.xxhash64("source", "block"), F.lit(1 + n // BUCKETS)))
 
 
@@ -213,6 +214,11 @@ def few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
 
 
+def with_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """Hits with the columns of docs(id, …). There are k hits of a question at most: they are sent to the documents, so that no text is shuffled."""
+    return few(keep(hits, "hits")).join(docs, "id")
+
+
 def containing(sources: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, source) where the source contains a name: substrings of the sources, as long as some name, meet the names by equality."""
     sizes = [r[0] for r in names.select(F.length("name")).distinct().collect() if r[0]]  # as many as names have lengths
