@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from itertools import islice
+from sys import getsizeof
 
 from lodestone.llm.common import SLICE_BYTES, Recent, slices, worker_cache
 
@@ -28,6 +29,15 @@ TOGETHER = 200
 PORTION = 100_000
 
 
+class Held(dict):
+    """Ids of words that are kept, and in ``rest`` of those that only the last words looked up had."""
+
+    rest: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.rest[word]
+
+
 class Encoder:
     """ids(text) as bytes, four for each id.
 
@@ -85,24 +95,33 @@ class Encoder:
     def keeps_white(self) -> bool:
         return bool(self.tokenizer.encode("a \n b", add_special_tokens=False).ids != self.tokenizer.encode("a b", add_special_tokens=False).ids)
 
-    def lookup(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of each of the words."""
-        kept, found, new = self.kept, {}, []
-        for w in words:
-            got = kept.get(w)
-            if got is None:
+    def lookup(self, words: set[str]) -> Mapping[str, bytes]:
+        """Ids of each of the words, and of others; the kept words' own dictionary, so that words met before cost one look."""
+        kept, new = self.kept, []
+        if kept.size >= kept.half or not isinstance(kept.young, Held):
+            kept.old, kept.young, kept.size = kept.young, Held(), 0
+        young, old, size = kept.young, kept.old, 0
+        young.rest = {}  # what is too long to be kept
+        for w in [w for w in words if w not in young]:
+            ids = old.get(w)
+            if ids is None:
                 new.append(w)
             else:
-                found[w] = got
+                young[w] = ids
+                size += 100 + getsizeof(w) + getsizeof(ids)
         for i in range(0, len(new), 20_000):
             plain, rest = [], []
             for w in new[i : i + 20_000]:
                 (plain if self.plain(w) else rest).append(w)
-            for w, ids in (self.encode_plain(plain) | self.encode_each(rest)).items():
-                found[w] = ids
-                if len(w) <= KEPT_CHARS:
-                    kept.put(w, ids)
-        return found
+            for found in (self.encode_plain(plain), self.encode_each(rest)):
+                for w, ids in found.items():
+                    if len(w) <= KEPT_CHARS:
+                        young[w] = ids
+                        size += 100 + getsizeof(w) + getsizeof(ids)
+                    else:
+                        young.rest[w] = ids
+        kept.size += size
+        return young
 
     def encode_long(self, text: str) -> bytes:
         """Portion by portion."""
