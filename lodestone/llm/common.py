@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -46,7 +46,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     with contextlib.suppress(Exception):  # the session may be over
         for path, spark in _written.items():
-            _delete(spark, path)
+            delete(spark, path)
 
 
 atexit.register(_clean)
@@ -72,7 +72,7 @@ def drop(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_kept_at", None)
         if path in _written:
-            _delete(_written.pop(path), path)
+            delete(_written.pop(path), path)
 
 
 @contextlib.contextmanager
