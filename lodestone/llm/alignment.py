@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -83,6 +84,7 @@ class Aligner:
         if any(map(across, plain)) or len(self.guard) != 2:
             raise ValueError("a piece of B goes beyond a cut")
         self.kept, self.states = Known(KEPT_BYTES), {}
+        self.names = list(map(str, range(max(len(self.a), n))))
 
     def step(self, leads: int, rest: bytes, token: int) -> tuple[int, bytes] | None:
         """Which side leads by which bytes when the other side's next token is read; None if the bytes differ."""
@@ -123,19 +125,24 @@ class Aligner:
 
     def solve(self, new: list[str]) -> Iterator[tuple]:
         """Of each piece (tokens of A, of B, groups, their text, linked pairs as 64-bit numbers), or () where the bytes differ."""
-        import numpy as np
-
-        own = self.encoder.lookup(set(new))
+        own, names, (of_a, of_b) = self.encoder.lookup(set(new)), self.names, (self.a, self.b)
         other = self.sp.encode([GUARD + p for p in new], num_threads=1)
         for piece, b in zip(new, other, strict=True):
-            a = np.frombuffer(own[piece], "<u4").tolist()
-            found = self.align((a, b[2:]), piece.encode()) if b[:2] == self.guard else None
-            if found is None:
+            a, guard, b, whole = array("I", own[piece]).tolist(), b[:2], b[2:], piece.encode()
+            if guard != self.guard:
                 yield piece, ()
-                continue
-            groups, links = found
-            text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
-            yield piece, (len(a), len(b) - 2, len(groups), text, np.array([(x << 32) | y for x, y in links], "<i8").tobytes())
+            elif len(a) == 1 or len(b) == 1:  # one group, in which all is linked
+                if not b"".join([of_a[i] for i in a]) == whole == b"".join([of_b[i] for i in b]):
+                    yield piece, ()
+                    continue
+                text = ",".join([names[i] for i in a]) + "|" + ",".join([names[i] for i in b])
+                yield piece, (len(a), len(b), 1, text, array("q", [(x << 32) | y for x in a for y in b]).tobytes())
+            elif (found := self.align((a, b), whole)) is None:
+                yield piece, ()
+            else:
+                groups, links = found
+                text = ";".join([",".join([names[i] for i in x]) + "|" + ",".join([names[i] for i in y]) for x, y in groups])
+                yield piece, (len(a), len(b), len(groups), text, array("q", [(x << 32) | y for x, y in links]).tobytes())
 
     def look_up(self, pieces) -> dict[str, tuple]:
         kept, found, new = self.kept, {}, []
