@@ -45,16 +45,19 @@ def cells(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score): of each cell the k best of its vectors(id, embedding[, list]) for each of its asked(query_id, embedding[, lists]), by cosine.
 
     Both are dealt by key; every part of the questions meets every part of the vectors, CELL_QUERIES
-    by CELL_VECTORS at most in expectation, as products of matrices. With lists a question meets the
-    vectors of those lists only. Rows without a length are left out.
+    by CELL_VECTORS at most in expectation, as products of matrices. With lists, which are the bits of
+    an array of longs, a question meets the vectors of those lists only. Rows without a length are left out. The numbers of a cell are of one
+    type on both sides, since Spark deals an int and a long of the same value to different tasks;
+    cells are dealt by their number, since their bytes don't tell what their product takes.
     """
     many, few = (max(1, -(-df.count() // n)) for df, n in ((vectors, CELL_VECTORS), (asked, CELL_QUERIES)))
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (vectors, "id"))]
     listed = "lists" in asked.columns
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.withColumns({"_v": part("id", many), "_a": every(few)}).groupBy("_v", "_a")
-    right = asked.withColumns({"_v": every(many), "_a": part("query_id", few)}).groupBy("_v", "_a")
+    dealt = lambda df: df.repartition(many * few, "_v", "_a").groupBy("_v", "_a")
+    left = dealt(vectors.withColumns({"_v": part("id", many), "_a": every(few)}))
+    right = dealt(asked.withColumns({"_v": every(many), "_a": part("query_id", few)}))
 
     def run(v, q):
         import numpy as np
@@ -62,18 +65,20 @@ def cells(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         import pyarrow.compute as pc
 
         schema = pa.schema([("query_id", q.schema.field("query_id").type), ("id", v.schema.field("id").type), ("score", pa.float64())])
-        v = v.take(pc.sort_indices(v, [("id", "ascending")])) if len(v) else v
+        if not len(v) or not len(q):
+            return schema.empty_table()
+        v = v.take(pc.sort_indices(v, [("id", "ascending")]))
         (held, a), (wanted, b) = unit_rows(v["embedding"]), unit_rows(q["embedding"])
         if not len(held) or not len(wanted):
             return schema.empty_table()
-        of = v["list"].to_numpy()[held] if listed else None
-        lists = [q["lists"][int(i)].as_py() for i in wanted] if listed else None
+        if listed:
+            of = v["list"].to_numpy()[held]
+            bits = q["lists"].combine_chunks().flatten().to_numpy().view("u8").reshape(len(q), -1)[wanted]
         at, near, said = [], [], []
         for low in range(0, len(wanted), TOGETHER):
             score = b[low : low + TOGETHER] @ a.T
             if listed:
-                for i in range(len(score)):
-                    score[i, ~np.isin(of, lists[low + i])] = -np.inf
+                score[bits[low : low + TOGETHER, of >> 6] >> (of & 63).astype("u8") & np.uint64(1) == 0] = -np.inf
             # whatever rounds to the k-th best score stays, so that the order by id is the whole's
             least = np.partition(score, -k, axis=1)[:, -k] - 2e-9 if score.shape[1] > k else np.full(len(score), -2.0)
             i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
@@ -97,7 +102,9 @@ def unit_rows(values):
     if values.null_count == 0 and len(sizes) == 1 and (flat := values.flatten()).null_count == 0:
         rows, m = np.arange(len(values)), flat.to_numpy().astype("f8").reshape(len(values), -1)
     else:
-        held = [(i, x) for i, x in enumerate(values.to_pylist()) if x is not None and all(y is not None for y in x)]
+        held = [(i, x) for i, x in enumerate(values.to_pylist()) if x and all(y is not None for y in x)]
+        if not held:
+            return np.zeros(0, "i8"), np.zeros((0, 0))
         rows, m = np.array([i for i, _ in held], "i8"), np.array([x for _, x in held], "f8").reshape(len(held), -1)
     size = np.sqrt((m * m).sum(1))
     good = size > 0

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import retrieve
 from lodestone.operators.retrieve import cells, ranked
 from lodestone.settings import Settings
 from lodestone.sources.scratch import keep
@@ -30,6 +31,8 @@ PER_LIST, MOST_LISTS = 500, 1024
 #: Questions that are held against the lists at once (of older callers; cells bound it now).
 TOGETHER = 5_000
 SLACK = 1e-9
+#: Questions whose cosines with all centroids are held at once.
+ROWS = 1024
 
 
 def unit_rows(values):
@@ -63,27 +66,32 @@ class VectorIndex:
     def add(self, rows: DataFrame, centroids: list[list[float]] | None = None) -> int | None:
         """Indexes rows(id, source, embedding). Centroids are those of the first commit, fitted on its rows unless given."""
         rows = rows.select("id", F.coalesce("source", F.lit("")).alias("source"), "embedding").where("embedding IS NOT NULL")
-        known = [json.loads(r[0]) for r in self.lists().select("centroids").limit(1).collect()] if self.table.log() else []
-        centroids = known[0] if known else self.fit(rows) if centroids is None else centroids
-        placed = nearest(rows, centroids)
+        known = self.centroids() if self.table.log() else None
+        centroids = known if known is not None else self.fit(rows) if centroids is None else centroids
+        # A list's vectors go to one task or to neighbours: by hash of the row, every task would write a file in every list's folder.
+        placed = nearest(rows, centroids).repartitionByRange("list", F.xxhash64("id"))
         sums = (F.min("near").alias("least"), F.count("*").alias("n"))
-        keys = lambda held: held["vectors"].groupBy("source", "list").agg(*sums).withColumn("centroids", F.lit(json.dumps(centroids)))
-        return self.table.put({"vectors": placed, "keys": keys})
+        keys = lambda held: held["vectors"].groupBy("source", "list").agg(*sums)
+        first = {"centroids": self.spark.createDataFrame([(json.dumps(centroids),)], "centroids string")} if known is None else {}
+        return self.table.put({"vectors": placed, "keys": keys} | first)
 
     def delete(self, source: str) -> int:
         return self.table.delete(source)
 
     def lists(self) -> DataFrame:
-        """(source, list, least, n, centroids): the least cosine of each list's vectors with its centroid."""
+        """(source, list, least, n): the least cosine of each list's vectors with its centroid."""
         return self.table.read("keys")
 
+    def centroids(self) -> list[list[float]] | None:
+        """Those of the first commit, written once: in a row for each list they would grow with the square of the lists."""
+        row = self.table.read("centroids").first()
+        return json.loads(row[0]) if row else None
+
     def search(self, queries: DataFrame, k: int | None = None, probes: int = PROBES, exact: bool = False) -> DataFrame:
         """The k best vectors of each of queries(query_id, embedding) by cosine, within its nearest lists or, exact, among all."""
         k = k or self.settings.top_k
-        lists = self.lists()
-        radii = {r["list"]: r["least"] for r in lists.groupBy("list").agg(F.min("least").alias("least")).collect()}  # MOST_LISTS at most
-        first_row = lists.select("centroids").first()
-        centroids = json.loads(first_row[0]) if first_row else []
+        radii = {r["list"]: r["least"] for r in self.lists().groupBy("list").agg(F.min("least").alias("least")).collect()}  # MOST_LISTS at most
+        centroids = (self.centroids() or []) if radii else []
         queries = keep(queries.select("query_id", "embedding"), "asked-vectors")
         found = keep(self.scores(near_lists(queries, centroids, radii, probes), k), "vector-hits")
         if exact and centroids:
@@ -94,8 +102,9 @@ class VectorIndex:
 
     def scores(self, asked: DataFrame, k: int) -> DataFrame:
         """(query_id, id, score): each cell's k best of asked(query_id, embedding, lists) within the lists."""
-        asked = keep(asked.where(F.size("lists") > 0), "asked-lists")
-        folders = [r[0] for r in asked.select(F.explode("lists")).distinct().collect()]  # MOST_LISTS at most
+        asked = keep(asked.where(F.exists("lists", lambda x: x != 0)), "asked-lists")
+        words = asked.select(F.posexplode("lists").alias("at", "word")).groupBy("at").agg(F.bit_or("word").alias("word")).collect()
+        folders = [64 * r["at"] + i for r in words for i in range(64) if r["word"] >> i & 1]  # MOST_LISTS at most
         return cells(self.table.read("vectors").where(F.col("list").isin(folders)).select("id", "list", "embedding"), asked, k)
 
 
@@ -109,9 +118,9 @@ def nearest(rows: DataFrame, centroids: list[list[float]]) -> DataFrame:
 
         c = unit_rows(centroids)[1] if centroids else None
         for b in batches:
-            kept, v = unit_rows(b.column(2).to_pylist())
-            near = v @ c.T if c is not None and kept else np.ones((len(kept), 1))
-            place = near.argmax(1) if kept else np.zeros(0, "i4")
+            kept, v = retrieve.unit_rows(b.column(2))
+            near = v @ c.T if c is not None and len(kept) else np.ones((len(kept), 1))
+            place = near.argmax(1) if len(kept) else np.zeros(0, "i4")
             part = b.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(place, pa.int32()), pa.array(near[np.arange(len(kept)), place], pa.float64())], names=["id", "source", "embedding", "list", "near"])
 
@@ -119,7 +128,7 @@ def nearest(rows: DataFrame, centroids: list[list[float]]) -> DataFrame:
 
 
 def near_lists(queries: DataFrame, centroids: list[list[float]], radii: dict[int, float], probes: int) -> DataFrame:
-    """(query_id, embedding, lists) of queries(query_id, embedding[, _last]): the nearest probes of the lists that hold vectors; with _last, all others that may hold a vector of that cosine (any, where it is null)."""
+    """(query_id, embedding, lists) of queries(query_id, embedding[, _last]): the nearest probes of the lists that hold vectors; with _last, all others that may hold a vector of that cosine (any, where it is null). Lists are bits of an array of longs, so that a question takes no more room with many."""
     more = "_last" in queries.columns
     rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), *(["_last"] if more else [])).where("embedding IS NOT NULL")
     kind = rows.schema["query_id"].dataType.simpleString()
@@ -129,21 +138,25 @@ def near_lists(queries: DataFrame, centroids: list[list[float]], radii: dict[int
         import pyarrow as pa
 
         held = np.array(sorted(radii), "i4")
+        words = int(held.max(initial=0)) // 64 + 1
         c = unit_rows([centroids[i] for i in held])[1] if centroids else None
         wide = np.arccos(np.clip([radii[i] for i in held], -1, 1)) if centroids else np.zeros(len(held))
         for b in batches:
-            kept, v = unit_rows(b.column(1).to_pylist())
-            last = b.column(2).to_pylist() if more else None
-            lists = []
-            for i, x in zip(kept, v):
-                near = np.clip(c @ x, -1, 1) if c is not None else np.ones(len(held))
-                order = np.argsort(-near, kind="stable")
+            kept, v = retrieve.unit_rows(b.column(1))
+            last = b.column(2).to_numpy(zero_copy_only=False).astype("f8")[kept] if more else None
+            bits = np.zeros((len(kept), words), "<i8")
+            for low in range(0, len(kept), ROWS):
+                near = np.clip(v[low : low + ROWS] @ c.T, -1, 1) if c is not None else np.ones((len(v[low : low + ROWS]), len(held)))
+                first = np.zeros(near.shape, bool)
+                np.put_along_axis(first, np.argsort(-near, axis=1, kind="stable")[:, :probes], True, 1)
                 if more:
                     bound = np.cos(np.maximum(0.0, np.arccos(near) - wide)) + 1e-12
-                    order = order[probes:]
-                    order = order if last[i] is None else order[bound[order] >= last[i] - SLACK]
-                lists.append(held[order if more else order[:probes]].tolist())
+                    first = ~first & ~(bound < last[low : low + ROWS, None] - SLACK)  # a null is no number: all may
+                every = np.zeros((len(near), 64 * words), bool)
+                every[:, held] = first
+                bits[low : low + ROWS] = np.packbits(every, axis=1, bitorder="little").view("<i8")
             part = b.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "embedding", "lists"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * words, pa.int32()), pa.array(bits.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["query_id", "embedding", "lists"])
 
-    return rows.mapInArrow(run, f"query_id {kind}, embedding array<double>, lists array<int>")
+    return rows.mapInArrow(run, f"query_id {kind}, embedding array<double>, lists array<long>")
