@@ -8,32 +8,27 @@ blanks and tabs. Everything is per language. Four scans of the texts, each withi
    dealt by block of cells; counts are clipped at ``least``, which changes no decision. Cells that
    reach ``least`` become a filter of bits, at most FILTER_BITS of them, which is broadcast.
 2. The same for three to MOST words, of phrases all of whose pairs pass the first filter.
-3. ``candidates`` lists the phrases that pass, once each. No phrase that is frequent enough can
-   be missing, since all its parts are at least as frequent.
-4. Candidates and their words are dealt into blocks of at most about BLOCK_CHARS characters; each
-   block becomes an automaton whose patterns begin and end with a blank, and tasks count all
-   overlapping matches in texts whose words and piece ends stand between blanks.
+3. The phrases that pass are counted: a task sums up by hash, sends each phrase and its sum in
+   packs dealt by the phrase, and the sums are added. No phrase that is frequent enough can be
+   missing, since all its parts are at least as frequent; those that aren't are dropped.
+4. The words of the frequent phrases become a filter, and words that pass are counted likewise.
 
 The sums are exact counts; thresholds, scores and the list follow from them by joins of the
-candidates, which are far fewer than the words. A block is broadcast; what a worker holds is one
-automaton or one sketch's buffer. The last scan is repeated for each block: its cost is the
-corpus times the blocks, and candidates grow with the corpus as ``least`` stays.
+frequent phrases, which are far fewer than the words. Only filters are broadcast; what a worker
+holds is SEEN phrases or one sketch's buffer. The scans are four whatever the corpus.
 
 Defined cases: a null text counts as empty and has no words, a null language as ``und``. Repeated
 rows count again. An empty table, or one without frequent phrases, gives an empty list. Texts are
-taken whole; long ones in portions that overlap by MOST - 1 words where they can't be cut between
-pieces, which only raises upper bounds. Other columns are dropped, whatever their names.
+taken whole; long ones in portions that overlap by MOST words where they can't be cut between pieces,
+which only raises upper bounds; what lies wholly in an overlap is counted once. Other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
-from functools import reduce
-from operator import itemgetter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,12 +36,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import SLICE_BYTES, arrow_rows, column, drop, keep, partitions, raw_texts, slices, worker_cache
 
 LEAST, LIST, MOST, INSIDE = 100, 2000, 5, 100
-BLOCK_CHARS = 2 << 20
 FILTER_BITS = 1 << 27
 BLOCK_BITS = 20
 #: Cells that a worker gathers before it counts and passes them on.
 BUFFER = 1 << 21
-#: Phrases that a worker remembers having passed on.
+#: Phrases whose sums a worker holds before it passes them on.
 SEEN = 500_000
 #: Packs of phrases for each partition of a shuffle.
 PACKS = 16
@@ -65,14 +59,14 @@ def clean(text: bytes) -> bytes:
     return re.sub(b"  +", b" ", out) if b"  " in out else out
 
 
-def portions(text: bytes, size: int = SLICE_BYTES, back: int = MOST) -> Iterator[bytes]:
-    """A clean text in portions: cut between pieces, or so that the next one begins with the last words of the one before."""
-    start, end = 0, size
+def cuts(text: bytes, size: int = SLICE_BYTES, back: int = MOST) -> Iterator[tuple[bytes, int]]:
+    """A clean text in portions, and how many words of each were the last ones of the one before: none where it is cut between pieces, else back."""
+    start, end, again_words = 0, size, 0
     while end < len(text):
         cut = text.rfind(b"\n", start, end)
         if cut > start:
-            yield text[start:cut]
-            start, end = cut + 1, cut + 1 + size
+            yield text[start:cut], again_words
+            start, end, again_words = cut + 1, cut + 1 + size, 0
             continue
         cut = again = text.rfind(b" ", start, end)
         for _ in range(back):
@@ -80,9 +74,14 @@ def portions(text: bytes, size: int = SLICE_BYTES, back: int = MOST) -> Iterator
         if again <= start:
             end += size
             continue
-        yield text[start:cut]
-        start, end = again + 1, again + 1 + size
-    yield text[start:]
+        yield text[start:cut], again_words
+        start, end, again_words = again + 1, again + 1 + size, back
+    yield text[start:], again_words
+
+
+def portions(text: bytes, size: int = SLICE_BYTES, back: int = MOST) -> Iterator[bytes]:
+    """A clean text in portions: cut between pieces, or so that the next one begins with the last words of the one before."""
+    return (part for part, _ in cuts(text, size, back))
 
 
 class Powers:
@@ -130,7 +129,8 @@ class Words:
             self.hash_2 = self.sums(a.astype("u8") * p.up_2[:n]) % q * p.down_2[self.starts] % q
         self.piece = np.cumsum(ends, dtype="i4")[self.starts] if n else np.zeros(0, "i4")
         offsets = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-        self.salt = np.array(salts, "u8")[np.searchsorted(offsets, self.starts, "right") - 1] if len(self.starts) else np.zeros(0, "u8")
+        self.text = np.searchsorted(offsets, self.starts, "right") - 1
+        self.salt = np.array(salts, "u8")[self.text] if len(self.starts) else np.zeros(0, "u8")
 
     def sums(self, each):
         import numpy as np
@@ -139,6 +139,12 @@ class Words:
         np.cumsum(each, out=total[1:])
         return total[self.ends] - total[self.starts]
 
+    def single(self):
+        """Hashes of the words by themselves."""
+        import numpy as np
+
+        return mixed(self.hash * np.uint64(STEP) + self.salt * np.uint64(3))
+
     def phrases(self, most: int = MOST) -> Iterator[tuple]:
         """(words, hash of the phrase that begins at each word, whether it is within a piece) for 2 to most words."""
         import numpy as np
@@ -199,15 +205,15 @@ def shared(words: Words, bits: int, pairs: Filter | None) -> Iterator[tuple]:
             yield k, cells[at], at
 
 
-def texts_of(batch) -> Iterator[tuple[list[bytes], list[str]]]:
-    """Clean texts and languages of a batch, about SLICE_BYTES at a time."""
+def texts_of(batch) -> Iterator[tuple[list[bytes], list[str], int]]:
+    """Clean texts and languages of a batch, about SLICE_BYTES at a time, and how many of the first words came before."""
     raw, langs = [t or b"" for t in raw_texts(batch)], [x or "und" for x in column(batch, "lang")]
     for i, j in slices(list(map(len, raw))):
         if len(raw[i]) > SLICE_BYTES:
-            for part in portions(clean(raw[i])):
-                yield [part], [langs[i]]
+            for part, before in cuts(clean(raw[i])):
+                yield [part], [langs[i]], before
         else:
-            yield list(map(clean, raw[i:j])), langs[i:j]
+            yield list(map(clean, raw[i:j])), langs[i:j], 0
 
 
 def packed(cells, bits: int, least: int) -> Iterator[tuple[int, bytes]]:
@@ -242,7 +248,7 @@ def sketch(docs: DataFrame, bits: int, least: int, pairs=None) -> DataFrame:
         powers, held, n = worker_cache(("powers",), Powers), [], 0
         out = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "payload"])
         for b in batches:
-            for texts, langs in texts_of(b):
+            for texts, langs, _ in texts_of(b):
                 words = Words(texts, list(map(salt, langs)), powers)
                 for _, cells, _ in shared(words, bits, pairs.value if pairs else None):
                     held.append(cells)
@@ -286,8 +292,77 @@ def filter_of(cells: DataFrame, bits: int) -> Filter:
     return Filter(bits, rows["at"].to_numpy(), rows["word"].to_numpy().view("u8"))
 
 
-def candidates(docs: DataFrame, bits: int, pairs, longer) -> DataFrame:
-    """(phrase) of two to MOST words whose upper bounds all pass, once each.
+def passing(words: Words, bits: int, pairs, longer) -> Iterator[tuple]:
+    """(words, hashes, starts) of the phrases of two to MOST words whose upper bounds all pass."""
+    import numpy as np
+
+    alive = good = None
+    for k, h, within in words.phrases():
+        cells = h >> np.uint64(64 - bits)
+        if k == 2:
+            alive = good = within & pairs.value.has(cells)
+        else:
+            n = len(h)
+            alive = alive[:n] & alive[1 : n + 1] & good[k - 2 :][:n] & within & longer.value.has(cells)
+        at = np.flatnonzero(alive)
+        yield k, h[at], at
+
+
+def passing_words(words: Words, bits: int, singles) -> Iterator[tuple]:
+    """The same of single words."""
+    import numpy as np
+
+    h = words.single()
+    at = np.flatnonzero(singles.value.has(h >> np.uint64(64 - bits)))
+    yield 1, h[at], at
+
+
+class Sums:
+    """Occurrences by phrase, summed up by hash; those whose first hash is another phrase's stand alone."""
+
+    def __init__(self) -> None:
+        import numpy as np
+
+        self.hashes, self.slot, self.n, self.second = np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "u8")
+        self.told: list[tuple[bytes, str]] = []
+        self.alone: list[tuple[bytes, str, int]] = []
+
+    def add(self, words: Words, langs: list[str], found: list[tuple]) -> None:
+        """found: (words, hashes, starts) of occurrences."""
+        import numpy as np
+
+        again = []
+        for k, _, at in found:
+            x = words.hash_2[at]
+            for i in range(1, k):
+                x = (x * np.uint64(BASE_2 + 7 * i) + words.hash_2[at + i]) % np.uint64(PRIME)
+            again.append(x)
+        h, at, again = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]), np.concatenate(again)
+        size = np.concatenate([np.full(len(f[2]), f[0]) for f in found])
+        if not len(h):
+            return
+        tell = lambda i: (words.raw[words.starts[at[i]] : words.ends[at[i] + size[i] - 1]], langs[words.text[at[i]]])
+        each, first, group = np.unique(h, return_index=True, return_inverse=True)
+        same = again == again[first[group]]
+        self.alone += [(*tell(i), 1) for i in np.flatnonzero(~same)]
+        n = np.bincount(group[same], minlength=len(each))
+        place = np.searchsorted(self.hashes, each)
+        known = np.zeros(len(each), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == each[inside]
+        slots = self.slot[place[known]]
+        agree = self.second[slots] == again[first[known]]
+        self.n[slots[agree]] += n[known][agree]
+        self.alone += [(*tell(i), int(c)) for i, c in zip(first[known][~agree], n[known][~agree])]
+        new = first[~known]
+        self.hashes = np.insert(self.hashes, place[~known], each[~known])
+        self.slot = np.insert(self.slot, place[~known], np.arange(len(new)) + len(self.told))
+        self.n, self.second = np.concatenate([self.n, n[~known]]), np.concatenate([self.second, again[new]])
+        self.told += map(tell, new.tolist())
+
+
+def tally(docs: DataFrame, occurrences, least: int, buffer: int, all_words: bool = False) -> DataFrame:
+    """(lang, phrase, f): sums of occurrences(words), which gives (words, hashes, starts), that reach least; with all_words, also all words of each language, as the null phrase.
 
     A frequent phrase is in nearly every task's texts, so phrases travel in packs, dealt by hash:
     a task sends a few rows instead of one for each phrase that it has met.
@@ -299,118 +374,83 @@ def candidates(docs: DataFrame, bits: int, pairs, longer) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        powers, seen, packs = worker_cache(("powers",), Powers), set(), {}
+        powers, sums, total = worker_cache(("powers",), Powers), Sums(), {}
+
+        def out(packs: dict):
+            rows = [pa.array([p for p, _ in packs], pa.int32()), pa.array([x for _, x in packs], pa.string()), pa.array([b"\n".join(p) for p, _ in packs.values()], pa.binary()), pa.array([np.array(n, "<i8").tobytes() for _, n in packs.values()], pa.binary())]
+            return pa.RecordBatch.from_arrays(rows, names=["pack", "lang", "phrases", "sums"])
 
         def sent() -> Iterator:
+            packs: dict = {}
+            for phrase, lang, n in [*((*t, n) for t, n in zip(sums.told, sums.n.tolist(), strict=True)), *sums.alone]:
+                phrases, ns = packs.setdefault((zlib.crc32(phrase) % n_packs, lang), ([], []))
+                phrases.append(phrase), ns.append(n)
             if packs:
-                yield pa.RecordBatch.from_arrays([pa.array(list(packs), pa.int32()), pa.array([b"\n".join(p) for p in packs.values()], pa.binary())], names=["pack", "phrases"])
-                packs.clear()
-            seen.clear()
+                yield out(packs)
 
         for b in batches:
-            for texts, langs in texts_of(b):
+            for texts, langs, before in texts_of(b):
                 words = Words(texts, list(map(salt, langs)), powers, second=True)
-                found = []
-                alive = good = None
-                for k, h, within in words.phrases():
-                    cells = h >> np.uint64(64 - bits)
-                    if k == 2:
-                        alive = good = within & pairs.value.has(cells)
-                    else:
-                        n = len(h)
-                        alive = alive[:n] & alive[1 : n + 1] & good[k - 2 :][:n] & within & longer.value.has(cells)
-                    at = np.flatnonzero(alive)
-                    again = words.hash_2[at]
-                    for i in range(1, k):
-                        again = (again * np.uint64(BASE_2 + 7 * i) + words.hash_2[at + i]) % np.uint64(PRIME)
-                    found.append((h[at], again, at, np.full(len(at), k)))
-                if not found:
-                    continue
-                h, again, at, size = map(np.concatenate, zip(*found, strict=True))
-                _, first, place = np.unique(h, return_index=True, return_inverse=True)
-                odd = np.flatnonzero(again != again[first[place]])  # other phrases with the same hash
-                for i in [*first.tolist(), *odd.tolist()]:
-                    key = (int(h[i]) << 31) | int(again[i])
-                    if key not in seen:
-                        seen.add(key)
-                        phrase = words.raw[words.starts[at[i]] : words.ends[at[i] + size[i] - 1]]
-                        packs.setdefault(zlib.crc32(phrase) % n_packs, []).append(phrase)
-                if len(seen) > SEEN:
+                if all_words:
+                    for i, n in enumerate(np.bincount(words.text, minlength=len(texts)).tolist()):
+                        total[langs[i]] = total.get(langs[i], 0) + n - before
+                found = list(occurrences(words))
+                if before:
+                    found = [(k, h[at + k > before], at[at + k > before]) for k, h, at in found]
+                if found:
+                    sums.add(words, langs, found)
+                if len(sums.told) + len(sums.alone) > buffer:
                     yield from sent()
+                    sums = Sums()
         yield from sent()
+        if total:
+            yield out({(-1, x): ([b""], [n]) for x, n in total.items()})
 
     def unite(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        held, pack = set(), None
-        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string())], names=["phrase"])
-        for b in batches:
-            for k, phrases in zip(column(b, "pack"), column(b, "phrases"), strict=True):
-                if k != pack:
-                    if held:
-                        yield rows()
-                    held, pack = set(), k
-                held.update(phrases.split(b"\n"))
-        if held:
-            yield rows()
+        held: dict = {}
+        pack = None
 
-    return docs.mapInArrow(find, "pack int, phrases binary").repartition(n_parts, "pack").sortWithinPartitions("pack").mapInArrow(unite, "phrase string")
+        def done() -> Iterator:
+            rows = [(lang, phrase, n) for (lang, phrase), n in held.items() if n >= least or pack == -1]
+            if rows:
+                lang, phrase, n = zip(*rows)
+                text = pa.array([None] * len(rows) if pack == -1 else phrase, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), text, pa.array(n, pa.int64())], names=["lang", "phrase", "f"])
 
+        for b in batches:
+            for k, lang, phrases, sums in zip(*(column(b, c) for c in ("pack", "lang", "phrases", "sums")), strict=True):
+                if k != pack:
+                    yield from done()
+                    held, pack = {}, k
+                for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(sums, "<i8").tolist(), strict=True):
+                    held[lang, phrase] = held.get((lang, phrase), 0) + n
+        yield from done()
 
-def counted(docs: DataFrame, patterns: list[str], block: int, key: str) -> DataFrame:
-    """(block, at, lang, n): matches of each pattern in each task's texts. The first block's tasks also count all words, as pattern -1."""
-    held = docs.sparkSession.sparkContext.broadcast(patterns)
+    packs = docs.mapInArrow(find, "pack int, lang string, phrases binary, sums binary")
+    return packs.repartition(n_parts, "pack").sortWithinPartitions("pack").mapInArrow(unite, "lang string, phrase string, f long")
 
-    def automaton():
-        import ahocorasick
 
-        out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, phrase in enumerate(held.value):
-            out.add_word(f" {phrase} ", i)
-        out.make_automaton()
-        return out
+def word_cells(singles: DataFrame, bits: int) -> DataFrame:
+    """(cell) of words(lang, phrase)."""
 
-    def count(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        find, total, words = worker_cache((key, block), automaton), {}, {}
-        n = len(held.value)
+        powers = worker_cache(("powers",), Powers)
         for b in batches:
-            for texts, langs in guarded(b):
-                by = {}
-                for t, x in zip(texts, langs, strict=True):
-                    by.setdefault(x, []).append(t)
-                for x, ts in by.items():
-                    words[x] = words.get(x, 0) + sum([t.count(" ") - t.count("\n") - 1 for t in ts if t])
-                    matches = np.fromiter(map(itemgetter(1), find.iter("\n".join(ts))), "i4")
-                    if x not in total:
-                        total[x] = np.zeros(n, "i8")
-                    if len(matches) > n:
-                        total[x] += np.bincount(matches, minlength=n)
-                    else:
-                        np.add.at(total[x], matches, 1)
-        for x, sums in total.items():
-            at = np.flatnonzero(sums)
-            rows = [at.tolist(), sums[at].tolist()]
-            if block == 0:
-                rows = [[*rows[0], -1], [*rows[1], words[x]]]
-            size = len(rows[0])
-            yield pa.RecordBatch.from_arrays([pa.array([block] * size, pa.int32()), pa.array(rows[0], pa.int32()), pa.array([x] * size, pa.string()), pa.array(rows[1], pa.int64())], names=["block", "at", "lang", "n"])
-
-    return docs.mapInArrow(count, "block int, at int, lang string, n long")
-
-
-def guarded(batch) -> Iterator[tuple[list[str], list[str]]]:
-    """Whole texts in which each word and each piece's end stands between single blanks, with their languages."""
-    raw, langs = [t or b"" for t in raw_texts(batch)], [x or "und" for x in column(batch, "lang")]
-    for i, j in slices(list(map(len, raw))):
-        texts = [re.sub(rb"  +", b" ", b" %b " % t.translate(TABLE).replace(b"\n", b" \n ")).decode() for t in raw[i:j]]
-        yield [t[1:-1] and t for t in texts], langs[i:j]
+            if b.num_rows:
+                words = Words([x.encode() for x in column(b, "phrase")], list(map(salt, column(b, "lang"))), powers)
+                yield pa.RecordBatch.from_arrays([pa.array((words.single() >> np.uint64(64 - bits)).astype("i8"))], names=["cell"])
+
+    return singles.mapInArrow(run, "cell long")
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(lang, phrase, f) of words and phrases of docs(text, lang), with every one of two to MOST words that occurs least times or more, and every word of those. The row with a null phrase counts all words of the language."""
+def phrase_counts(docs: DataFrame, least: int = LEAST, buffer: int = SEEN) -> DataFrame:
+    """(lang, phrase, f) of words and phrases of docs(text, lang): every phrase of two to MOST words that occurs least times or more, and every word of those. The row with a null phrase counts all words of the language. A worker holds the sums of about buffer phrases."""
     spark = docs.sparkSession
     arrow_rows(spark)
     docs = docs.select("text", "lang")
@@ -419,21 +459,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, block_chars: int = BLOCK_
     send = spark.sparkContext.broadcast
     pairs = send(filter_of(sketch(docs, bits, least), bits))
     longer = send(filter_of(sketch(docs, bits, least, pairs), bits))
-    found = keep(candidates(docs, bits, pairs, longer), "candidates")
-    singles = found.select(F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
-    both = found.union(singles)
-    chars = both.agg(F.sum(F.length("phrase") + 2)).first()[0] or 0
-    blocks = -(-chars // block_chars)
-    dealt = both.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(max(1, blocks))).cast("int"))
-    patterns = keep(dealt.withColumn("at", F.row_number().over(Window.partitionBy("block").orderBy("phrase")) - 1), "patterns", [found])
-    key, scans = uuid.uuid4().hex, []
-    for b in range(blocks):
-        rows = patterns.where(F.col("block") == b).select("at", "phrase").toArrow().sort_by("at")  # one block, bounded
-        scans.append(counted(docs, rows["phrase"].to_pylist(), b, key))
-    if not scans:
-        return spark.createDataFrame([], "lang string, phrase string, f long")
-    total = reduce(DataFrame.union, scans).groupBy("block", "at", "lang").agg(F.sum("n").alias("f"))
-    return keep(total.join(patterns, ["block", "at"], "left").select("lang", "phrase", "f"), "counts", [patterns])
+    found = keep(tally(docs, lambda words: passing(words, bits, pairs, longer), least, buffer), "phrases")
+    singles = keep(found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct(), "words")
+    held = send(filter_of(word_cells(singles, bits), bits))
+    words = tally(docs, lambda words: passing_words(words, bits, held), 0, buffer, all_words=True)
+    wanted = words.join(singles.withColumn("_w", F.lit(True)), ["lang", "phrase"], "left").where("phrase IS NULL OR _w").select("lang", "phrase", "f")
+    return keep(found.union(wanted), "counts", [found, singles])
 
 
 def collocations(counts: DataFrame, least: int = LEAST, top: int = LIST, inside: int = INSIDE) -> DataFrame:
